@@ -5,8 +5,12 @@ the language whose dictionary makes it smallest is the prediction.  The margin t
 is narrow the row is marked ``rejected``, and callers may treat that as unknown.  ``lang_pred`` still names the best language,
 since only texts that are null or have no letter are ``und``.
 
-The dictionaries come from a bounded sample: ``sample_bytes`` of text per language (128 KB as set), of the documents with the
-smallest hash of their id, so that the sample neither depends on the order of rows nor grows with the input.
+What is encoded is the sequence of the distinct words of the whole text, lower-cased and freed of all but letters, so that
+neither capitals, junk characters nor a word said a thousand times count.  A dictionary holds the words of its language's
+sample in the same form, the most frequent last, where references are cheapest, up to ``dictionary_bytes``.
+
+The words come from a bounded sample: ``sample_bytes`` of text per language, of the documents with the smallest hash of their
+id, so that the sample neither depends on the order of rows nor grows with the input.
 
 Special cases: null text and text without a letter: ``und`` with score 0; texts of equal size under two dictionaries go to
 the language with more training documents, then the smaller name; no training rows at all: ``und`` for every text; rows that
@@ -15,6 +19,8 @@ repeat are judged row by row; null ids are allowed; an empty table gives an empt
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,14 +29,22 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_BYTES = 131_072
+SAMPLE_BYTES = 4_000_000
+DICTIONARY_BYTES = 32_768
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
+_OTHER = re.compile(r"[\W\d_]+")
+
+
+def distinct_words(text: str) -> list[str]:
+    """Distinct words in the order of their first place: lower case, letters only."""
+    rough = " ".join(dict.fromkeys(text.split()))
+    return list(dict.fromkeys(_OTHER.sub(" ", rough.lower()).split()))
 
 
 def dictionaries(
-    docs: DataFrame, train: Column, sample_bytes: int = SAMPLE_BYTES, text_col: str = "text", lang_col: str = "lang",
-    id_col: str = "doc_id",
+    docs: DataFrame, train: Column, sample_bytes: int = SAMPLE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES,
+    text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
 ) -> list[tuple[str, int, bytes]]:
     """``(language, training documents, sample)``, the language with most documents first."""
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -55,17 +69,27 @@ def dictionaries(
         .select("lang", "rank", "text")
         .collect()  # sample_bytes * 5/4 per language at most
     )
-    texts: dict[str, list[str]] = {}
-    for r in sorted(sample, key=lambda r: (r["lang"], -r["rank"])):  # what stands nearest the end is cheapest to refer to
-        texts.setdefault(r["lang"], []).append(r["text"])
+    words: dict[str, Counter] = {r["lang"]: Counter() for r in counts}
+    for r in sample:
+        words[r["lang"]].update(distinct_words(r["text"]))
     by_size = sorted(counts, key=lambda r: (-r["n"], r["lang"]))
-    return [(r["lang"], r["n"], "\n".join(texts.get(r["lang"], ())).encode()) for r in by_size]
+    return [(r["lang"], r["n"], _dictionary(words[r["lang"]], dictionary_bytes)) for r in by_size]
+
+
+def _dictionary(words: Counter, most_bytes: int) -> bytes:
+    chosen, room = [], most_bytes
+    for word, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
+        room -= len(word.encode()) + 1
+        if room < 0:
+            break
+        chosen.append(word)
+    return (" ".join(reversed(chosen)) + " ").encode() if chosen else b""
 
 
 class Encoder:
     """Sizes of a text under each dictionary; made once per task."""
 
-    def __init__(self, samples: list[tuple[str, int, bytes]], level: int = 5):
+    def __init__(self, samples: list[tuple[str, int, bytes]], level: int = 7):
         self.languages = [s[0] for s in samples]
         params = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_dict_id=False)
         self.encoders = []
@@ -77,7 +101,7 @@ class Encoder:
     def predict(self, text: str | None, margin: float) -> tuple[str, float, bool]:
         if not text or not self.languages or not _LETTER.search(text):
             return UNKNOWN, 0.0, True
-        data = text.encode()
+        data = " ".join(distinct_words(text)).encode() + b" "
         sizes = [len(e.compress(data)) if e else len(data) + 16 for e in self.encoders]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         other = min((s for k, s in enumerate(sizes) if k != best), default=2 * sizes[best] + 1)
@@ -87,10 +111,11 @@ class Encoder:
 
 def identify(
     docs: DataFrame, train: Column, margin: float = 0.01, sample_bytes: int = SAMPLE_BYTES,
+    dictionary_bytes: int = DICTIONARY_BYTES,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
     """One row per document: ``doc_id, lang_pred, score, rejected``; ``train`` says which rows may be learned from."""
-    samples = dictionaries(docs, train, sample_bytes, text_col, lang_col, id_col)
+    samples = dictionaries(docs, train, sample_bytes, dictionary_bytes, text_col, lang_col, id_col)
     shared = docs.sparkSession.sparkContext.broadcast(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

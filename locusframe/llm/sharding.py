@@ -88,11 +88,15 @@ def grown(slot_map: list[int], n_shards: int) -> list[int]:
 
 def map_table(spark: SparkSession, versions: list[list[int]]) -> DataFrame:
     """The versioned map as rows ``version, slot, shard``."""
-    whole = F.array(*[F.array(*[F.lit(x) for x in v]) for v in versions])
+    whole = F.array(*[_numbers(v) for v in versions])
     rows = spark.range(1).select(F.posexplode(whole).alias("version", "shards"))
     return rows.select("version", F.posexplode("shards").alias("slot", "shard"))
 
 
+def _numbers(values: list[int]) -> Column:
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def _slot(key: Column, n_slots: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(n_slots)).cast("int")
 
@@ -126,7 +130,7 @@ def shard_by_bytes(
     for slot, shard in enumerate(versions[-1]):
         first[slot] = filled[shard]
         filled[shard] += slot_rows[slot]
-    starts = spark.range(1).select(F.posexplode(F.array(*[F.lit(x).cast("long") for x in first])).alias("virtual_slot", "first"))
+    starts = spark.range(1).select(F.posexplode(_numbers(first)).alias("virtual_slot", "first"))
     current = (
         spark.read.parquet(path)
         .where(F.col("version") == len(versions) - 1)
