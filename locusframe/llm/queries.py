@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from locusframe.llm.best_fit import pack
 from locusframe.llm.exact_dedup import exact_duplicates
 from locusframe.llm.language_id import identify
 from locusframe.llm.sharding import shard_by_bytes
 from locusframe.llm.simhash import near_duplicates
+from locusframe.llm.token_counts import document_token_counts
 from locusframe.llm.url_filter import judge_urls
 
 
@@ -55,6 +57,25 @@ SELECT page_id, host, path, rhost || rpath AS rule, coalesce(verdict, 'allow') A
 """
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the vocabulary file is on this machine; executors have it at the same place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
+
+
+#: <|endoftext|> of the vocabulary.
+END_OF_TEXT = 49407
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), END_OF_TEXT)
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -85,6 +106,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_token_counts": op4_token_counts,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
