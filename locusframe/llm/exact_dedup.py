@@ -27,6 +27,12 @@ from locusframe.llm._common import id_and_text, shuffle_partitions, stored
 
 _KEY = ["sha", "check", "n_bytes"]
 _RUN = "node int, target int, sha binary, check long, n_bytes int, doc_id long, row_id long, rows long"
+_SCHEMA = pa.schema(
+    [
+        ("node", pa.int32()), ("target", pa.int32()), ("sha", pa.binary()), ("check", pa.int64()), ("n_bytes", pa.int32()),
+        ("doc_id", pa.int64()), ("row_id", pa.int64()), ("rows", pa.int64()),
+    ]
+)
 _LAST = np.iinfo(np.int64).max
 
 
@@ -54,6 +60,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Merge equal neighbours of sorted runs; the first of them is the smallest."""
     held = None
     for batch in batches:
+        batch = pa.RecordBatch.from_arrays(batch.columns, schema=_SCHEMA)
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         if not batch.num_rows:
@@ -67,8 +74,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[1:] = ~same
         first = np.flatnonzero(new)
         rows = np.add.reduceat(batch.column("rows").to_numpy(), first)
-        merged = batch.take(pa.array(first))
-        merged = merged.set_column(merged.schema.get_field_index("rows"), "rows", pa.array(rows, pa.int64()))
+        kept = batch.take(pa.array(first)).columns[:-1]
+        merged = pa.RecordBatch.from_arrays([*kept, pa.array(rows, pa.int64())], schema=_SCHEMA)
         held = merged.slice(merged.num_rows - 1)
         if merged.num_rows > 1:
             yield merged.slice(0, merged.num_rows - 1)
