@@ -14,6 +14,7 @@ from locusframe.llm.language_id import identify
 from locusframe.llm.sharding import shard_by_bytes
 from locusframe.llm.simhash import near_duplicates
 from locusframe.llm.token_counts import document_token_counts
+from locusframe.llm.toxicity import toxicity
 from locusframe.llm.url_filter import judge_urls
 
 
@@ -77,6 +78,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), END_OF_TEXT)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_remainder(5) == 0
+    found = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -113,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_counts": op4_token_counts,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_language_id": op7_language_id,
     "op8_exact_dedup": op8_exact_dedup,
