@@ -13,6 +13,7 @@ from locusframe.llm.exact_dedup import exact_duplicates
 from locusframe.llm.language_id import identify
 from locusframe.llm.sharding import shard_by_bytes
 from locusframe.llm.simhash import near_duplicates
+from locusframe.llm.suffix_dedup import remove_repeats
 from locusframe.llm.token_counts import document_token_counts
 from locusframe.llm.toxicity import toxicity
 from locusframe.llm.url_filter import judge_urls
@@ -59,6 +60,10 @@ SELECT page_id, host, path, rhost || rpath AS rule, coalesce(verdict, 'allow') A
 """
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), length=100, with_text=False)
+
+
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     """Where the vocabulary file is on this machine; executors have it at the same place."""
     import public_tokenizers
@@ -118,6 +123,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_counts": op4_token_counts,
     "op5_toxicity": op5_toxicity,
