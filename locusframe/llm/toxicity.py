@@ -240,6 +240,19 @@ class Model:
     coefficients: np.ndarray | None
 
 
+class Scorer:
+    """Scores of texts; made once per task."""
+
+    def __init__(self, model: Model):
+        self.reader, self.w = Reader(model.lexicon), model.coefficients
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if self.w is None or not texts:
+            return np.zeros(len(texts))
+        x = np.array([(t and self.reader.features(t)) or [0.0] * Reader.FEATURES for t in texts])
+        return 1 / (1 + np.exp(-np.clip(x @ self.w[:-1] + self.w[-1], -30, 30)))
+
+
 def learn(docs: DataFrame, labels: DataFrame, train: Column, train_rows: int = TRAIN_ROWS) -> Model:
     """``docs``: doc_id, text; ``labels``: doc_id, toxic; ``train``: which rows may be learned from."""
     spark = docs.sparkSession
@@ -266,14 +279,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, w = Reader(shared.value.lexicon), shared.value.coefficients
+        scorer = Scorer(shared.value)
         for batch in batches:
-            if w is None:
-                p = np.zeros(batch.num_rows)
-            else:
-                x = [reader.features(t.as_py()) or [0.0] * Reader.FEATURES for t in batch.column("text")]
-                x = np.array(x, float).reshape(-1, Reader.FEATURES)
-                p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+            p = scorer.scores([t.as_py() for t in batch.column("text")])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"]
             )
@@ -289,3 +297,22 @@ def toxicity(
     texts = id_and_text(docs, id_col, text_col)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic"))
     return score(texts, learn(texts, known, F.lit(True) if train is None else train, train_rows))
+
+
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
+    train_rows: int = TRAIN_ROWS, threshold: float = 0.5,
+) -> DataFrame:
+    """The documents whose score is below ``threshold``, with all their columns; the texts are not shuffled."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic"))
+    model = learn(id_and_text(docs, id_col, text_col), known, F.lit(True) if train is None else train, train_rows)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    position = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            p = scorer.scores([t.as_py() for t in batch.column(position)])
+            yield batch.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
