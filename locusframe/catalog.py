@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from locusframe.plans.queries import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
