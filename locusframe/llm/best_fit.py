@@ -177,9 +177,10 @@ def pieces(
         block = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            ids_of, out = batch.column("doc_id").to_pylist(), []
-            for doc_id, text in zip(ids_of, batch.column("text")):
-                ids = np.concatenate([encoder.encode(text.as_buffer().to_pybytes()), end])
+            out = []
+            texts = encoder.encode_all([t.as_buffer().to_pybytes() for t in batch.column("text")])
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts):
+                ids = np.concatenate([text, end])
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     out.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), block, int(seen[len(part)])))

@@ -43,7 +43,7 @@ def write_token_files(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer_path, ordinary_special=True)
         for batch in batches:
-            rows = [encoder.encode(t.as_buffer().to_pybytes()) for t in batch.column("text")]
+            rows = encoder.encode_all([t.as_buffer().to_pybytes() for t in batch.column("text")])
             for r in rows:
                 if len(r) and (int(r.max()) > 65535 or end_id in r):
                     raise ValueError("an id needs more than 16 bits or equals the end id")

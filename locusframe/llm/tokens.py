@@ -1,23 +1,22 @@
 """Token ids of whole texts with a public vocabulary file, a word at a time.
 
 The vocabularies split text at white space before anything else, so the ids of a text are those of its words one after
-another, and each distinct word is encoded once per task.  ``splits_at_space`` checks that for a tokenizer; one that does not
-split there encodes whole texts.
+another, and each distinct word is encoded once per task.  Where the vocabulary knows no capitals, words are lower-cased
+first; a full stop or comma after a letter is a token of its own.  All of that is tried out on probes before it is relied on; a
+tokenizer that fails them encodes whole texts.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Distinct words that one task remembers; beyond that it starts anew.
-MEMORY_WORDS = 400_000
-_PROBES = ("one two", "a1 b2", "it's  we'll\n\tgo", "x , y . z !?", "é è é", "<|end of text|> <|endoftext|>")
-
-
-def splits_at_space(tokenizer: Tokenizer) -> bool:
-    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
-    return all(ids(t) == [i for w in t.encode().split() for i in ids(w.decode())] for t in _PROBES)
+#: Distinct words that one task remembers; beyond that it starts anew.  Words that are encoded in one call.
+MEMORY_WORDS, CALL_WORDS = 600_000, 4096
+_PROBES = ("one two", "a1 b2", "it's  we'll\n\tgo", "x , y . z !?", "é è é", "<|end of text|> <|endoftext|>", "End, the end. A1. é,")
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
 class WordEncoder:
@@ -26,25 +25,67 @@ class WordEncoder:
     def __init__(self, path: str, ordinary_special: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary_special
-        self.by_word = splits_at_space(self.tokenizer)
         self.known: dict[bytes, bytes] = {}
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_unit = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends_unit[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        whole = [self._whole(t) for t in _PROBES]
+        self.lower = whole == [self._whole(t.lower()) for t in _PROBES]
+        self.by_word = whole == self._words([t.encode() for t in _PROBES])
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, data: bytes) -> np.ndarray:
-        """Ids (unsigned 32-bit, little-endian) of a text in UTF-8."""
-        if not self.by_word:
-            return np.frombuffer(self._ids([data.decode()])[0], "<u4")
-        words = data.split()
+    def _learn(self, words: list[bytes]) -> None:
+        """Remember the ids of words that are not known.
+
+        A word of letters is one unit to the tokenizer, and a unit's last token shows that it ends one; so such words go
+        through in one text.
+        """
+        texts = [w.decode() for w in words]
+        letters = [t.isalpha() for t in texts]
+        self._learn_some([w for w, a in zip(words, letters) if a], [t for t, a in zip(texts, letters) if a], True)
+        self._learn_some([w for w, a in zip(words, letters) if not a], [t for t, a in zip(texts, letters) if not a], False)
+
+    def _learn_some(self, words: list[bytes], texts: list[str], units: bool) -> None:
+        for k in range(0, len(words), CALL_WORDS):
+            some = texts[k : k + CALL_WORDS]
+            if units:
+                found = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0]
+                ids = np.array(found.ids, "<u4")
+                ends = np.flatnonzero(self.ends_unit[ids]) + 1
+                if len(ends) != len(some):  # letters that normalisation takes apart
+                    self._learn_some(words[k : k + CALL_WORDS], some, False)
+                    continue
+            else:
+                found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+                ids = np.array(found.ids, "<u4")
+                ends = np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)))
+            data, start = ids.tobytes(), 0
+            for w, end in zip(words[k : k + CALL_WORDS], (4 * ends).tolist()):
+                self.known[w] = data[start:end]
+                start = end
+
+    def _words(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
         known = self.known
-        try:
-            return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in known]
+        split = [(t.lower() if self.lower else t).split() for t in texts]
+        distinct: set[bytes] = set().union(*split)
+        new = distinct.difference(known)
+        if new:
             if len(known) + len(new) > MEMORY_WORDS:
                 known.clear()
-                new = list(dict.fromkeys(words))
-            known.update(zip(new, self._ids([w.decode() for w in new])))
-            return np.frombuffer(b"".join([known[w] for w in words]), "<u4")
+                new = distinct
+            marked = {w for w in new if w[-1] in b".," and len(w) > 1 and w[-2] in _LETTERS} if self.lower else set()
+            plain = (new - marked) | {w[:-1] for w in marked} | ({b".", b","} if marked else set())
+            self._learn(sorted(plain.difference(known)))
+            known.update({w: known[w[:-1]] + known[w[-1:]] for w in marked})
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids (unsigned 32-bit, little-endian) of texts in UTF-8."""
+        if not self.by_word:
+            return [np.frombuffer(self._whole(t.decode()), "<u4") for t in texts]
+        return [np.frombuffer(ids, "<u4") for ids in self._words(texts)]
