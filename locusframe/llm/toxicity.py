@@ -21,6 +21,7 @@ repeat are scored row by row; null ids are allowed; an empty table gives an empt
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -181,24 +182,33 @@ def _word_counts(sample: DataFrame) -> tuple[dict, np.ndarray]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, kinds = [], []
+            words, before, kinds = [], [], []
             for text, toxic, half in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half"))):
-                mine = [w.decode() for w in set(words_of(text)) if len(w) > 2]
-                words += mine
-                kinds += [2 * half + toxic] * len(mine)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(kinds, pa.int32())], ["word", "kind"])
+                mine = words_of(text)
+                # Of each word the last place counts: the word before it there.
+                last = {w: p for w, p in zip(mine, [b"", *mine]) if len(w) > 2}
+                words += [w.decode() for w in last]
+                before += [zlib.crc32(p) for p in last.values()]
+                kinds += [2 * half + toxic] * len(last)
+            columns = [pa.array(words, pa.string()), pa.array(before, pa.int64()), pa.array(kinds, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["word", "before", "kind"])
 
     totals = np.zeros(4)
     for r in sample.groupBy("half", "toxic").count().collect():
         totals[2 * r["half"] + r["toxic"]] = r["count"]
     by_kind = [F.sum((F.col("kind") == k).cast("long")).alias(f"n{k}") for k in range(4)]
     toxic, clean = F.col("n1") + F.col("n3"), F.col("n0") + F.col("n2")
+    sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(4)]
     ratio = F.lit(MIN_RATIO / 4 * (totals[1] + totals[3] + 1) / (totals[0] + totals[2] + 1))
     found = (
-        sample.mapInArrow(run, "word string, kind int")
-        .groupBy("word")
+        sample.mapInArrow(run, "word string, before long, kind int")
+        .groupBy("word", "before")
         .agg(*by_kind)
+        .groupBy("word")
+        .agg(*sums, F.count_if(toxic > 0).alias("contexts"))
         .where((toxic >= MIN_DOCUMENTS) & ((toxic + 0.5) / (clean + 0.5) > ratio))
+        # What stands in a few copied passages only is not a term.
+        .where((F.col("contexts") >= MIN_DOCUMENTS) & (F.col("contexts") * 2 >= toxic))
         .orderBy(F.desc(toxic * F.log((toxic + 0.5) / (clean + 0.5) / ratio)), "word")
         .limit(2 * MOST_TERMS)
         .collect()
