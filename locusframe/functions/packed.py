@@ -26,6 +26,11 @@ def letter(of: Column) -> Column:
     return F.when(of.between(1, len(ALPHABET)), F.substring(F.lit(ALPHABET), of.cast("int"), F.lit(1)))
 
 
+def base(of: Column) -> Column:
+    """A capital base as it is; raises for anything else."""
+    return F.when(code(of) > 0, of).otherwise(F.raise_error(F.concat(F.lit("Invalid base: "), of)).cast("string"))
+
+
 def _first_wrong(seq: Column) -> Column:
     """1-based place of the first letter that is no base; 0 if there is none."""
     good = F.length(F.regexp_extract(seq, f"^[{ALPHABET}]*", 0))
@@ -99,11 +104,11 @@ def bases(packed: Column, start: Column | None = None, end: Column | None = None
     return F.when(packed.isNull(), F.lit(None)).when(low < high, text).otherwise(F.lit(""))
 
 
-def set_base(packed: Column, index: Column, base: Column, bits: int = 64) -> Column:
+def set_base(packed: Column, index: Column, to: Column, bits: int = 64) -> Column:
     """With another base at a 0-based index; raises beyond the capacity and for what is no base.  May leave a hole, after
     which the text ends."""
     each = BASES_IN[bits]
-    new = F.when(code(base) > 0, code(base)).otherwise(F.raise_error(F.concat(F.lit("Invalid base: "), base)).cast("int")).cast("long")
+    new = code(base(to)).cast("long")
     place = F.pmod(index, F.lit(each)) * 3
     shift = lambda x: F.call_function("shiftleft", x, place.cast("int"))
     changed = F.transform(

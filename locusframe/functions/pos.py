@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from locusframe.functions.chrom import chrom
+
 MAX_LONG, MAX_U32 = 2**63 - 1, 2**32 - 1
 #: The error texts; {} is the offending number.
 NEGATIVE_ZERO_BASED = "0-based position must be >= 0, got {}"
@@ -14,9 +16,8 @@ OUT_OF_RANGE_U32 = "position {} cannot be represented as u32"
 
 
 def _text(message: str, value: Column) -> Column:
-    return F.concat(F.lit(message.removesuffix("{}")), value.cast("string")) if message.endswith("{}") else F.concat(
-        *[F.lit(p) if k == 0 else F.concat(value.cast("string"), F.lit(p)) for k, p in enumerate(message.split("{}"))]
-    )
+    before, after = message.split("{}")
+    return F.concat(F.lit(before), value.cast("string"), F.lit(after))
 
 
 def _result(value: Column, *problems: tuple[Column, Column]) -> Column:
@@ -103,3 +104,8 @@ def checked_sub(pos: Column, step: Column) -> Column:
 def as_fetch(region: Column) -> Column:
     """``struct(contig, start, end)`` as it stands, without a shift."""
     return F.struct(region["contig"].alias("contig"), region["start"].alias("start"), region["end"].alias("end"))
+
+
+def region(contig: Column, start: Column, end: Column) -> Column:
+    """``struct(contig, start, end)`` with the canonical name of the contig."""
+    return F.struct(chrom(contig).alias("contig"), start.cast("long").alias("start"), end.cast("long").alias("end"))

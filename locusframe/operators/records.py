@@ -62,6 +62,28 @@ def first_n(rows: DataFrame, n: int, order: str) -> DataFrame:
     return rows.orderBy(order).limit(n)
 
 
+def accumulated(rows: DataFrame, keys: list[str], fn: Callable[[pd.Series], float], value: str, name: str) -> DataFrame:
+    """A user's accumulator per group: ``fn`` sees all values of a group at once, so a group must fit in memory.
+
+    What built-in aggregates can say is better said with them: they are combined before the shuffle.
+    """
+
+    @F.pandas_udf("double")
+    def accumulate(values: pd.Series) -> float:
+        return fn(values)
+
+    return rows.groupBy(*keys).agg(accumulate(value).alias(name))
+
+
+def process_loci(
+    reads: DataFrame, targets: DataFrame, fn: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str, **options
+) -> DataFrame:
+    """Pile the reads up at the targets and call ``fn`` once per target that has reads."""
+    from locusframe.operators.pileup import pileup
+
+    return locus_apply(pileup(reads, targets, **options), fn, schema)
+
+
 def locus_apply(piled: DataFrame, fn: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """``fn`` once per target, with all rows of its pileup; a pileup must fit in memory, as its depth does."""
     return piled.groupBy("contig", "pos").applyInPandas(fn, schema)

@@ -155,3 +155,17 @@ def test_checked_access(spark):
         one(spark, arrays.present(F.lit(None).cast("int"), "gone"), v=0)
     assert one(spark, arrays.try_utf8(F.unhex(F.lit("C3"))), arrays.try_utf8(F.unhex(F.lit("41"))), v=0) == (None, "A")
     assert one(spark, arrays.with_index(F.lit("x"), F.lit(3)), arrays.tagged("k", F.lit(1)), v=0) == ((3, "x"), ("k", 1))
+
+
+def test_regions_and_bases(spark):
+    assert tuple(one(spark, pos.region(F.lit("7"), F.lit(5), F.lit(9)), v=0)[0]) == ("chr7", 5, 9)
+    assert tuple(one(spark, pos.as_fetch(pos.region(F.lit("7"), F.lit(5), F.lit(9))), v=0)[0]) == ("chr7", 5, 9)
+    assert [one(spark, packed.code(F.lit(b)), v=0)[0] for b in "ATCGNat-"] == [1, 2, 3, 4, 5, 0, 0, 0]
+    assert one(spark, packed.base(F.lit("A")), packed.letter(F.lit(0)), v=0) == ("A", None)
+    with pytest.raises(Exception, match="Invalid base: x"):
+        one(spark, packed.base(F.lit("x")), v=0)
+
+
+def test_generated_dna_depends_on_its_seed(spark):
+    got = [r["s"] for r in spark.range(20).select(dna.generated(F.col("id"), 40).alias("s")).collect()]
+    assert len(set(got)) == 20 and all(len(s) == 40 and set(s) <= set("ACGTN") for s in got)

@@ -144,3 +144,15 @@ def test_hash_lookup_last_target_wins(spark):
     targets = spark.createDataFrame([("c", 10, 1), ("d", 10, 2)], "contig string, pos long, ord long")
     got = pileup.hash_lookup(sites, targets, "ord").collect()
     assert [(r["name"], r["target"]["contig"]) for r in got] == [("s1", "d")]
+
+
+def test_user_functions(spark):
+    import pandas as pd
+
+    df = spark.createDataFrame([("a", 1.0), ("a", 4.0), ("b", 2.0)], "k string, v double")
+    got = {r["k"]: r["top"] for r in records.accumulated(df, ["k"], lambda s: float(s.max()), "v", "top").collect()}
+    assert got == {"a": 4.0, "b": 2.0}
+    reads = spark.createDataFrame([("c", 0, 10, 30), ("c", 5, 10, None)], READS)
+    targets = spark.createDataFrame([("c", 6), ("c", 60)], "contig string, pos long")
+    fn = lambda key, pdf: pd.DataFrame({"pos": [key[1]], "n": [len(pdf)]})
+    assert [tuple(r) for r in records.process_loci(reads, targets, fn, "pos long, n long").collect()] == [(6, 2)]
