@@ -94,14 +94,20 @@ def get(packed: Column, index: Column, bits: int = 64) -> Column:
 
 def bases(packed: Column, start: Column | None = None, end: Column | None = None, bits: int = 64) -> Column:
     """Text of the bases from ``start`` to before ``end``, clipped to the capacity, up to the first place without a base."""
-    most = F.size(packed) * BASES_IN[bits]
-    low = F.lit(0) if start is None else F.greatest(start, F.lit(0))
-    high = most if end is None else F.least(end, most)
-    codes = F.transform(F.sequence(low, high - 1), lambda i: _code_at(packed, i, bits))
-    stop = F.array_position(codes, F.lit(0))
-    upto = F.when(stop > 0, F.slice(codes, F.lit(1), (stop - 1).cast("int"))).otherwise(codes)
-    text = F.array_join(F.transform(upto, letter), "")
-    return F.when(packed.isNull(), F.lit(None)).when(low < high, text).otherwise(F.lit(""))
+    each = BASES_IN[bits]
+    shifts = F.sequence(F.lit(0), F.lit(3 * (each - 1)), F.lit(3))
+    shown = lambda c, s: F.element_at(F.array(*[F.lit(x) for x in "." + ALPHABET]), (_low_code(c, s) + 1).cast("int"))
+    # Each chunk is taken apart once; a place without a base is a dot, and the text ends at the first.
+    letters = F.flatten(F.transform(packed, lambda c: F.transform(shifts, lambda s: shown(c, s))))
+    if start is not None or end is not None:
+        low = F.lit(0) if start is None else F.greatest(start, F.lit(0))
+        high = F.lit(2**31 - 1) if end is None else end
+        letters = F.slice(letters, low + 1, F.greatest(high - low, F.lit(0)))
+    return F.substring_index(F.array_join(letters, ""), ".", 1)
+
+
+def _low_code(chunk: Column, shift: Column) -> Column:
+    return F.call_function("shiftrightunsigned", chunk, shift).bitwiseAND(F.lit(7).cast("long"))
 
 
 def set_base(packed: Column, index: Column, to: Column, bits: int = 64) -> Column:
