@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The letters in the order of their codes, bases in a chunk by its width in bits, chunks of an array.
-ALPHABET, BASES_IN, CHUNKS = "ATCGN", {16: 5, 64: 21}, 8
+#: The letters in the order of their codes, the codes as octal digits, bases in a chunk by its width in bits, chunks of an array.
+ALPHABET, CODES, BASES_IN, CHUNKS = "ATCGN", "12345", {16: 5, 64: 21}, 8
 
 
 def capacity(bits: int = 64, chunks: int = CHUNKS) -> int:
@@ -59,18 +59,12 @@ def pack_error(seq: Column, bits: int = 64, chunks: int = CHUNKS, from_iter: boo
 def try_pack(seq: Column, bits: int = 64, chunks: int = CHUNKS, from_iter: bool = False) -> Column:
     """``array<bigint>``, null for what can't be packed."""
     each = BASES_IN[bits]
+    # Three bits a base are an octal digit a base, the first base last.
+    digits = F.translate(seq, ALPHABET, CODES)
 
     def chunk(c: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(0), F.lit(each - 1)),
-            F.lit(0).cast("long"),
-            lambda acc, i: acc.bitwiseOR(
-                F.when(
-                    c * each + i < F.length(seq),
-                    F.call_function("shiftleft", F.instr(F.lit(ALPHABET), F.substring(seq, c * each + i + 1, F.lit(1))).cast("long"), (i * 3).cast("int")),
-                ).otherwise(F.lit(0).cast("long"))
-            ),
-        )
+        octal = F.reverse(F.substring(digits, c * each + 1, F.lit(each)))
+        return F.when(octal == "", F.lit(0).cast("long")).otherwise(F.conv(octal, 8, 10).cast("long"))
 
     good = pack_error(seq, bits, chunks, from_iter).isNull() & seq.isNotNull()
     return F.when(good, F.transform(F.sequence(F.lit(0), F.lit(chunks - 1)), chunk))
@@ -95,19 +89,14 @@ def get(packed: Column, index: Column, bits: int = 64) -> Column:
 def bases(packed: Column, start: Column | None = None, end: Column | None = None, bits: int = 64) -> Column:
     """Text of the bases from ``start`` to before ``end``, clipped to the capacity, up to the first place without a base."""
     each = BASES_IN[bits]
-    shifts = F.sequence(F.lit(0), F.lit(3 * (each - 1)), F.lit(3))
-    shown = lambda c, s: F.element_at(F.array(*[F.lit(x) for x in "." + ALPHABET]), (_low_code(c, s) + 1).cast("int"))
-    # Each chunk is taken apart once; a place without a base is a dot, and the text ends at the first.
-    letters = F.flatten(F.transform(packed, lambda c: F.transform(shifts, lambda s: shown(c, s))))
+    octal = lambda c: F.reverse(F.lpad(F.conv(c.cast("string"), 10, 8), each, "0"))
+    digits = F.array_join(F.transform(packed, octal), "")
     if start is not None or end is not None:
         low = F.lit(0) if start is None else F.greatest(start, F.lit(0))
         high = F.lit(2**31 - 1) if end is None else end
-        letters = F.slice(letters, low + 1, F.greatest(high - low, F.lit(0)))
-    return F.substring_index(F.array_join(letters, ""), ".", 1)
-
-
-def _low_code(chunk: Column, shift: Column) -> Column:
-    return F.call_function("shiftrightunsigned", chunk, shift).bitwiseAND(F.lit(7).cast("long"))
+        digits = F.substring(digits, (low + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
+    # The text ends at the first place without a base.
+    return F.translate(F.substring_index(digits, "0", 1), CODES, ALPHABET)
 
 
 def set_base(packed: Column, index: Column, to: Column, bits: int = 64) -> Column:
