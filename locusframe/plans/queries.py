@@ -109,10 +109,10 @@ def locus_hash_join(spark, sf_dir):
     return found.select("pos0", "rid", F.col("target.ord").alias("ord"))
 
 
-@query("""SELECT contig, pos0, len, rid FROM reads WHERE contig = 'chr2' AND pos0 < 12000 AND pos0 + len > 11000""", "reads")
+@query("""SELECT contig, pos0, len, rid FROM reads WHERE contig = 'chr2' AND pos0 < 2000 AND pos0 + len > 1000""", "reads")
 def region_fetch(spark, sf_dir):
-    """Reads that overlap chr2:11000-12000 (0-based, half-open)."""
-    region = F.struct(F.lit("chr2").alias("contig"), F.lit(11000).alias("start"), F.lit(12000).alias("end"))
+    """Reads that overlap chr2:1000-2000 (0-based, half-open)."""
+    region = F.struct(F.lit("chr2").alias("contig"), F.lit(1000).alias("start"), F.lit(2000).alias("end"))
     f = pos.as_fetch(region)
     inside = (F.col("contig") == f["contig"]) & (F.col("pos0") < f["end"]) & (F.col("pos0") + F.col("len") > f["start"])
     return derive.reads(spark, sf_dir).where(inside)
