@@ -6,6 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: The error texts.
+RANGE_FAILED, ITEM_FAILED, NO_KEY = "Indexing failed: idx:%d..%d target_len:%d", "Slicing failed. index: %d", "Key %s not found"
+
+
 def _bounds(arr: Column, start: Column, end: Column | None) -> tuple[Column, Column, Column]:
     n = F.size(arr)
     low = F.when(start < 0, n + start).otherwise(start)
@@ -22,13 +26,13 @@ def try_signed_slice(arr: Column, start: Column, end: Column | None = None) -> C
 def signed_slice(arr: Column, start: Column, end: Column | None = None) -> Column:
     """As ``try_signed_slice``, but raises out of range."""
     low, high, outside = _bounds(arr, start, end)
-    text = F.concat(F.lit("Indexing failed: idx:"), low.cast("string"), F.lit(".."), high.cast("string"), F.lit(" target_len:"), F.size(arr).cast("string"))
+    text = F.format_string(RANGE_FAILED, low, high, F.size(arr))
     return F.when(arr.isNull(), arr).when(outside, F.element_at(F.array(arr), F.raise_error(text).cast("int"))).otherwise(try_signed_slice(arr, start, end))
 
 
 def item(arr: Column, index: Column) -> Column:
     """The item at a 0-based index; raises out of range."""
-    text = F.concat(F.lit("Slicing failed. index: "), index.cast("string"))
+    text = F.format_string(ITEM_FAILED, index)
     outside = (index < 0) | (index >= F.size(arr))
     return F.when(outside, F.element_at(arr, F.raise_error(text).cast("int"))).otherwise(F.get(arr, index.cast("int")))
 
@@ -39,7 +43,7 @@ def try_item(arr: Column, index: Column) -> Column:
 
 def value_of(map_: Column, key: Column) -> Column:
     """The value of a key; raises if the map hasn't it."""
-    text = F.concat(F.lit("Key "), key.cast("string"), F.lit(" not found"))
+    text = F.format_string(NO_KEY, key)
     return F.when(F.map_contains_key(map_, key), F.try_element_at(map_, key)).otherwise(
         F.element_at(F.map_values(map_), F.raise_error(text).cast("int"))
     )

@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 #: The letters in the order of their codes, the codes as octal digits, bases in a chunk by its width in bits, chunks of an array.
 ALPHABET, CODES, BASES_IN, CHUNKS = "ATCGN", "12345", {16: 5, 64: 21}, 8
 
+#: The error texts.
+INVALID_BASE, INVALID_AT = "Invalid base: %s", "Invalid base '%s' at position %d"
+SLICE_TOO_LONG, ITER_TOO_LONG = "Input slice is too long: %d bases, max is %d", "Input iterator is too long, max is %d"
+OUT_OF_BOUNDS = "Index out of bounds"
+
 
 def capacity(bits: int = 64, chunks: int = CHUNKS) -> int:
     return BASES_IN[bits] * chunks
@@ -28,7 +33,7 @@ def letter(of: Column) -> Column:
 
 def base(of: Column) -> Column:
     """A capital base as it is; raises for anything else."""
-    return F.when(code(of) > 0, of).otherwise(F.raise_error(F.concat(F.lit("Invalid base: "), of)).cast("string"))
+    return F.when(code(of) > 0, of).otherwise(F.raise_error(F.format_string(INVALID_BASE, of)).cast("string"))
 
 
 def _first_wrong(seq: Column) -> Column:
@@ -38,9 +43,7 @@ def _first_wrong(seq: Column) -> Column:
 
 
 def _invalid(seq: Column, place: Column) -> Column:
-    return F.concat(
-        F.lit("Invalid base '"), F.substring(seq, place, F.lit(1)), F.lit("' at position "), (place - 1).cast("string")
-    )
+    return F.format_string(INVALID_AT, F.substring(seq, place, F.lit(1)), place - 1)
 
 
 def pack_error(seq: Column, bits: int = 64, chunks: int = CHUNKS, from_iter: bool = False) -> Column:
@@ -50,9 +53,9 @@ def pack_error(seq: Column, bits: int = 64, chunks: int = CHUNKS, from_iter: boo
     wrong = F.when(place > 0, _invalid(seq, place))
     if from_iter:
         return F.coalesce(
-            F.when(place <= most, wrong), F.when(F.length(seq) > most, F.lit(f"Input iterator is too long, max is {most}"))
+            F.when(place <= most, wrong), F.when(F.length(seq) > most, F.lit(ITER_TOO_LONG % most))
         )
-    long = F.concat(F.lit("Input slice is too long: "), F.length(seq).cast("string"), F.lit(f" bases, max is {most}"))
+    long = F.format_string(SLICE_TOO_LONG, F.length(seq), F.lit(most))
     return F.coalesce(F.when(F.length(seq) > most, long), wrong)
 
 
@@ -111,4 +114,4 @@ def set_base(packed: Column, index: Column, to: Column, bits: int = 64) -> Colum
         lambda c, k: F.when(k == F.floor(index / each), c.bitwiseAND(F.bitwise_not(shift(F.lit(7).cast("long")))).bitwiseOR(shift(new))).otherwise(c),
     )
     outside = (index < 0) | (index >= F.size(packed) * each)
-    return F.when(outside, F.raise_error(F.lit("Index out of bounds")).cast("array<bigint>")).otherwise(changed)
+    return F.when(outside, F.raise_error(F.lit(OUT_OF_BOUNDS)).cast("array<bigint>")).otherwise(changed)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from locusframe.functions.chrom import chrom
 
-_SUFFIX = " Input variant key: "
+#: The error texts.
+MISSING, FIFTH, SUFFIX = "Failed to get next element of variant key.", "Invalid variant key, it has 5-th element: ", " Input variant key: "
 
 
 def try_variant(key: Column) -> Column:
@@ -18,12 +19,12 @@ def try_variant(key: Column) -> Column:
     error = (
         F.when(key.isNull(), F.lit(None))
         .when(n >= 2, F.when(number.isNull(), F.lit("invalid position")))
-        .otherwise(F.lit("Failed to get next element of variant key."))
+        .otherwise(F.lit(MISSING))
     )
     error = F.coalesce(
         error,
-        F.when(n < 4, F.lit("Failed to get next element of variant key."))
-        .when(n > 4, F.concat(F.lit("Invalid variant key, it has 5-th element: "), key))
+        F.when(n < 4, F.lit(MISSING))
+        .when(n > 4, F.concat(F.lit(FIFTH), key))
         .otherwise(F.lit(None).cast("string")),
     )
     good = error.isNull()
@@ -33,7 +34,7 @@ def try_variant(key: Column) -> Column:
         F.when(good, number).alias("pos"),
         field(2).alias("ref_b"),
         field(3).alias("alt_b"),
-        F.concat(error, F.lit(_SUFFIX), key).alias("error"),
+        F.concat(error, F.lit(SUFFIX), key).alias("error"),
     )
 
 
