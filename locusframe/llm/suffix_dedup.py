@@ -339,7 +339,7 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, most_segments: int = MO
         _cut(length, _borders(docs, length, n)), "part int, anchor long, content long, key long, place long"
     )
     met = (
-        cut.repartition(n, "part")
+        cut.repartitionById(n, "part")
         .sortWithinPartitions("part", "anchor", "content", "key", "place")
         .mapInArrow(_meet, "anchor long, key long, place long")
     )
