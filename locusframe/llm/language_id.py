@@ -9,8 +9,8 @@ What is encoded is the sequence of the distinct words of the whole text, lower-c
 neither capitals, junk characters nor a word said a thousand times count.  A dictionary holds the words of its language's
 sample in the same form, the most frequent last, where references are cheapest, up to ``dictionary_bytes``.
 
-The words come from a bounded sample: ``sample_bytes`` of text per language, of the documents with the smallest hash of their
-id, so that the sample neither depends on the order of rows nor grows with the input.
+The words come from a bounded sample: ``sample_bytes`` of text per language, of the documents with the smallest hash of
+their text, each text once, so that the sample neither depends on the order of rows nor grows with the input.
 
 Special cases: null text and text without a letter: ``und`` with score 0; texts of equal size under two dictionaries go to
 the language with more training documents, then the smaller name; no training rows at all: ``und`` for every text; rows that
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE_BYTES = 4_000_000
@@ -44,7 +44,7 @@ def distinct_words(text: str) -> list[str]:
 
 def dictionaries(
     docs: DataFrame, train: Column, sample_bytes: int = SAMPLE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES,
-    text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
+    text_col: str = "text", lang_col: str = "lang",
 ) -> list[tuple[str, int, bytes]]:
     """``(language, training documents, sample)``, the language with most documents first."""
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -53,25 +53,22 @@ def dictionaries(
     ).collect()  # one row per language
     if not counts:
         return []
-    # A share of each language's documents that holds about four times the bytes asked for, then the first of them in the
-    # order of their hash until the bytes are there.
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 4 * sample_bytes / max(r["bytes"], 1) + 64 / r["n"]))])
-    size = F.octet_length(text_col)
-    rank = F.xxhash64(F.lit("sample"), F.col(id_col))
-    before = Window.partitionBy("lang").orderBy("rank", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # A share of each language's documents that holds about twice the bytes asked for, at least some 64 documents.
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * sample_bytes / max(r["bytes"], 1) + 64 / r["n"]))])
+    rank = F.xxhash64(F.lit("sample"), F.col(text_col))
     sample = (
-        rows.withColumn("rank", rank)
-        .where(F.pmod("rank", F.lit(1_000_003)) / 1_000_003.0 <= share[F.col(lang_col)])
-        .select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), "rank", size.alias("size"))
-        .where(F.col("size") <= sample_bytes // 4)
-        .withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
-        .where(F.col("before") < sample_bytes)
-        .select("lang", "rank", "text")
-        .collect()  # sample_bytes * 5/4 per language at most
+        rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), rank.alias("rank"))
+        .where(F.pmod("rank", F.lit(1_000_003)) / 1_000_003.0 <= share[F.col("lang")])
+        .where(F.octet_length("text") <= sample_bytes // 4)
+        .dropDuplicates(["lang", "rank"])  # copies count once, so no group of them can fill the sample
+        .collect()  # about twice sample_bytes per language
     )
     words: dict[str, Counter] = {r["lang"]: Counter() for r in counts}
-    for r in sample:
-        words[r["lang"]].update(distinct_words(r["text"]))
+    room = dict.fromkeys(words, sample_bytes)
+    for r in sorted(sample, key=lambda r: (r["rank"], r["text"])):
+        if room[r["lang"]] > 0:
+            room[r["lang"]] -= len(r["text"].encode())
+            words[r["lang"]].update(distinct_words(r["text"]))
     by_size = sorted(counts, key=lambda r: (-r["n"], r["lang"]))
     return [(r["lang"], r["n"], _dictionary(words[r["lang"]], dictionary_bytes)) for r in by_size]
 
@@ -115,7 +112,7 @@ def identify(
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> DataFrame:
     """One row per document: ``doc_id, lang_pred, score, rejected``; ``train`` says which rows may be learned from."""
-    samples = dictionaries(docs, train, sample_bytes, dictionary_bytes, text_col, lang_col, id_col)
+    samples = dictionaries(docs, train, sample_bytes, dictionary_bytes, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
