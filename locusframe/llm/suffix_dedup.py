@@ -6,8 +6,8 @@ left).  Sorting all suffixes of the corpus would move each text a hundred times,
 1. Cut.  Each document is cut into segments: runs of windows of ``length`` bytes that have the same smallest hash of
    ``ANCHOR`` bytes.  Equal windows have the same smallest hash, so a window can only repeat in segments of its own hash.
    A segment is shipped as two hashes and its place; its text stays.
-2. Meet.  Segments are dealt out by ranges of (anchor hash, content hash), so that a hash which a third of all documents has
-   is spread over tasks as well, and sorted.  Of equal segments all but the first are repeats throughout.  The first ones of
+2. Meet.  Segments are dealt out by ranges of (anchor hash, content hash, id), so that a hash or a content which a third of
+   all documents has is spread over tasks as well, and sorted.  Of equal segments all but the first are repeats throughout.  The first ones of
    an anchor with several contents are candidates; so are those at the borders of a range, where the neighbour isn't seen.
 3. Sort.  The texts of candidates go to tasks by anchor.  Each task builds the suffix array of a block of whole anchors by
    two-stage sorting and compares neighbours: of suffixes with ``length`` bytes in common all but the earliest repeat.  An
@@ -110,7 +110,7 @@ def _parts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[int], list
         yield keys, offsets, texts
 
 
-def _cut(length: int, borders: tuple[np.ndarray, np.ndarray] | None):
+def _cut(length: int, borders: tuple[np.ndarray, ...] | None):
     """Mapper: segments of texts, with the range that each belongs to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,24 +124,34 @@ def _cut(length: int, borders: tuple[np.ndarray, np.ndarray] | None):
                 digest = xxhash.xxh3_64_intdigest
                 content = np.array([digest(whole[a : a + n]) for a, n in zip(at.tolist(), size.tolist())], np.uint64)
                 content = content.view(np.int64)
+                key = np.array(keys, np.int64)[text]
                 if borders is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(content)], ["anchor", "content"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, content, key)], ["anchor", "content", "key"])
                     continue
-                b_anchor, b_content = borders
-                part = np.searchsorted(b_anchor, anchor, "left")
-                high = np.searchsorted(b_anchor, anchor, "right")
-                for k in np.flatnonzero(high > part):
-                    part[k] += np.searchsorted(b_content[part[k] : high[k]], content[k], "right")
+                part = range_of(borders, (anchor, content, key))
                 place = np.array(offsets, np.int64)[text] + at - first[text]
                 columns = [
                     pa.array(part.astype(np.int32)), pa.array(anchor), pa.array(content),
-                    pa.array(np.array(keys, np.int64)[text]), pa.array(place * 512 + periodic * 256 + size),
+                    pa.array(key), pa.array(place * 512 + periodic * 256 + size),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "anchor", "content", "key", "place"])
 
     return run
 
 
+def range_of(borders: tuple[np.ndarray, ...], columns: tuple[np.ndarray, ...]) -> np.ndarray:
+    """How many borders each row is not before, in the order of the columns, the first one first."""
+    low, high = (np.searchsorted(borders[0], columns[0], side) for side in ("left", "right"))
+    if len(borders) == 1:
+        return high
+    found = low.copy()
+    tied = np.flatnonzero(high > low)
+    for a, b in set(zip(low[tied].tolist(), high[tied].tolist())):
+        rows = tied[(low[tied] == a) & (high[tied] == b)]
+        found[rows] = a + range_of(tuple(x[a:b] for x in borders[1:]), tuple(x[rows] for x in columns[1:]))
+    return found
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted segments: the repeats (anchor null) and the candidates.
 
@@ -315,23 +325,28 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return stored(ordered, "documents")
 
 
-def _borders(docs: DataFrame, length: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the ranges of (anchor, content) end, by the segments of about SAMPLE_DOCUMENTS documents.
+def _borders(docs: DataFrame, length: int, parts: int) -> tuple[np.ndarray, ...]:
+    """Where the ranges of (anchor, content, key) end, by the segments of about SAMPLE_DOCUMENTS documents.
 
     They only say how evenly the work is dealt out; the result is the same with any.
     """
     share = min(1.0, SAMPLE_DOCUMENTS / max(1, docs.count()))
     some = docs.where(F.pmod(F.xxhash64(F.lit("borders"), "key"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    seen = some.select("key", "text").mapInArrow(_cut(length, None), "anchor long, content long")
-    rows = seen.where(F.pmod(F.xxhash64("anchor", "content"), F.lit(16)) == 0).toArrow()
-    anchor, content = (rows.column(k).to_numpy() for k in ("anchor", "content"))
-    order = np.lexsort((content, anchor))
+    seen = some.select("key", "text").mapInArrow(_cut(length, None), "anchor long, content long, key long")
+    rows = seen.where(F.pmod(F.xxhash64("anchor", "content", "key"), F.lit(16)) == 0).toArrow()
+    columns = [rows.column(k).to_numpy() for k in ("anchor", "content", "key")]
+    order = np.lexsort(columns[::-1])
     at = order[np.linspace(0, len(order), parts + 1).astype(int)[1:-1]] if len(order) else order
-    return anchor[at], content[at]
+    return tuple(c[at] for c in columns)
 
 
-def repeated_runs(docs: DataFrame, length: int = LENGTH, most_segments: int = MOST_SEGMENTS) -> DataFrame:
-    """``key, at, size``: runs of bytes of the documents (``key, text``) that repeat earlier windows; they may overlap."""
+def repeated_runs(
+    docs: DataFrame, length: int = LENGTH, most_segments: int = MOST_SEGMENTS, dealt: DataFrame | None = None
+) -> DataFrame:
+    """``key, at, size``: runs of bytes of the documents (``key, text``) that repeat earlier windows; they may overlap.
+
+    ``dealt``: the same documents dealt out by ``key``, if the caller has them so; candidates are joined with these.
+    """
     if not ANCHOR <= length <= 160:
         raise ValueError(f"length must be {ANCHOR} to 160 bytes")
     n = shuffle_partitions(docs.sparkSession)
@@ -352,7 +367,8 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, most_segments: int = MO
         F.collect_list(F.struct("anchor", "place", F.coalesce("often", F.lit(False)).alias("often"))).alias("mine")
     )
     sorted_ = (
-        docs.join(mine, "key")
+        (docs if dealt is None else dealt)
+        .join(mine, "key")
         .select("key", "text", "mine")
         .mapInArrow(_texts(length), "group long, key long, place long, part binary")
         .repartition(n, "group")
@@ -371,7 +387,7 @@ def remove_repeats(
     texts = _keyed(id_and_text(docs, id_col, text_col))
     n = shuffle_partitions(docs.sparkSession)
     dealt = texts.select("key", "doc_id", "text").repartition(n, "key")  # used twice; Spark reuses the exchange
-    runs = repeated_runs(dealt, length, most_segments)
+    runs = repeated_runs(texts, length, most_segments, dealt)
     runs = runs.groupBy("key").agg(F.collect_list(F.struct("at", "size")).alias("runs"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     rows = dealt.join(runs, "key", "left").select("doc_id", "text", "runs")
