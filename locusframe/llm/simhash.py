@@ -165,21 +165,19 @@ def close_links(nodes: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
 
     first = postings.join(sized(postings), "list")
     links = compared(first.where(F.col("members") <= list_rows))
-    # Longer lists: a fourth position that the pair must share.
-    fourth = F.array(
-        *[
-            F.array(*[_posting(100 + 8 * k + p, [_byte(q) for q in (*t, p)]) for p in range(8) if p not in t])
-            for k, t in enumerate(triples)
-        ]
-    )
-    four = F.array(*[F.array(*[F.lit(sum(1 << q for q in (*t, p))) for p in range(8) if p not in t]) for t in triples])
+    # Longer lists: a fourth position that the pair must share.  The key is of the four positions in ascending order, whatever
+    # triple they come from, so that repeats are equal rows.
+    masks = [[sum(1 << q for q in (*t, p)) for p in range(8) if p not in t] for t in triples]
+    four = F.array(*[F.array(*[F.lit(m) for m in of_triple]) for of_triple in masks])
+    key_of = {m: _posting(100 + m, [_byte(q) for q in range(8) if m >> q & 1]) for m in {m for of_triple in masks for m in of_triple}}
+    fourth = F.array(*[F.array(*[key_of[m] for m in of_triple]) for of_triple in masks])
     long_lists = stored(first.where(F.col("members") > list_rows).select("fp", "triple"), "long-lists")
     by_four = long_lists.select(
         "fp",
         F.posexplode(F.element_at(fourth, F.col("triple") + 1)).alias("k", "list"),
         F.element_at(four, F.col("triple") + 1).alias("masks"),
     ).select("fp", F.element_at("masks", F.col("k") + 1).alias("mask"), "list")
-    by_four = by_four.dropDuplicates(["fp", "mask"])  # the same four positions come from several triples
+    by_four = stored(by_four.distinct(), "four-lists")  # the same four positions come from several triples
     second = by_four.join(sized(by_four), "list")
     links = links.union(compared(second.where(F.col("members") <= list_rows)))
     # Still longer: one of five blocks of the other 32 bits is equal.

@@ -139,6 +139,26 @@ def test_links_connect_what_is_close_at_any_list_size(spark, list_rows):
     assert {x: root(x) for x in signed} == label
 
 
+def test_long_lists_do_not_depend_on_the_order_of_triples(spark, monkeypatch):
+    def turned(df, label, real=simhash.stored):
+        if label == "long-lists":  # every other fingerprint has its triples in descending order
+            df = df.orderBy("fp", F.when(F.col("fp") % 2 == 0, F.col("triple")).otherwise(-F.col("triple"))).coalesce(1)
+        return real(df, label)
+
+    monkeypatch.setattr(simhash, "stored", turned)
+    # Byte k from the left is position k; each pair shares the bytes of four positions and no other.
+    rnd, pairs = random.Random(9), []
+    for mask in [(0, 1, 3, 4), (0, 1, 3, 6), (0, 1, 2, 3), (3, 4, 5, 6)]:
+        x = rnd.getrandbits(62) & ~1
+        y = x
+        for p in set(range(8)) - set(mask):
+            y ^= 1 << (56 - 8 * p)
+        pairs.append((x, y))
+    df = spark.createDataFrame([(x,) for pair in pairs for x in pair], "fp long")
+    got = {frozenset((r["fp_a"], r["fp_b"])) for r in simhash.close_links(df, 1).collect()}
+    assert {frozenset(p) for p in pairs} <= got
+
+
 def test_forest_is_whole_and_small():
     members = np.array([1 << k for k in range(60)], np.uint64)
     a, b = simhash.forest(members)
