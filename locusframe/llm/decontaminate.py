@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The words of the benchmark items are numbered; every document becomes the sequence of those numbers, and its n-grams are
-looked up among the items' n-grams.  Hits of an item on nearby diagonals are one passage, kept with the numbers of the words
-around it, so no text is read twice.  How many passages an n-gram brings is counted over the whole corpus.  An n-gram is a
-seed of its item if it is among the rarer half there (ties included), which holds at every size of the corpus and cannot leave
-an item without seeds.  Passages with a seed are aligned with their item; the score is the share of the best possible score,
-so an edited or shortened copy scores by how much of the item it repeats.
+looked up among the items' n-grams.  Every n-gram of an item is a seed, however frequent: which n-grams a copy keeps is not
+known, and those of a passage that is copied often are frequent themselves, so a cut by rarity loses copies.  Hits of an item on
+nearby diagonals are one passage, with as many words around it as the gaps of an alignment that reaches ``min_score`` can take.
+A passage is aligned with its item unless the words that both have in common cannot reach ``min_score`` even if all match; the
+score is the share of the best possible score, so an edited or shortened copy scores by how much of the item it repeats.  A copy
+without a single whole n-gram has no seed and is not found.
 
 The items are broadcast in blocks of ``block_words`` words at most, one scan of the documents per block.
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm._common import id_and_text, stored
+from locusframe.llm._common import id_and_text
 
 SEED_WORDS, MIN_SCORE, BLOCK_WORDS = 4, 0.4, 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -45,7 +46,6 @@ class Items:
         self.n, self.ids, self.words, self.vocabulary = n, [], [], {}
         grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
         self.widths: set[int] = set()
-        self.items_of: list[int] = []  # by n-gram number: the item
         for item_id, text in rows:
             words = words_of(text or "")
             if not words:
@@ -53,14 +53,12 @@ class Items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64)
             self.ids.append(item_id)
             self.words.append(ids)
-        self.firsts = []
+        self.bags = [np.unique(ids, return_counts=True) for ids in self.words]
         for k, ids in enumerate(self.words):
             width = min(n, len(ids))
             self.widths.add(width)
-            self.firsts.append(len(self.items_of))
             for at, key in enumerate(self.keys(ids, width)[0].tolist()):
                 grams[key].append((k, at))
-                self.items_of.append(k)
         self.grams = dict(grams)
         self.sorted_keys = np.array(sorted(grams), np.int64)
 
@@ -83,9 +81,9 @@ class Items:
         words = words_of(text)
         return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int64, len(words))
 
-    def passages(self, ids: np.ndarray) -> Iterator[tuple[int, int, int, list[int]]]:
-        """``(item, from, to, n-gram numbers)`` of the places of a document that share n-grams with an item."""
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    def passages(self, ids: np.ndarray, min_score: float = MIN_SCORE) -> Iterator[tuple[int, int, int]]:
+        """``(item, from, to)`` of the places of a document that share n-grams with an item."""
+        hits: dict[int, list[int]] = defaultdict(list)
         for width in self.widths:
             keys, at = self.keys(ids, width)
             if not len(keys):
@@ -94,18 +92,25 @@ class Items:
             found = self.sorted_keys[near] == keys
             for key, place in zip(keys[found].tolist(), at[found].tolist()):
                 for item, offset in self.grams[key]:
-                    hits[item].append((place - offset, self.firsts[item] + offset))
-        for item, pairs in hits.items():
-            pairs.sort()
+                    hits[item].append(place - offset)
+        for item, diagonals in hits.items():
+            diagonals.sort()
             size = len(self.words[item])
-            slack = size // 2 + self.n
+            # What all words of the item score beyond min_score may be spent on gaps, which leave the diagonal.
+            slack = int(MATCH * size * (1 - min_score)) // -GAP + self.n
             first = 0
-            for k in range(1, len(pairs) + 1):
-                if k == len(pairs) or pairs[k][0] - pairs[k - 1][0] > slack:
-                    low, high = pairs[first][0] - slack, pairs[k - 1][0] + size + slack
-                    yield item, max(0, low), min(len(ids), high), sorted({g for _, g in pairs[first:k]})
+            for k in range(1, len(diagonals) + 1):
+                if k == len(diagonals) or diagonals[k] - diagonals[k - 1] > slack:
+                    low, high = diagonals[first] - slack, diagonals[k - 1] + size + slack
+                    yield item, max(0, low), min(len(ids), high)
                     first = k
 
+    def common(self, item: int, passage: np.ndarray) -> int:
+        """How many words of the item the passage has, in any order: no alignment matches more."""
+        words, counts = self.bags[item]
+        near = np.minimum(np.searchsorted(words, passage), len(words) - 1)
+        return int(np.minimum(np.bincount(near[words[near] == passage], minlength=len(words)), counts).sum())
+
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Smith-Waterman with a linear gap cost: ``(score, from, to)``, the aligned words of the passage."""
@@ -131,61 +136,28 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 def _matches(docs: DataFrame, items: Items, min_score: float) -> DataFrame:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(items)
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 ids = known.numbers(text.as_py())
-                for item, low, high, grams in known.passages(ids):
-                    out.append((doc_id, item, low, ids[low:high].astype("<i4").tobytes(), np.array(grams, "<i4").tobytes()))
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-            names = ["doc_id", "item", "low", "words", "grams"]
-            columns = list(zip(*out)) or [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
-
-    passages = stored(docs.mapInArrow(scan, "doc_id long, item int, low long, words binary, grams binary"), "passages")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(shared.value.items_of), np.int64)
-        for batch in batches:
-            for grams in batch.column("grams"):
-                n[np.frombuffer(grams.as_buffer(), "<i4")] += 1
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(n[some], pa.int64())], ["gram", "n"])
-
-    counts = np.zeros(len(items.items_of), np.int64)
-    summed = passages.select("grams").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    for r in summed.collect():  # one row per n-gram of the block of items at most
-        counts[r["gram"]] = r["n"]
-    owner = np.array(items.items_of, np.int64)
-    seed = np.zeros(len(owner), bool)
-    for k in range(len(items.words)):
-        mine = np.flatnonzero(owner == k)
-        seed[mine] = counts[mine] <= np.median(counts[mine])
-    seeds = spark.sparkContext.broadcast(seed)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rare = shared.value, seeds.value
-        for batch in batches:
-            out = []
-            for doc_id, item, low, words, grams in zip(*(batch.column(c) for c in ("doc_id", "item", "low", "words", "grams"))):
-                if not rare[np.frombuffer(grams.as_buffer(), "<i4")].any():
-                    continue
-                mine = known.words[item.as_py()]
-                points, a, b = align(mine, np.frombuffer(words.as_buffer(), "<i4").astype(np.int64))
-                share = points / (MATCH * len(mine))
-                if share >= min_score:
-                    out.append((doc_id.as_py(), known.ids[item.as_py()], share, low.as_py() + a, low.as_py() + b))
+                for item, low, high in known.passages(ids, min_score):
+                    mine, passage = known.words[item], ids[low:high]
+                    if known.common(item, passage) / len(mine) < min_score:
+                        continue
+                    points, a, b = align(mine, passage)
+                    share = points / (MATCH * len(mine))
+                    if share >= min_score:
+                        out.append((doc_id, known.ids[item], share, low + a, low + b))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             names = ["doc_id", "item_id", "score", "first_word", "end_word"]
             columns = list(zip(*out)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    return passages.mapInArrow(score, "doc_id long, item_id long, score double, first_word long, end_word long")
+    return docs.mapInArrow(run, "doc_id long, item_id long, score double, first_word long, end_word long")
 
 
 def contaminated(

@@ -384,6 +384,21 @@ def test_frequent_leak_is_still_a_leak(spark):
     assert decontaminate.contaminated(df, bench).count() == 50
 
 
+def test_edited_half_and_parted_copies_are_leaks(spark):
+    items = [[f"i{k}w{n}" for n in range(40)] for k in range(6)] + [[f"long{n}" for n in range(100)]]
+    docs = [(k, [w if n % (5 + k) else "edit" for n, w in enumerate(items[k], 1)]) for k in range(3)]  # every 5th, 6th, 7th word
+    docs += [(10 + k, items[3][:20]) for k in range(200)]  # the same half in many documents
+    docs += [(300, items[4]), (301, items[4][:16]), (302, items[4][:15])]  # 0.375 is too little
+    docs += [(400 + k, items[5]) for k in range(5)] + [(410, items[5][10:30])]  # a rarer, shorter copy
+    docs += [(500, items[6][:42] + ["x"] * 60 + items[6][58:])]  # each part alone scores 0.42, both 0.54
+    df = spark.createDataFrame([(d, " ".join(["a", *t, "z"])) for d, t in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.contaminated(df, bench).collect()}
+    want = {(0, 0), (1, 1), (2, 2), (300, 4), (301, 4), (410, 5), (500, 6)}
+    assert set(got) == want | {(10 + k, 3) for k in range(200)} | {(400 + k, 5) for k in range(5)}
+    assert got[500, 6] == (2 * 84 - 60) / 200
+
+
 def test_remainder(spark):
     df = spark.createDataFrame([(k,) for k in range(50)], "doc_id long")
     assert all(r["m"] == zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in df.select("doc_id", id_remainder(5).alias("m")).collect())
