@@ -14,7 +14,7 @@ Only the learning uses a sample: ``train_rows`` labelled documents at most (20,0
 id.  All documents and whole texts are scored.
 
 Special cases: null and empty texts have no match and get the score of a text without any; without labelled rows of both kinds
-every score is 0; labels that are null are not learned from; documents with several labels count once per label; rows that
+every score is 0; labels that are null are not learned from; equal texts are learned once per label; rows that
 repeat are scored row by row; null ids are allowed; an empty table gives an empty result; further columns are ignored.
 """
 
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from locusframe.llm._common import id_and_text
 
 TRAIN_ROWS, MOST_TERMS, WINDOW, MEMORY_WORDS = 20_000, 4000, 8, 1_000_000
-MIN_DOCUMENTS, MIN_RATIO, FUZZY_LENGTH = 3, 8.0, 5
+MIN_DOCUMENTS, MIN_CONTEXTS, MIN_RATIO, FUZZY_LENGTH = 3, 3, 8.0, 5
 _PLAIN = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 _OPEN, _CLOSE = "\"'«“„‘(", "\"'»”’)"
 
@@ -164,17 +164,19 @@ class Reader:
 
 
 def _sample(docs: DataFrame, labels: DataFrame, train: Column, rows: int) -> DataFrame:
-    """``text, toxic, half`` of at most about ``rows`` labelled documents."""
+    """``text, toxic, half`` of the distinct texts of at most about ``rows`` labelled documents."""
     labelled = labels.where(F.col("toxic").isin(0, 1))
     n = labelled.count()
     rank = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30))
     chosen = labelled.where(rank < int(min(1.0, rows / max(n, 1)) * (1 << 30))).select("doc_id", "toxic").limit(2 * rows)
     # The broadcast side has a bound: the rows of the sample.
-    return (
+    found = (
         docs.where(train)
         .join(F.broadcast(chosen), "doc_id")
         .select("text", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half"))
     )
+    # Copies count once, and never in both halves.
+    return found.groupBy("text", "toxic").agg(F.min("half").alias("half"))
 
 
 def _word_counts(sample: DataFrame) -> tuple[dict, np.ndarray]:
@@ -207,8 +209,8 @@ def _word_counts(sample: DataFrame) -> tuple[dict, np.ndarray]:
         .groupBy("word")
         .agg(*sums, F.count_if(toxic > 0).alias("contexts"))
         .where((toxic >= MIN_DOCUMENTS) & ((toxic + 0.5) / (clean + 0.5) > ratio))
-        # What stands in a few copied passages only is not a term.
-        .where((F.col("contexts") >= MIN_DOCUMENTS) & (F.col("contexts") * 2 >= toxic))
+        # What stands in one copied passage only is not a term.  No share of the documents: neighbours grow more slowly.
+        .where(F.col("contexts") >= MIN_CONTEXTS)
         .orderBy(F.desc(toxic * F.log((toxic + 0.5) / (clean + 0.5) / ratio)), "word")
         .limit(2 * MOST_TERMS)
         .collect()

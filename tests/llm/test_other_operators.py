@@ -261,6 +261,20 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in rows)
 
 
+def test_frequent_terms_in_set_phrases_are_learned_and_copies_once(spark):
+    rnd = random.Random(3)
+    filler = lambda: [f"w{rnd.randrange(400)}" for _ in range(30)]
+    docs = [(k, filler(), 0) for k in range(300)]
+    docs += [(1000 + k, [*filler(), "abc"[k % 3] * 3, "insultum", *filler()], 1) for k in range(200)]
+    docs += [(2000 + k, ["copied", "words", "insultum", "only", "here"], 1) for k in range(300)]
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t, _ in docs], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(d, t) for d, _, t in docs], "doc_id long, toxic int")
+    words, totals = toxicity._word_counts(toxicity._sample(df, labels, F.lit(True), 20_000))
+    assert words["insultum"][[1, 3]].sum() == 201 and totals[[1, 3]].sum() == 201
+    assert "insultum" in toxicity.learn(df, labels, F.lit(True)).lexicon.weights
+    assert not {"copied", "words", "only", "here"} & set(words)
+
+
 def test_toxicity_edges(spark):
     df = spark.createDataFrame(ODD, SCHEMA)
     labels = spark.createDataFrame([(7, 1), (7, None), (-3, 0), (None, 1)], "doc_id long, toxic int")
