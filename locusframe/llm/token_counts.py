@@ -27,6 +27,9 @@ from locusframe.llm._common import id_and_text, new_path, stored
 from locusframe.llm.tokens import WordEncoder
 
 BLOCK_TOKENS = 262_144
+#: What a file of the order has for each document: id, whether that is null, tokens, and the line separator.
+_ORDER = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("n_tokens", "<i8"), ("end", "<u2")])
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 def _file_number(path: Column) -> Column:
@@ -37,8 +40,13 @@ def _file_number(path: Column) -> Column:
 def write_token_files(
     docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text"
 ) -> None:
-    """Write the ids of all texts, 16 bits each and ``end_id`` after each document, one file per partition."""
+    """Write the ids of all texts, 16 bits each and ``end_id`` after each document, one file per partition in ``kind=ids``.
+
+    The same tasks write in ``kind=order`` which documents these are, under the same number and in the same order.
+    """
+    spark = docs.sparkSession
     separator = int(end_id).to_bytes(2, "little")
+    record = np.dtype([(k, _ORDER[k]) for k in ("doc_id", "null", "n_tokens")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer_path, ordinary_special=True)
@@ -47,13 +55,51 @@ def write_token_files(
             for r in rows:
                 if len(r) and (int(r.max()) > 65535 or end_id in r):
                     raise ValueError("an id needs more than 16 bits or equals the end id")
-            yield pa.RecordBatch.from_arrays([pa.array([r.astype("<u2").tobytes() for r in rows], pa.binary())], ["ids"])
+            order = np.zeros(len(rows), record)
+            order["doc_id"] = batch.column("doc_id").fill_null(0).to_numpy()
+            order["null"] = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            order["n_tokens"] = [len(r) for r in rows]
+            values = [r.astype("<u2").tobytes() for r in rows] + [x.tobytes() for x in order]
+            kinds = ["ids"] * len(rows) + ["order"] * len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.binary()), pa.array(kinds, pa.string())], ["ids", "kind"])
+
+    ids = id_and_text(docs, id_col, text_col).mapInArrow(run, "ids binary, kind string")
+    # With a writer open for each kind the rows are not sorted by it: they stay in order.
+    before = spark.conf.get(_WRITERS)
+    spark.conf.set(_WRITERS, "4")
+    try:
+        # The writer of text puts the bytes of a row and then the line separator, here the end id.
+        ids.select(F.col("ids").cast("string").alias("value"), "kind").write.partitionBy("kind").option(
+            "encoding", "ISO-8859-1"
+        ).option("lineSep", separator.decode("latin-1")).text(path)
+    finally:
+        spark.conf.set(_WRITERS, before)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true")
+    return found.load(path).select("path", "content")
+
+
+def _order(spark: SparkSession, path: str) -> DataFrame:
+    """``doc_id, file, document, written`` of what ``write_token_files`` wrote; written: the tokens of the document."""
 
-    ids = id_and_text(docs, id_col, text_col).mapInArrow(run, "ids binary")
-    # The writer of text puts the bytes of a row and then the line separator, here the end id.
-    ids.select(F.col("ids").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option(
-        "lineSep", separator.decode("latin-1")
-    ).text(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content")):
+                rows = np.frombuffer(content.as_buffer(), _ORDER)
+                for at in range(0, len(rows), 65536):
+                    part = rows[at : at + 65536]
+                    columns = [
+                        pa.array(part["doc_id"].copy(), pa.int64(), mask=part["null"] > 0),
+                        pa.array(np.full(len(part), file), pa.int32()),
+                        pa.array(np.arange(at, at + len(part)), pa.int64()),
+                        pa.array(part["n_tokens"].copy(), pa.int64()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "file", "document", "written"])
+
+    files = _files(spark, path).where(F.col("path").contains("/kind=order/")).select(_file_number(F.col("path")).alias("file"), "content")
+    return files.mapInArrow(run, "doc_id long, file int, document long, written long")
 
 
 def _scan(dtype: str, end_id: int, block_tokens: int):
@@ -87,7 +133,7 @@ def count_tokens(
 ) -> DataFrame:
     """One row per document of the token files at ``path``: ``path, document, n_tokens, ended``; document is its place in the
     file, from 0."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
+    files = _files(spark, path).where(~F.col("path").contains("/kind=order/"))
     found = files.mapInArrow(
         _scan(dtype, end_id, block_tokens),
         "path string, block int, place long, n_tokens long, ends long, ended boolean",
@@ -116,8 +162,8 @@ def document_token_counts(
 ) -> DataFrame:
     """Write the token files of a table, scan them and give each count its ``doc_id``: ``doc_id, file, document, n_tokens``.
 
-    The table is read from the same files in the same split both times, so the n-th row of a partition is the n-th document of
-    the file that this partition wrote.
+    The table is read once: the tasks that write the token files also write which document is at which place, and the counts
+    are held against that.  A count without a document, a document without a count or one that differs is an error.
     """
     spark = docs.sparkSession
     path = new_path(spark, "token-files")
@@ -125,12 +171,7 @@ def document_token_counts(
     counts = count_tokens(spark, path, end_id, block_tokens=block_tokens).select(
         _file_number(F.col("path")).alias("file"), "document", "n_tokens"
     )
-    row = F.monotonically_increasing_id()
-    order = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        F.shiftright(row, 33).cast("int").alias("file"),
-        row.bitwiseAND(F.lit((1 << 33) - 1)).alias("document"),
-    )
-    return order.join(counts, ["file", "document"], "left").select(
-        "doc_id", "file", "document", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")
+    wrong = F.raise_error(F.lit("the token files and the order of their documents differ")).cast("long")
+    return _order(spark, path).join(counts, ["file", "document"], "full").select(
+        "doc_id", "file", "document", F.when(F.col("n_tokens") == F.col("written"), F.col("n_tokens")).otherwise(wrong).alias("n_tokens")
     )

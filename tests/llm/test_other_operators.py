@@ -199,6 +199,26 @@ def test_token_counts_round_trip(spark):
     assert path_in is None
 
 
+def test_token_counts_when_the_split_changes(spark, monkeypatch):
+    from locusframe.llm._common import stored
+
+    size = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(size)
+
+    def write(*args, real=token_counts.write_token_files):
+        real(*args)
+        spark.conf.set(size, "2k")  # as after the loss of executors: other splits than when the files were written
+
+    monkeypatch.setattr(token_counts, "write_token_files", write)
+    df = stored(spark.createDataFrame([(k, "word " * k) for k in range(400)], "doc_id long, text string").repartition(40), "test")
+    want = {k: len(Tokenizer.from_file(tokenizer_path()).encode("word " * k, add_special_tokens=False).ids) for k in range(400)}
+    try:
+        got = token_counts.document_token_counts(df, tokenizer_path(), END_OF_TEXT).collect()
+    finally:
+        spark.conf.set(size, before)
+    assert len(got) == 400 and {r["doc_id"]: r["n_tokens"] for r in got} == want
+
+
 def test_flat_files_without_a_last_end(spark, tmp_path):
     ids = np.array([5, 6, 9, 9, 7, 7, 7, 9, 1], "<u2")
     (tmp_path / "part-00000-x.txt").write_bytes(ids.tobytes())
