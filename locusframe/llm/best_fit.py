@@ -10,7 +10,8 @@ run by its rank among the pieces of its length.  Ranks are made without gatherin
 own pieces, and a prefix sum over the tasks' counts makes those numbers global.
 
 Special cases: null text counts as empty, its only token is the separator; documents longer than a sequence are cut into full
-pieces and a rest; rows that repeat are packed each for itself; null ids are packed as well; an empty table gives an empty
+pieces and a rest, and a text of any length is encoded as a whole, by itself if it is long; pieces of equal length are placed in
+the order of their tasks; rows that repeat are packed each for itself; null ids are packed as well; an empty table gives an empty
 result; further columns are ignored.
 """
 
@@ -27,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm._common import id_and_text, stored
-from locusframe.llm.tokens import WordEncoder
+from locusframe.llm._common import id_and_text, slices, stored
+from locusframe.llm.tokens import TEXT_BYTES, WordEncoder
 
 #: (first rank, pieces, first sequence, pieces of one sequence, offset of the first of them)
 Run = tuple[int, int, int, int, int]
@@ -176,15 +177,15 @@ def pieces(
         end = np.array([end_id], "<u4")
         block = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch, "text", TEXT_BYTES)):
             out = []
-            texts = encoder.encode_all([t.as_buffer().to_pybytes() for t in batch.column("text")])
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts):
+            texts = encoder.encode_all([t.as_buffer().to_pybytes() for t in part.column("text")])
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), texts):
                 ids = np.concatenate([text, end])
                 for piece, start in enumerate(range(0, len(ids), capacity)):
-                    part = ids[start : start + capacity]
-                    out.append((doc_id, piece, start, len(part), zlib.crc32(part.tobytes()), block, int(seen[len(part)])))
-                    seen[len(part)] += 1
+                    mine = ids[start : start + capacity]
+                    out.append((doc_id, piece, start, len(mine), zlib.crc32(mine.tobytes()), block, int(seen[len(mine)])))
+                    seen[len(mine)] += 1
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "block", "in_block"]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             columns = list(zip(*out)) or [[]] * len(names)

@@ -24,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def id_remainder(k: int, id_col: str = "doc_id") -> Column:
-    """crc32 of the id as text, modulo k."""
-    return F.crc32(F.col(id_col).cast("string")) % k
+    """crc32 of the id as text, modulo k; a null id counts as empty text, whose remainder is 0."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % k
 
 
 #: The rules that the contract fixes.

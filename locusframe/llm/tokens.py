@@ -1,7 +1,8 @@
 """Token ids of whole texts with a public vocabulary file, a word at a time.
 
 The vocabularies split text at white space before anything else, so the ids of a text are those of its words one after
-another, and each distinct word is encoded once per task.  Where the vocabulary knows no capitals, words are lower-cased
+another, and a word that is remembered is not encoded again.  Memory is bounded in bytes: the words that were met last are
+kept, and texts are to be given in slices of TEXT_BYTES (``_common.slices``).  Where the vocabulary knows no capitals, words are lower-cased
 first; a full stop or comma after a letter is a token of its own.  All of that is tried out on probes before it is relied on; a
 tokenizer that fails them encodes whole texts.
 """
@@ -13,8 +14,11 @@ import json
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Distinct words that one task remembers; beyond that it starts anew.  Words that are encoded in one call.
-MEMORY_WORDS, CALL_WORDS = 600_000, 4096
+#: Bytes of remembered words, in two generations of half of that each; what a word costs besides its letters and ids; words that
+#: are encoded in one call.
+MEMORY_BYTES, WORD_BYTES, CALL_WORDS = 48 << 20, 170, 4096
+#: Bytes of text that are split into words at once: the larger, the fewer words are looked up twice.
+TEXT_BYTES = 4 << 20
 _PROBES = ("one two", "a1 b2", "it's  we'll\n\tgo", "x , y . z !?", "é è é", "<|end of text|> <|endoftext|>", "End, the end. A1. é,")
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
@@ -26,6 +30,8 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary_special
         self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
+        self.used = 0
         suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
         vocabulary = self.tokenizer.get_vocab()
         self.ends_unit = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -70,18 +76,24 @@ class WordEncoder:
 
     def _words(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
-        known = self.known
         split = [(t.lower() if self.lower else t).split() for t in texts]
         distinct: set[bytes] = set().union(*split)
+        if self.used > MEMORY_BYTES // 2:  # the generation before goes, but for the words that come again
+            self.known, self.before, self.used = {}, self.known, 0
+        known = self.known
         new = distinct.difference(known)
+        if self.before:
+            again = new.intersection(self.before)
+            known.update(zip(again, map(self.before.__getitem__, again)))
+            new -= again
+            self.used += sum(map(len, again)) + WORD_BYTES * len(again)
         if new:
-            if len(known) + len(new) > MEMORY_WORDS:
-                known.clear()
-                new = distinct
             marked = {w for w in new if w[-1] in b".," and len(w) > 1 and w[-2] in _LETTERS} if self.lower else set()
             plain = (new - marked) | {w[:-1] for w in marked} | ({b".", b","} if marked else set())
-            self._learn(sorted(plain.difference(known)))
+            plain.difference_update(known)
+            self._learn(sorted(plain))
             known.update({w: known[w[:-1]] + known[w[-1:]] for w in marked})
+            self.used += sum(map(len, new)) + sum(map(len, plain)) + WORD_BYTES * (len(plain) + len(marked))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:

@@ -188,15 +188,66 @@ def test_token_counts_round_trip(spark):
     tokenizer = Tokenizer.from_file(tokenizer_path())
     tokenizer.encode_special_tokens = True
     want = {d: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for d, t in rows}
-    path_in = None
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    from locusframe.llm._common import stored
-
-    df = stored(df, "test")
-    for block in (16, 1000, 262_144):
-        got = token_counts.document_token_counts(df, tokenizer_path(), END_OF_TEXT, block_tokens=block).collect()
+    for block in (16, 1000, 1 << 20):
+        got = token_counts.document_token_counts(df, tokenizer_path(), END_OF_TEXT, block_bytes=block).collect()
         assert {r["doc_id"]: r["n_tokens"] for r in got} == want
-    assert path_in is None
+
+
+def test_token_counts_of_rows_in_no_order_and_of_many_small_files(spark):
+    rows = [(k, "word " * (k % 90)) for k in range(500)]
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    want = {d: len(tokenizer.encode(t, add_special_tokens=False).ids) for d, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).orderBy(F.rand())
+    most = "spark.sql.files.maxRecordsPerFile"
+    for records in (0, 100):
+        spark.conf.set(most, records)
+        try:
+            got = token_counts.document_token_counts(df, tokenizer_path(), END_OF_TEXT)
+            got = [(r["doc_id"], r["n_tokens"]) for r in got.collect()]
+        finally:
+            spark.conf.unset(most)
+        assert len(got) == 500 and dict(got) == want
+
+
+@pytest.mark.parametrize("dtype, end_id", [("<u2", 0), ("<u2", 257), ("<u4", 258)])
+def test_blocks_of_any_size_and_alignment(spark, tmp_path, dtype, end_id):
+    """Ids from few bytes, so that the end id also stands across ids; blocks are Spark's splits, of a few bytes here."""
+    rnd = np.random.default_rng(end_id)
+    want = {}
+    for k, n in enumerate([0, 1, 2, 30, 130]):
+        ids = rnd.choice([0, 1, 2, 256, 257, 258, 512, 513, 514, 49407, 65472, end_id, end_id], n).astype(dtype)
+        (tmp_path / f"part-{k:05}.bin").write_bytes(ids.tobytes())
+        ends = [-1, *np.flatnonzero(ids == end_id).tolist()]
+        counts = [(b - a - 1, True) for a, b in zip(ends, ends[1:])] + [(n - ends[-1] - 1, False)]
+        for place, found in enumerate(counts):
+            if found != (0, False):
+                want[k, place] = found
+    sizes = {"spark.sql.files.maxPartitionBytes": "41", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k) for k in sizes}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        got = token_counts.count_tokens(spark, str(tmp_path), end_id, dtype, 64, "*.bin").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(int(r["path"][-9:-4]), r["document"]): (r["n_tokens"], r["ended"]) for r in got} == want and len(got) == len(want)
+
+
+def test_a_file_that_ends_within_an_id(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"\x05\x00\x09\x00\x07")
+    with pytest.raises(Exception, match="ends within an id"):
+        token_counts.count_tokens(spark, str(tmp_path), 9).collect()
+
+
+def test_wide_ids(spark, monkeypatch):
+    monkeypatch.setattr(token_counts, "id_width", lambda path: "<u4")
+    rows = token_rows(20)
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    tokenizer.encode_special_tokens = True
+    got = token_counts.document_token_counts(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path(), END_OF_TEXT)
+    assert {r["doc_id"]: r["n_tokens"] for r in got.collect()} == {d: len(tokenizer.encode(t or "", add_special_tokens=False).ids) for d, t in rows}
 
 
 def test_token_counts_when_the_split_changes(spark, monkeypatch):
@@ -224,7 +275,7 @@ def test_flat_files_without_a_last_end(spark, tmp_path):
     (tmp_path / "part-00000-x.txt").write_bytes(ids.tobytes())
     (tmp_path / "part-00001-x.txt").write_bytes(b"")
     for block in (1, 2, 3, 100):
-        got = token_counts.count_tokens(spark, str(tmp_path), 9, block_tokens=block).orderBy("document").collect()
+        got = token_counts.count_tokens(spark, str(tmp_path), 9, block_bytes=block).orderBy("document").collect()
         assert [(r["document"], r["n_tokens"], r["ended"]) for r in got] == [(0, 2, True), (1, 0, True), (2, 3, True), (3, 1, False)]
 
 
@@ -399,8 +450,8 @@ def test_leaks_are_found_and_clean_documents_stay(spark):
     docs += [(900, "here: Three, short words!"), (901, None), (902, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block_words in (1_000_000, 200):
-        got = decontaminate.contaminated(df, bench, block_words=block_words).collect()
+    for block_bytes in (1 << 20, 900):
+        got = decontaminate.contaminated(df, bench, block_bytes=block_bytes).collect()
         assert {(r["doc_id"], r["item_id"]) for r in got} == want | {(900, 90)}
         span = [r for r in got if r["doc_id"] == 0][0]
         assert 58 <= span["first_word"] <= 62 and 98 <= span["end_word"] <= 102
@@ -433,6 +484,33 @@ def test_edited_half_and_parted_copies_are_leaks(spark):
     assert got[500, 6] == (2 * 84 - 60) / 200
 
 
+def test_an_n_gram_that_many_items_share(spark):
+    """Items with a common phrase: the result is that of all items aligned with all documents that share an n-gram."""
+    rnd = random.Random(12)
+    phrase = "answer the following question with yes or no".split()
+    items = [[*phrase, *(f"w{rnd.randrange(60)}" for _ in range(rnd.randint(4, 20)))] for _ in range(300)]
+    docs = [[*phrase, *(f"w{rnd.randrange(60)}" for _ in range(25))] for _ in range(20)]
+    docs += [[f"x{k}", *items[k][:3], "edit", *items[k][4:], *phrase] for k in range(20)]
+    found = decontaminate.Items([(k, " ".join(w)) for k, w in enumerate(items)], 4, most_items=5)
+    assert found.common_grams.any()
+    gram = lambda w: {tuple(w[k : k + 4]) for k in range(len(w) - 3)}
+    for d in docs:
+        ids = found.numbers(" ".join(d))
+        want = {k for k, w in enumerate(items) if gram(w) & gram(d) and decontaminate.align(found.words[k], ids)[0] >= 0.8 * len(w)}
+        assert {m[0] for m in found.matches(" ".join(d))} == want and (d[0][0] != "x" or int(d[0][1:]) in want)
+
+
+def test_decontamination_of_rows_without_or_with_equal_ids(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, item, 1), (None, "clean", 2), (9, f"a {item}", 3), (9, "clean", 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id long")
+    bench = spark.createDataFrame([(1, item), (2, item + " more")], "item_id long, text string")
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert sorted(r["__id"] for r in kept.collect()) == [2, 4] and kept.columns == df.columns
+    with pytest.raises(ValueError, match="not broadcast"):
+        decontaminate.drop_contaminated(df, bench, block_bytes=10)
+
+
 def test_remainder(spark):
     df = spark.createDataFrame([(k,) for k in range(50)], "doc_id long")
     assert all(r["m"] == zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in df.select("doc_id", id_remainder(5).alias("m")).collect())
