@@ -3,19 +3,21 @@
 The lexicon is learned from labelled documents: words that are far more frequent in toxic documents than in others.  Its terms
 form tries, one from the front and one from the back.  A word of a text matches a term if the Levenshtein automaton of the word,
 walked along a trie, accepts.  A word within one edit of a term has half of it undamaged, so the walk starts where that half
-ends.  Each distinct word is walked once per task.
+ends.  A word that a task remembers is not walked again; what it remembers is bounded in bytes.
 
 Every match is looked at in a window of words around it: whether it stands between quotation marks, how many other matches are
 near.  Counts of exact, misspelled, quoted and crowded matches and the terms' weights are the features of a logistic
 regression, whose coefficients are learned too.  To keep that honest each half of the training sample is described with the
 lexicon of the other half; texts are then scored with the lexicon of both.
 
-Only the learning uses a sample: ``train_rows`` labelled documents at most (20,000), those with the smallest hash of their
-id.  All documents and whole texts are scored.
+Only the learning uses a sample: ``train_rows`` labelled documents (20,000), those with the smallest hash of their id, and about
+as many of their texts where ids repeat.  All documents and whole texts are scored.
 
-Special cases: null and empty texts have no match and get the score of a text without any; without labelled rows of both kinds
-every score is 0; labels that are null are not learned from; equal texts are learned once per label; rows that
-repeat are scored row by row; null ids are allowed; an empty table gives an empty result; further columns are ignored.
+Special cases: null and empty texts have no match and get the score of a text without any; a text of any length is scored as a
+whole, and quotation marks are followed through all of it; of terms that are equally near to a word the heaviest counts, then the
+last in the alphabet; without labelled rows of both kinds every score is 0; labels that are null are not learned from; equal
+texts are learned once per label; rows that repeat are scored row by row; null ids are allowed; an empty table gives an empty
+result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm._common import id_and_text
+from locusframe.llm._common import id_and_text, slices, stored
 
-TRAIN_ROWS, MOST_TERMS, WINDOW, MEMORY_WORDS = 20_000, 4000, 8, 1_000_000
+TRAIN_ROWS, MOST_TERMS, WINDOW = 20_000, 4000, 8
+#: Bytes of words that a reader remembers, in two generations, and what a word costs besides its letters.
+MEMORY_BYTES, WORD_BYTES = 24 << 20, 90
 MIN_DOCUMENTS, MIN_CONTEXTS, MIN_RATIO, FUZZY_LENGTH = 3, 3, 8.0, 5
 _PLAIN = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
 _OPEN, _CLOSE = "\"'«“„‘(", "\"'»”’)"
@@ -118,6 +122,8 @@ class Reader:
         self.lexicon = lexicon
         self.matched: dict[bytes, tuple[str, int]] = {}
         self.seen: set[bytes] = set()
+        self.before: set[bytes] = set()
+        self.used = 0
 
     def features(self, text: str) -> list[float] | None:
         """None for a text without a match."""
@@ -125,14 +131,15 @@ class Reader:
         distinct = set(words)
         new = distinct - self.seen
         if new:
-            if len(self.seen) > MEMORY_WORDS:
-                self.seen.clear()
-                self.matched.clear()
-                new = distinct
-            for w in new:
+            walk = new - self.before if self.before else new
+            for w in walk:
                 if (hit := self.lexicon.near(w.decode())) is not None:
                     self.matched[w] = hit
             self.seen |= new
+            self.used += sum(map(len, new)) + WORD_BYTES * len(new)
+            if self.used > MEMORY_BYTES // 2:  # the generation before goes, but for this text's words
+                self.before, self.seen, self.used = self.seen, set(distinct), 0
+                self.matched = {w: hit for w, hit in self.matched.items() if w in self.before}
         if not self.matched or distinct.isdisjoint(self.matched):
             return None
         hits, quoted_words, depth = [], [], 0
@@ -163,29 +170,33 @@ class Reader:
         ]
 
 
+def _share(hashed: Column, rows: int, of: int) -> Column:
+    """Whether a row is among a share of about ``rows`` of ``of`` rows."""
+    return F.pmod(hashed, F.lit(1 << 30)) < int(min(1.0, rows / max(of, 1)) * (1 << 30))
+
+
 def _sample(docs: DataFrame, labels: DataFrame, train: Column, rows: int) -> DataFrame:
-    """``text, toxic, half`` of the distinct texts of at most about ``rows`` labelled documents."""
-    labelled = labels.where(F.col("toxic").isin(0, 1))
-    n = labelled.count()
-    rank = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30))
-    chosen = labelled.where(rank < int(min(1.0, rows / max(n, 1)) * (1 << 30))).select("doc_id", "toxic").limit(2 * rows)
-    # The broadcast side has a bound: the rows of the sample.
-    found = (
-        docs.where(train)
-        .join(F.broadcast(chosen), "doc_id")
-        .select("text", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half"))
+    """``text, toxic, half`` of the distinct texts of ``rows`` labelled documents; stored."""
+    labelled = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(train).select("doc_id", "toxic").distinct()
+    rank = F.xxhash64(F.lit("toxicity"), "doc_id")
+    # The broadcast side has ``rows`` rows at most.
+    chosen = labelled.where(_share(rank, 2 * rows, labelled.count())).orderBy(F.pmod(rank, F.lit(1 << 30)), "doc_id", "toxic").limit(rows)
+    found = docs.join(F.broadcast(chosen), "doc_id").select(
+        "text", F.col("toxic").cast("int").alias("toxic"), F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half")
     )
     # Copies count once, and never in both halves.
-    return found.groupBy("text", "toxic").agg(F.min("half").alias("half"))
+    found = stored(found.groupBy("text", "toxic").agg(F.min("half").alias("half")), "labelled")
+    n = found.count()
+    return found if n <= rows else found.where(_share(F.xxhash64(F.lit("texts"), "text"), rows, n))
 
 
 def _word_counts(sample: DataFrame) -> tuple[dict, np.ndarray]:
     """Documents by half and label, and of each word that may be a term in any of the lexicons."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch, "text")):
             words, before, kinds = [], [], []
-            for text, toxic, half in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "half"))):
+            for text, toxic, half in zip(*(part.column(c).to_pylist() for c in ("text", "toxic", "half"))):
                 mine = words_of(text)
                 # Of each word the last place counts: the word before it there.
                 last = {w: p for w, p in zip(mine, [b"", *mine]) if len(w) > 2}
@@ -258,10 +269,10 @@ class Scorer:
     def __init__(self, model: Model):
         self.reader, self.w = Reader(model.lexicon), model.coefficients
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        if self.w is None or not texts:
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        if self.w is None or not len(texts):
             return np.zeros(len(texts))
-        x = np.array([(t and self.reader.features(t)) or [0.0] * Reader.FEATURES for t in texts])
+        x = np.array([((t := x.as_py()) and self.reader.features(t)) or [0.0] * Reader.FEATURES for x in texts])
         return 1 / (1 + np.exp(-np.clip(x @ self.w[:-1] + self.w[-1], -30, 30)))
 
 
@@ -276,12 +287,12 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, train_rows: int = T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         readers = [Reader(x) for x in halves.value]
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("text", "half")))
+        for part in (p for batch in batches for p in slices(batch, "text")):
+            rows = zip(*(part.column(c).to_pylist() for c in ("text", "half")))
             x = [readers[half].features(text) or [0.0] * Reader.FEATURES for text, half in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column("toxic")], ["x", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), part.column("toxic")], ["x", "toxic"])
 
-    rows = sample.mapInArrow(run, "x array<double>, toxic int").collect()  # train_rows at most
+    rows = sample.mapInArrow(run, "x array<double>, toxic int").collect()  # about train_rows at most
     x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float)
     return Model(lexicon(words, totals, (0, 1)), fit(x, y))
 
@@ -293,7 +304,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            p = scorer.scores([t.as_py() for t in batch.column("text")])
+            p = scorer.scores(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"]
             )
@@ -324,7 +335,7 @@ def drop_toxic(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            p = scorer.scores([t.as_py() for t in batch.column(position)])
+            p = scorer.scores(batch.column(position))
             yield batch.filter(pa.array(p < threshold))
 
     return docs.mapInArrow(run, docs.schema)
