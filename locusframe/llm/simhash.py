@@ -9,11 +9,14 @@ the rest verified by the differing bits.
 Only distinct fingerprints are indexed, so copies cost nothing.  A posting list that is longer than ``list_rows`` is not
 gathered: it is split by every fourth position and its byte, since a pair needs a fourth byte in common anyway, and lists that
 are still longer by blocks of the remaining bits (of five blocks of the 32 remaining bits, one is free of the at most 4
-differing bits).  Within a list links are found breadth first: a found member is compared only with those not yet
-reached, and only a spanning forest leaves the task, never all pairs.
+differing bits).  What is longer even then is not compared: two fingerprints within 4 bits have a midpoint that is within 2 bits
+of both, and all that are within 2 bits of one midpoint are within 4 bits of each other.  So each fingerprint is linked with the
+smallest one at each of its midpoints, a minimum that Spark combines before it shuffles.  Within a list links are found breadth
+first: a found member is compared only with those not yet reached, and only a spanning forest leaves the task, never all pairs.
 
 Special cases: null text counts as empty; no words give fingerprint zero, which links like any other; fewer words than a
-shingle has give one shingle of all words; rows that repeat a ``doc_id`` are rows of their own; a null ``doc_id`` gets a
+shingle has give one shingle of all words; a bit that is set in exactly half of the hashes is 0; a text of any length is hashed
+as a whole; rows that repeat a ``doc_id`` are rows of their own; a null ``doc_id`` gets a
 fingerprint but no component unless a document with an id shares its class; an empty table gives an empty result; further
 columns are ignored.
 """
@@ -29,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm._common import id_and_text, shuffle_partitions, stored
+from locusframe.llm._common import ROW_KEY, addressable, id_and_text, joined_to_classes, row_key, shuffle_partitions, stored, without_rows
 from locusframe.llm.components import components
 
 #: Members of a posting list that one task compares with each other.
@@ -67,17 +70,19 @@ def fingerprint(data: bytes, width: int = 4) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """``doc_id, fp`` (fp: the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, *more: Column) -> DataFrame:
+    """``doc_id, fp`` (fp: the 64 bits as a signed long), and the columns asked for, which must be longs."""
+    rows = id_and_text(docs, id_col, text_col, *more)
+    names = ["doc_id", *rows.columns[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array(
                 [fingerprint(x.as_buffer().to_pybytes(), width) for x in batch.column("text")], np.uint64
             ).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.int64())], [*names, "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def forest(members: np.ndarray, max_bits: int = 4, min_bytes: int = 4) -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +177,8 @@ def close_links(nodes: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     key_of = {m: _posting(100 + m, [_byte(q) for q in range(8) if m >> q & 1]) for m in {m for of_triple in masks for m in of_triple}}
     fourth = F.array(*[F.array(*[key_of[m] for m in of_triple]) for of_triple in masks])
     long_lists = stored(first.where(F.col("members") > list_rows).select("fp", "triple"), "long-lists")
+    if long_lists.isEmpty():
+        return links.distinct()
     by_four = long_lists.select(
         "fp",
         F.posexplode(F.element_at(fourth, F.col("triple") + 1)).alias("k", "list"),
@@ -190,12 +197,38 @@ def close_links(nodes: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
         ]
     )
     widths = [(0, 7), (7, 7), (14, 6), (20, 6), (26, 6)]
-    third = second.where(F.col("members") > list_rows).select("fp", "list", F.element_at(packed, F.col("mask") + 1).alias("rest"))
+    third = second.where(F.col("members") > list_rows).select(
+        "fp", "list", "mask", F.element_at(packed, F.col("mask") + 1).alias("rest")
+    )
     blocks = F.array(
         *[F.xxhash64("list", F.lit(k), F.shiftrightunsigned("rest", s).bitwiseAND(F.lit((1 << w) - 1))) for k, (s, w) in enumerate(widths)]
     )
-    third = third.select("fp", F.explode(blocks).alias("list"))
-    return links.union(compared(third)).distinct()
+    third = stored(third.withColumn("block", F.explode(blocks)), "block-lists")
+    if third.isEmpty():
+        return links.distinct()
+    third = third.join(sized(third.select(F.col("block").alias("list"))).withColumnRenamed("list", "block"), "block")
+    links = links.union(compared(third.where(F.col("members") <= list_rows).select("fp", F.col("block").alias("list"))))
+    # Longer even then: the four bytes in common, told apart by themselves, and midpoints of the other 32 bits.
+    flips = [0, *(1 << a for a in range(32)), *((1 << a) | (1 << b) for a, b in combinations(range(32), 2))]
+    flips = F.from_json(F.lit(str(flips)), "array<bigint>")
+    same = [F.when(F.shiftright("mask", q).bitwiseAND(F.lit(1)) == 1, _byte(q)).otherwise(F.lit(0)).alias(f"byte{q}") for q in range(8)]
+    longest = third.where(F.col("members") > list_rows).select("fp", "mask", "rest", *same).distinct()
+    keys = ["mask", *(f"byte{q}" for q in range(8)), "midpoint"]
+    reach = longest.withColumn("midpoint", F.explode(F.transform(flips, lambda x: F.col("rest").bitwiseXOR(x)))).drop("rest")
+    least = reach.groupBy(*keys).agg(F.min("fp").alias("fp_a"))
+    star = reach.join(least, keys).select("fp_a", F.col("fp").alias("fp_b")).where("fp_a <> fp_b")
+    return links.union(star).distinct()
+
+
+def _labelled(fps: DataFrame, list_rows: int) -> DataFrame:
+    """``fp, members, first`` of fingerprints (``fp, first``): how many rows have it, and the smallest ``first`` in its component."""
+    nodes = stored(fps.groupBy("fp").agg(F.min("first").alias("first"), F.count("*").alias("members")), "nodes")
+    links = stored(close_links(nodes.select("fp"), list_rows), "fp-links")
+    labels = components(links.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
+    # Labels are fingerprints; the smallest row of all fingerprints with one label names the component.
+    linked = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    named = linked.groupBy("label").agg(F.min("first").alias("of_all"))
+    return linked.join(named, "label").select("fp", "members", F.col("of_all").alias("first"))
 
 
 def near_duplicates(
@@ -206,26 +239,23 @@ def near_duplicates(
     ``component_id`` is the smallest ``doc_id`` that is reachable over links, the document itself included.
     """
     fps = stored(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
-    links = stored(close_links(nodes.select("fp"), list_rows), "fp-links")
-    labels = components(links.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
-    # Labels are fingerprints; the smallest document of all fingerprints with one label names the component.
-    linked = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    named = linked.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_fp = linked.join(named, "label").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = stored(_labelled(fps.select("fp", F.col("doc_id").alias("first")), list_rows), "classes")
+    return joined_to_classes(fps, classes, ["fp"]).select(
+        "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("first").alias("component_id")
+    )
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """The documents that stay, with all their columns: of each component the one that names it.
+def keep_one_of_each(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, list_rows: int = LIST_ROWS
+) -> DataFrame:
+    """The documents that stay, with all their columns: of each component one row, the one with the smallest id.
 
-    Documents without an id stay only where no document with an id is in their component.
+    Rows without an id come after all others, and rows that share an id are taken by their place in the files, by which all rows
+    are told apart; no text is shuffled.
     """
-    kept = (
-        near_duplicates(docs, id_col, text_col, width)
-        .where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(F.col("doc_id").alias("__id"))
-        .distinct()
-    )
-    both = docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    return both
+    docs = addressable(docs)
+    fps = stored(fingerprints(docs, id_col, text_col, width, *row_key(docs)), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *ROW_KEY)
+    classes = stored(_labelled(fps.select("fp", place.alias("first")), list_rows), "classes")
+    rest = joined_to_classes(fps.select("fp", place.alias("place")), classes, ["fp"]).where(~F.col("place").eqNullSafe(F.col("first")))
+    return without_rows(docs, stored(rest.select(*[f"place.{c}" for c in ROW_KEY]), "copies"))

@@ -59,6 +59,24 @@ def test_clashing_columns(spark):
     assert exact_dedup.drop_exact_duplicates(df).collect()[0]["node"] == "x"
 
 
+def test_rows_are_told_apart_by_their_place(spark):
+    rows = [(None, "a b", 1), (5, "a  b", 2), (5, "a b", 3), (None, "c", 4), (None, "c", 5), (2**63 - 1, "d", 6), (None, "d", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id long").withColumn("__sha", F.lit("x"))
+    kept = exact_dedup.drop_exact_duplicates(df.coalesce(1))
+    assert kept.columns == df.columns and sorted(r["__id"] for r in kept.collect()) == [2, 4, 6]
+    assert {r["keep_id"] for r in exact_dedup.exact_duplicates(df).where("doc_id > 5").collect()} == {2**63 - 1}
+
+
+def test_large_classes(spark, monkeypatch):
+    from locusframe.llm import _common
+
+    monkeypatch.setattr(_common, "BROADCAST_CLASSES", 3)
+    rows = [(k, "hot") for k in range(1200)] + [(2000 + k, f"t{k % 500}") for k in range(1500)]
+    got = exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and sum(r["kept"] for r in got) == 501
+    assert {r["group_size"] for r in got if r["doc_id"] < 1200} == {1200} and {r["group_size"] for r in got if r["doc_id"] >= 2000} == {3}
+
+
 # SimHash -----------------------------------------------------------------------------------------------------------------------
 
 
@@ -159,6 +177,37 @@ def test_long_lists_do_not_depend_on_the_order_of_triples(spark, monkeypatch):
     assert {frozenset(p) for p in pairs} <= got
 
 
+@pytest.mark.parametrize("rows, want", [
+    ([(5, "X"), (None, "X"), (None, "Y")], [(5, "X"), (None, "Y")]),
+    ([(3, "X"), (7, "X"), (7, "Y")], [(3, "X"), (7, "Y")]),
+    ([(7, "X"), (7, "X"), (None, "Y"), (None, "Y")], [(7, "X"), (None, "Y")]),
+])
+def test_one_row_of_each_stays_whatever_the_ids(spark, rows, want):
+    text = {"X": "one two three four five six", "Y": "quite other words stand here now"}
+    df = spark.createDataFrame([(d, text[t], t) for d, t in rows], "doc_id long, text string, __id string")
+    got = [(r["doc_id"], r["__id"]) for r in simhash.keep_one_of_each(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_dense_lists_are_linked_by_midpoints(spark):
+    """Fingerprints that share five bytes and more, so that no split makes their lists short."""
+    rnd = random.Random(4)
+    fps = sorted({rnd.getrandbits(9) | rnd.choice([0, 0b111111 << 12]) for _ in range(300)} | {1 << 40})
+    links = [(r["fp_a"], r["fp_b"]) for r in simhash.close_links(spark.createDataFrame([(x,) for x in fps], "fp long"), 3).collect()]
+    assert all((a ^ b).bit_count() <= 4 for a, b in links)
+    label = {x: x for x in fps}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        label[b] = a
+    assert {x: root(x) for x in fps} == slow_components([(x, x) for x in fps])
+
+
 def test_forest_is_whole_and_small():
     members = np.array([1 << k for k in range(60)], np.uint64)
     a, b = simhash.forest(members)
@@ -172,7 +221,8 @@ def test_simhash_odd_rows(spark):
     assert {r["fingerprint"] for r in got if r["doc_id"] == 7} >= {"0" * 16}
     assert simhash.near_duplicates(df.limit(0)).count() == 0
     kept = simhash.keep_one_of_each(df)
-    assert kept.columns == df.columns and kept.where("doc_id is null").count() == 1
+    assert kept.columns == df.columns and kept.where("doc_id is null").count() == 1 and kept.count() == 5
+    assert simhash.keep_one_of_each(df.limit(0)).count() == 0
 
 
 def test_components_of_a_chain(spark):
