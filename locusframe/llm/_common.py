@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,9 +34,36 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_SCOPES: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nobody else uses."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    for made in _SCOPES:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes, at its end, what operators wrote into the shared folder within it.
+
+    Their results are read from there, so write these out first.  What is taken off the list that it gives stays.
+    """
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield made
+    finally:
+        _SCOPES.remove(made)
+        remove(spark, made)
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -91,7 +91,7 @@ class WordEncoder:
             marked = {w for w in new if w[-1] in b".," and len(w) > 1 and w[-2] in _LETTERS} if self.lower else set()
             plain = (new - marked) | {w[:-1] for w in marked} | ({b".", b","} if marked else set())
             plain.difference_update(known)
-            self._learn(sorted(plain))
+            self._learn(list(plain))
             known.update({w: known[w[:-1]] + known[w[-1:]] for w in marked})
             self.used += sum(map(len, new)) + sum(map(len, plain)) + WORD_BYTES * (len(plain) + len(marked))
         return [b"".join(map(known.__getitem__, words)) for words in split]
