@@ -13,6 +13,9 @@ NEGATIVE_ZERO_BASED = "0-based position must be >= 0, got {}"
 NON_POSITIVE_ONE_BASED = "1-based position must be > 0, got {}"
 OVERFLOW_ONE_BASED = "cannot represent 1-based position for 0-based value {}"
 OUT_OF_RANGE_U32 = "position {} cannot be represented as u32"
+VIOLATES, DOES_NOT_FIT = "cannot convert {} to Pos: value violates Pos invariants", "cannot convert {} to Pos: value does not fit into i64 range"
+#: The integer types that convert, those that may be too large among them, and the one that tells the reason.
+INTEGERS, UNSIGNED, REASONED = ("u32", "i32", "i64", "u64", "usize", "isize"), ("u64", "usize"), ("isize",)
 
 
 def _text(message: str, value: Column) -> Column:
@@ -45,6 +48,25 @@ def try_from_1based(value: Column) -> Column:
     return _result(F.when(value > 0, value - 1), (value <= 0, _text(NON_POSITIVE_ONE_BASED, value)))
 
 
+def try_from_integer(value: Column, kind: str) -> Column:
+    """A 0-based position from an integer of a type; u64 and usize come as decimals."""
+    if kind not in INTEGERS:
+        raise ValueError(f"kind must be one of {', '.join(INTEGERS)}")
+    number = value.cast("decimal(20,0)")
+    small = F.when(number <= F.lit(MAX_LONG).cast("decimal(20,0)"), number).cast("long")
+    good = try_from_0based(small)
+    if kind in REASONED:
+        return good
+    problems = [(good["error"].isNotNull(), F.lit(VIOLATES.format(kind)))]
+    if kind in UNSIGNED:
+        problems.insert(0, (number.isNotNull() & small.isNull(), F.lit(DOES_NOT_FIT.format(kind))))
+    return _result(small, *problems)
+
+
+def from_integer(value: Column, kind: str) -> Column:
+    return or_raise(try_from_integer(value, kind))
+
+
 def from_0based(value: Column) -> Column:
     return or_raise(try_from_0based(value))
 

@@ -1,88 +1,140 @@
 """Greedy batching of coordinates and regions in their given order.
 
 A batch is anchored at its first row; a row stays in it as long as it is on the same contig and ends less than ``window``
-after the anchor.  Where a batch starts depends on where the one before it started, so within a run of one contig this is a
-fold; runs are independent.  Runs are found by a window over blocks of the order rather than over all rows, and each run is
-folded in a stream of its sorted rows, so no run is gathered.
+after the anchor.  Where a batch starts depends on where the one before it started, so this is a fold.  But a row that ends
+``window`` or more after all starts of its contig run so far begins a batch whatever the anchor is.  Rows are cut there and where
+the contig changes, and the pieces are folded in parallel, each in a stream of its sorted rows.  Only rows without such a gap
+between them, however many, are one piece.
+
+What is needed from all rows before (sums, maxima, the last contig) comes in two levels: within blocks of the order, whose
+borders are quantiles of the order found once for the table, and across one row per block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from locusframe.operators._cut import cut
+
+#: Blocks of an order at most.
+MOST_BLOCKS = 4096
+
 
-def running_total(rows: DataFrame, value: Column, name: str, order: str, block: int = 1_000_000) -> DataFrame:
-    """Rows with ``name``: the sum of ``value`` over all rows up to this one in an integer order.
+def _blocked(rows: DataFrame, order: str, blocks: int | None = None) -> DataFrame:
+    """Rows with ``__block``: numbers that rise with the order, of about as many rows each."""
+    n = min(blocks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_BLOCKS)
+    borders = rows.approxQuantile(order, [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
+    splits = [-float("inf"), *sorted(set(borders)), float("inf")]
+    if len(splits) == 2:
+        return rows.withColumn("__block", F.lit(0.0))
+    return Bucketizer(splits=splits, inputCol="__order", outputCol="__block").transform(
+        rows.withColumn("__order", F.col(order).cast("double"))
+    ).drop("__order")
 
-    Two levels: within blocks of the order, and across one row per block.
-    """
-    blocked = rows.withColumns({"__value": value, "__block": F.floor(F.col(order) / block)})
-    local = blocked.withColumn(name, F.sum("__value").over(Window.partitionBy("__block").orderBy(order)))
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+
+def _total(blocked: DataFrame, value: Column, name: str, order: str) -> DataFrame:
+    local = blocked.withColumn(name, F.sum(value).over(Window.partitionBy("__block").orderBy(order)))
+    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
     base = (
-        local.groupBy("__block")
-        .agg(F.sum("__value").alias("__sum"))
+        blocked.groupBy("__block")
+        .agg(F.sum(value).alias("__sum"))
         .select("__block", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
     )
-    return local.join(base, "__block").withColumn(name, F.col(name) + F.col("__base")).select(*rows.columns, name)
+    return local.join(base, "__block").withColumn(name, F.col(name) + F.col("__base")).drop("__base")
 
 
-def contig_runs(rows: DataFrame, contig: str = "contig", order: str = "ord", block: int = 1_000_000) -> DataFrame:
-    """Rows with ``run``: how many times the contig changed before, counted from 0.  The order is a number per row, unique."""
-    blocked = rows.withColumn("__block", F.floor(F.col(order) / block))
-    before = F.lag(contig).over(Window.partitionBy("__block").orderBy(order))
+def running_total(rows: DataFrame, value: Column, name: str, order: str, blocks: int | None = None) -> DataFrame:
+    """Rows with ``name``: the sum of ``value`` over all rows up to this one in a numeric order."""
+    return _total(_blocked(rows, order, blocks), value, name, order).select(*rows.columns, name)
+
+
+def _runs(blocked: DataFrame, contig: str, order: str) -> DataFrame:
+    """Rows with ``run``: how many times the contig changed before."""
+    in_block = Window.partitionBy("__block").orderBy(order)
     # The row before the first one of a block is the last one of the block before that has rows.
     last = blocked.groupBy("__block").agg(F.max_by(contig, order).alias("__contig"))
     last = last.select("__block", F.lag("__contig").over(Window.orderBy("__block")).alias("__last"))
-    first = F.row_number().over(Window.partitionBy("__block").orderBy(order)) == 1
-    marked = blocked.withColumns({"__before": before, "__first": first}).join(last, "__block")
+    marked = blocked.withColumns({"__before": F.lag(contig).over(in_block), "__first": F.row_number().over(in_block) == 1})
+    marked = marked.join(last, "__block")
     previous = F.when(F.col("__first"), F.col("__last")).otherwise(F.col("__before"))
-    changed = F.coalesce(F.col(contig) != previous, F.lit(False)).cast("long")
-    marked = marked.withColumn("__changed", changed).select(*rows.columns, "__changed")
-    return running_total(marked, F.col("__changed"), "run", order, block).drop("__changed")
+    marked = marked.withColumn("__changed", F.coalesce(F.col(contig) != previous, F.lit(False)).cast("long"))
+    return _total(marked.drop("__before", "__first", "__last"), F.col("__changed"), "run", order)
 
 
-def _folded(rows: DataFrame, start: str, end: str, window: int, order: str) -> DataFrame:
-    """Rows with ``run`` given ``batch``: numbers from 0 in the order of rows."""
+def contig_runs(rows: DataFrame, contig: str = "contig", order: str = "ord", blocks: int | None = None) -> DataFrame:
+    """Rows with ``run``: how many times the contig changed before, counted from 0.  The order is a number per row, unique."""
+    return _runs(_blocked(rows, order, blocks), contig, order).select(*rows.columns, "run")
+
+
+def _pieces(runs: DataFrame, start: Column, end: Column, window: int, order: str) -> DataFrame:
+    """Rows with ``__piece``: a new one where a batch begins in any case."""
+    in_block = Window.partitionBy("__block", "run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("run").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block and run
+    carried = runs.groupBy("__block", "run").agg(F.max(start).alias("__most"))
+    carried = carried.select("__block", "run", F.max("__most").over(before).alias("__carried"))
+    seen = runs.withColumn("__seen", F.max(start).over(in_block)).join(carried, ["__block", "run"])
+    furthest = F.greatest("__seen", "__carried")  # null for the first row of a run
+    certain = F.coalesce(end - furthest >= window, F.lit(True)).cast("long")
+    return _total(seen.withColumn("__certain", certain).drop("__seen", "__carried"), F.col("__certain"), "__piece", order)
+
+
+def _starts(pieces: np.ndarray, starts: np.ndarray, ends: np.ndarray, window: int, anchor: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Which rows begin a batch, and the piece and anchor at the end.  Where ends rise each batch is found by one search."""
+    marks = np.zeros(len(pieces), bool)
+    first = np.flatnonzero(np.concatenate(([True], pieces[1:] != pieces[:-1])))
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(pieces)]):
+        k = a
+        if anchor is None or anchor[0] != pieces[a]:
+            marks[a], anchor, k = True, (pieces[a], starts[a]), a + 1
+        rising = bool((np.diff(ends[a:b]) >= 0).all())
+        while k < b:
+            if rising:
+                k += int(np.searchsorted(ends[k:b], anchor[1] + window))
+            else:
+                out = ends[k:b] - anchor[1] >= window
+                k = k + int(out.argmax()) if out.any() else b
+            if k < b:
+                marks[k], anchor, k = True, (pieces[a], starts[k]), k + 1
+    return marks, anchor
+
+
+def _folded(rows: DataFrame, contig: str, start: str, end: str, window: int, order: str, blocks: int | None) -> DataFrame:
+    """Rows with ``batch``: numbers from 0 in the order of rows."""
+    names = rows.columns
+    pieces = _pieces(cut(_runs(_blocked(rows, order, blocks), contig, order)), F.col(start), F.col(end), window, order)
+    given = pieces.select(*names, "__block", "__piece", F.col(start).alias("__start"), F.col(end).alias("__end"))
+    kept = given.drop("__piece", "__start", "__end").schema
+    keep = kept.names
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run, anchor, number = None, 0, -1
+        anchor = None
         for pdf in batches:
-            marks = []
-            for r, s, e in zip(pdf["run"], pdf["__start"], pdf["__end"]):
-                if r != run:
-                    run, anchor, number = r, s, 0
-                elif not e - anchor < window:
-                    anchor, number = s, number + 1
-                marks.append(number)
-            yield pdf.assign(__in_run=marks).drop(columns=["__start", "__end"])
-
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema]
-    timed = rows.withColumns({"__start": F.col(start), "__end": F.col(end)})
-    marked = (
-        timed.repartition("run").sortWithinPartitions("run", order).mapInPandas(fold, ", ".join([*fields, "__in_run long"]))
-    )
-    # Batches of a run are numbered after those of the runs before.
-    sizes = marked.groupBy("run").agg((F.max("__in_run") + 1).alias("__n"))
-    sizes = running_total(sizes, F.col("__n"), "__upto", "run").select("run", (F.col("__upto") - F.col("__n")).alias("__before"))
-    return (
-        marked.join(sizes, "run")
-        .withColumn("batch", F.col("__before") + F.col("__in_run"))
-        .select(*[c for c in rows.columns if c != "run"], "batch")
-    )
+            if len(pdf):
+                columns = [pdf[c].to_numpy() for c in ("__piece", "__start", "__end")]
+                marks, anchor = _starts(*columns, window, anchor)
+                yield pdf[keep].assign(__new=marks.astype(np.int64))
+
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "__new long"])
+    marked = given.repartition("__piece").sortWithinPartitions("__piece", order).mapInPandas(fold, fields)
+    return _total(cut(marked), F.col("__new"), "__batch", order).select(*names, (F.col("__batch") - 1).alias("batch"))
 
 
-def batch_coordinates(rows: DataFrame, window: int, contig: str = "contig", pos: str = "pos", order: str = "ord") -> DataFrame:
+def batch_coordinates(
+    rows: DataFrame, window: int, contig: str = "contig", pos: str = "pos", order: str = "ord", blocks: int | None = None
+) -> DataFrame:
     """Rows with ``batch``: same contig as the row before and ``pos - anchor < window``, else a new batch."""
-    return _folded(contig_runs(rows, contig, order), pos, pos, window, order)
+    return _folded(rows, contig, pos, pos, window, order, blocks)
 
 
 def batch_regions(
-    rows: DataFrame, window: int, contig: str = "contig", start: str = "start", end: str = "end", order: str = "ord"
+    rows: DataFrame, window: int, contig: str = "contig", start: str = "start", end: str = "end", order: str = "ord",
+    blocks: int | None = None,
 ) -> DataFrame:
     """As ``batch_coordinates``, but a region's end is compared with the start of the batch's first region."""
-    return _folded(contig_runs(rows, contig, order), start, end, window, order)
+    return _folded(rows, contig, start, end, window, order, blocks)

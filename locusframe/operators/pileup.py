@@ -2,20 +2,22 @@
 
 Reads have ``contig, pos0, cigar`` (an array of op and len) or ``end0``; targets have a 1-based ``pos``.  The join of
 positions with spans is an equi-join: each read is put into the bins of ``width`` bases that it overlaps, each target into its
-one bin, so no pair comes twice, and the containment test follows.  A hot locus is one bin; Spark's adaptive skew join splits
+one bin, so no pair comes twice, and the containment test follows.  Bins are about as wide as reads are long, unless a width is
+given, so a read has two bins on average and about every second candidate is a pair.  A hot locus is one bin; Spark's adaptive skew join splits
 it, since neither side is bound to one partition.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: CIGAR letters that move along the reference, along the read, and along both.
 ON_REFERENCE, ON_READ, ON_BOTH = ("M", "D", "N", "=", "X"), ("M", "I", "S", "=", "X"), ("M", "=", "X")
 #: Fixed value: flags of reads that a pileup leaves out (unmapped, secondary, failed quality check, duplicate).
 SKIPPED_FLAGS = 0x4 | 0x100 | 0x200 | 0x400
-BIN_WIDTH = 256
+#: Widths of bins that are chosen.
+LEAST_WIDTH, MOST_WIDTH = 16, 1 << 20
 
 
 def parse_cigar(text: Column) -> Column:
@@ -48,23 +50,33 @@ def query_offset(pos0: Column, cigar: Column, target0: Column) -> Column:
 
 
 def first_of_duplicates(targets: DataFrame, order: str | None = None) -> DataFrame:
-    """One target per position: the first by ``order``."""
+    """One target per position: the first by ``order``.  Duplicates are combined before they are shuffled."""
     if order is None:
         return targets.dropDuplicates(["contig", "pos"])
-    by = Window.partitionBy("contig", "pos").orderBy(order)
-    return targets.withColumn("__k", F.row_number().over(by)).where("__k = 1").drop("__k")
+    rest = [c for c in targets.columns if c not in ("contig", "pos")]
+    first = targets.groupBy("contig", "pos").agg(F.min_by(F.struct(*rest), order).alias("__first"))
+    return first.select(*[f"__first.{c}" if c in rest else c for c in targets.columns])
 
 
-def covered(reads: DataFrame, targets: DataFrame, width: int = BIN_WIDTH) -> DataFrame:
+def bin_width(spans: DataFrame) -> int:
+    """The power of two next to the mean length of spans."""
+    mean = spans.agg(F.avg(F.col("end0") - F.col("pos0"))).first()[0] or 1
+    return min(MOST_WIDTH, max(LEAST_WIDTH, 1 << round(mean).bit_length() - 1))
+
+
+def covered(reads: DataFrame, targets: DataFrame, width: int | None = None) -> DataFrame:
     """Inner join of targets with the reads that cover them: ``contig, pos``, the further columns of the targets, and of each
-    read ``pos0, end0`` and its further columns."""
-    spans = reads.withColumn("__bin", F.explode(F.sequence(F.floor(F.col("pos0") / width), F.floor((F.col("end0") - 1) / width))))
-    points = targets.withColumn("__bin", F.floor((F.col("pos") - 1) / width))
+    read ``pos0, end0`` and its further columns.  ``width``: of the bins; it does not change the result."""
+    reads = reads.where("end0 > pos0")
+    width = width or bin_width(reads)
+    number = lambda p: F.call_function("div", p - F.pmod(p, F.lit(width)), F.lit(width))
+    spans = reads.withColumn("__bin", F.explode(F.sequence(number(F.col("pos0")), number(F.col("end0") - 1))))
+    points = targets.withColumn("__bin", number(F.col("pos") - 1))
     inside = (F.col("pos") - 1 >= F.col("pos0")) & (F.col("pos") - 1 < F.col("end0"))
-    return points.join(spans.where("end0 > pos0"), ["contig", "__bin"]).where(inside).drop("__bin")
+    return points.join(spans, ["contig", "__bin"]).where(inside).drop("__bin")
 
 
-def pileup(reads: DataFrame, targets: DataFrame, flag_mask: int = SKIPPED_FLAGS, width: int = BIN_WIDTH) -> DataFrame:
+def pileup(reads: DataFrame, targets: DataFrame, flag_mask: int = SKIPPED_FLAGS, width: int | None = None) -> DataFrame:
     """One row per target and covering read with ``qpos`` (null: deletion or skip).
 
     Targets that repeat count once, in whatever order they come; positions without a read have no row.  ``flag_mask``: reads
@@ -78,6 +90,16 @@ def pileup(reads: DataFrame, targets: DataFrame, flag_mask: int = SKIPPED_FLAGS,
     return rows.withColumn("qpos", F.col("pos") - 1 - F.col("pos0"))
 
 
+def one_of_overlapping(piled: DataFrame, name: str = "qname", *best: Column | str) -> DataFrame:
+    """Where both mates of a template cover a target, the row that is greatest by ``best`` (say quality, then flag); rows
+    without a name all stay.  Mates are combined before they are shuffled."""
+    named = piled.where(F.col(name).isNotNull())
+    rest = [c for c in piled.columns if c not in ("contig", "pos", name)]
+    first = named.groupBy("contig", "pos", name).agg(F.max_by(F.struct(*rest), F.struct(*(best or rest))).alias("__row"))
+    chosen = first.select(*[f"__row.{c}" if c in rest else c for c in piled.columns])
+    return chosen.unionByName(piled.where(F.col(name).isNull()))
+
+
 def mean_quality(piled: DataFrame, quality: Column) -> DataFrame:
     """``contig, pos, depth, sum_bq, mean_bq``: the sum over reads that have a quality there, divided by all reads."""
     total = F.coalesce(F.sum(quality), F.lit(0)).cast("long")

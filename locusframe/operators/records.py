@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
@@ -75,6 +76,53 @@ def accumulated(rows: DataFrame, keys: list[str], fn: Callable[[pd.Series], floa
     return rows.groupBy(*keys).agg(accumulate(value).alias(name))
 
 
+def accumulate(
+    rows: DataFrame, keys: list[str], start: Callable[[], object], process: Callable[[object, pd.DataFrame], object],
+    merge: Callable[[object, object], object], finish: Callable[[object], tuple], schema: str, held: int = 50_000,
+) -> DataFrame:
+    """A user's accumulator per group: ``keys`` and the columns of ``schema`` that ``finish`` gives.
+
+    Each task processes its rows into a state per group (``held`` of them at most, then they are sent on); only states are
+    shuffled, and merged as they come, so neither a group's rows nor its states are gathered.
+    """
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        states: dict[tuple, object] = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, dropna=False, sort=False):
+                key = tuple(None if pd.isna(k) else k for k in key)
+                states[key] = process(states[key] if key in states else start(), part)
+            if len(states) >= held:
+                yield frame(states)
+                states = {}
+        yield frame(states)
+
+    def frame(states: dict) -> pd.DataFrame:
+        return pd.DataFrame([(*k, pickle.dumps(v)) for k, v in states.items()], columns=[*keys, "__state"])
+
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for pdf in batches:
+            done = []
+            for *values, data in pdf.itertuples(index=False):
+                key = tuple(None if pd.isna(k) else k for k in values)
+                if key != at:
+                    if at is not None:
+                        done.append((*at, *finish(state)))
+                    at, state = key, pickle.loads(data)
+                else:
+                    state = merge(state, pickle.loads(data))
+            yield pd.DataFrame(done, columns=[*keys, *names])
+        if at is not None:
+            yield pd.DataFrame([(*at, *finish(state))], columns=[*keys, *names])
+
+    states = rows.mapInPandas(partial, ", ".join([*kinds, "__state binary"]))
+    return states.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(merged, ", ".join([*kinds, schema]))
+
+
 def process_loci(
     reads: DataFrame, targets: DataFrame, fn: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str, **options
 ) -> DataFrame:

@@ -40,9 +40,8 @@ def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dna_pieces(spark: SparkSession, sf_dir: str, size: int = 168) -> DataFrame:
     """``doc_id, piece, seq``: the same in pieces that can be packed."""
-    starts = F.when(F.length("seq") > 0, F.sequence(F.lit(0), (F.length("seq") - 1), F.lit(size)))
-    exploded = dna(spark, sf_dir).select("doc_id", "seq", F.posexplode(starts).alias("piece", "at"))
-    return exploded.select("doc_id", "piece", F.substring("seq", F.col("at") + 1, F.lit(size)).alias("seq"))
+    pieces = F.regexp_extract_all("seq", F.lit(f".{{1,{size}}}"), F.lit(0))
+    return dna(spark, sf_dir).select("doc_id", F.posexplode(pieces).alias("piece", "seq"))
 
 
 def fastq(spark: SparkSession, sf_dir: str, mate: int) -> DataFrame:

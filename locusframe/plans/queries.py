@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.functions import arrays, chrom, dna, packed, pos, rounding, variant
 from locusframe.operators import batching, binning, pairing, pileup, records
+from locusframe.operators._cut import new_path
 from locusframe.plans import derive
 from locusframe.plans.derive import table, with_views
+from locusframe.sources import bam, fai, fastq, raw
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -92,6 +94,15 @@ def cigar_pileup(spark, sf_dir):
     )
 
 
+@query(_PILED.replace("r.rid,", "r.rid, r.rid // 20 AS qname,") + """SELECT contig, pos, qname, max(struct_pack(q := coalesce(bq, -1), rid := rid)).rid AS rid
+FROM piled GROUP BY contig, pos, qname""", "reads", "targets")
+def locus_one_of_mates(spark, sf_dir):
+    """Of reads with one name at a target the one with the best quality, then the largest number."""
+    named = _piled(spark, sf_dir).withColumn("qname", F.floor(F.col("rid") / 20))
+    best = pileup.one_of_overlapping(named, "qname", F.coalesce("bq", F.lit(-1)), "rid")
+    return best.select("contig", "pos", "qname", "rid")
+
+
 @query("SELECT contig, pos, min(ord) AS ord FROM targets GROUP BY ALL", "targets")
 def target_dedup_first(spark, sf_dir):
     return pileup.first_of_duplicates(derive.targets(spark, sf_dir), "ord")
@@ -112,8 +123,7 @@ def locus_hash_join(spark, sf_dir):
 @query("""SELECT contig, pos0, len, rid FROM reads WHERE contig = 'chr2' AND pos0 < 2000 AND pos0 + len > 1000""", "reads")
 def region_fetch(spark, sf_dir):
     """Reads that overlap chr2:1000-2000 (0-based, half-open)."""
-    region = F.struct(F.lit("chr2").alias("contig"), F.lit(1000).alias("start"), F.lit(2000).alias("end"))
-    f = pos.as_fetch(region)
+    f = pos.as_fetch(pos.region(F.lit("2"), F.lit(1000), F.lit(2000)))
     inside = (F.col("contig") == f["contig"]) & (F.col("pos0") < f["end"]) & (F.col("pos0") + F.col("len") > f["start"])
     return derive.reads(spark, sf_dir).where(inside)
 
@@ -226,7 +236,7 @@ def batch_regions(spark, sf_dir):
 @query("""SELECT ord, contig, start, "end", cast(sum(new) OVER (ORDER BY ord) AS bigint) AS run FROM (
   SELECT *, cast(coalesce(contig <> lag(contig) OVER (ORDER BY ord), false) AS int) AS new FROM regions)""", "regions")
 def contig_runs(spark, sf_dir):
-    return batching.contig_runs(derive.regions(spark, sf_dir), block=700)
+    return batching.contig_runs(derive.regions(spark, sf_dir), blocks=15)
 
 
 @query("""SELECT ord, x AS lo, least(x + 25, "end") AS hi FROM (
@@ -323,6 +333,26 @@ def pos_checked_arith(spark, sf_dir):
     )
 
 
+@query("""WITH x AS (SELECT o_orderkey, cast(CASE o_orderkey % 5 WHEN 0 THEN -o_custkey WHEN 1 THEN 9223372036854775807
+  WHEN 2 THEN 18446744073709551615 WHEN 3 THEN 0 ELSE o_custkey END AS hugeint) AS v FROM orders),
+e AS (SELECT *, v < 0 OR v = 9223372036854775807 AS bad, v > 9223372036854775807 AS large FROM x)
+SELECT o_orderkey, CASE WHEN NOT bad AND NOT large THEN cast(v AS bigint) END AS zero_based, CASE WHEN NOT bad AND NOT large THEN cast(v + 1 AS bigint) END AS one_based,
+  CASE WHEN large THEN 'cannot convert u64 to Pos: value does not fit into i64 range' WHEN bad THEN 'cannot convert u64 to Pos: value violates Pos invariants' END AS error_u64,
+  CASE WHEN bad AND NOT large THEN 'cannot convert i64 to Pos: value violates Pos invariants' END AS error_i64,
+  CASE WHEN v < 0 THEN '0-based position must be >= 0, got ' || v WHEN bad THEN 'cannot represent 1-based position for 0-based value ' || v END AS error_isize
+FROM e""")
+def pos_integers(spark, sf_dir):
+    """Positions from integers of several types, and as 0- and 1-based numbers."""
+    v = F.expr("""CASE o_orderkey % 5 WHEN 0 THEN -o_custkey WHEN 1 THEN 9223372036854775807BD
+                  WHEN 2 THEN 18446744073709551615BD WHEN 3 THEN 0 ELSE o_custkey END""").cast("decimal(20,0)")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", v.alias("v"))
+    u, i, reason = (pos.try_from_integer(F.col("v"), k) for k in ("u64", "i64", "isize"))
+    return rows.select(
+        "o_orderkey", pos.zero_based(u["pos"]).alias("zero_based"), pos.one_based(u["pos"]).alias("one_based"),
+        u["error"].alias("error_u64"), i["error"].alias("error_i64"), reason["error"].alias("error_isize"),
+    )
+
+
 _VARIANT = """
 WITH f AS (SELECT p_partkey, k, string_split(k, '_') AS e, try_cast(CASE WHEN regexp_full_match(e[2], '[+-]?[0-9]+') THEN e[2] END AS bigint) AS n
            FROM variants),
@@ -355,11 +385,10 @@ def dna_complement(spark, sf_dir):
     return derive.dna(spark, sf_dir).select("doc_id", dna.complement(F.col("seq")).alias("seq"))
 
 
-@query("SELECT doc_id, reverse(" + _COMPLEMENT.format("regexp_replace(text, '[^ -~]', '', 'g')") + ") AS seq FROM documents")
+@query("SELECT doc_id, reverse(" + _COMPLEMENT.format("text") + ") AS seq FROM documents")
 def dna_reverse_complement(spark, sf_dir):
     """Over whole raw texts, so most letters are none of the bases."""
-    ascii_ = F.regexp_replace("text", "[^ -~]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", dna.reverse_complement(ascii_).alias("seq"))
+    return table(spark, sf_dir, "documents").select("doc_id", dna.reverse_complement(F.col("text")).alias("seq"))
 
 
 _PACK = """list_transform(range(0, 8), lambda c: list_sum(list_transform(range(0, 21), lambda i:
@@ -372,6 +401,26 @@ def bases_pack(spark, sf_dir):
     return derive.dna_pieces(spark, sf_dir).select("doc_id", "piece", packed.pack(F.col("seq")).alias("packed"))
 
 
+_WRONG = "CASE doc_id % 4 WHEN 0 THEN seq WHEN 1 THEN seq || 'x' WHEN 2 THEN 'A-' || seq ELSE lower(seq) END"
+
+
+@query(f"""WITH x AS (SELECT doc_id, piece, {_WRONG} AS s FROM dna_pieces),
+w AS (SELECT *, length(s) AS n, length(regexp_extract(s, '^[ATCGN]*', 0)) AS good FROM x),
+e AS (SELECT *, 'Invalid base ' || chr(39) || substring(s, cast(good AS int) + 1, 1) || chr(39) || ' at position ' || good AS wrong FROM w)
+SELECT doc_id, piece, CASE WHEN n > 168 THEN 'Input slice is too long: ' || n || ' bases, max is 168' WHEN good < n THEN wrong END AS of_slice,
+  CASE WHEN good < least(n, 168) THEN wrong WHEN n > 168 THEN 'Input iterator is too long, max is 168' END AS of_iter,
+  n <= 168 AND good = n AS packed, CASE WHEN regexp_full_match(substring(s, 1, 1), '[ATCGN]') THEN substring(s, 1, 1) END AS first_base FROM e
+""", "dna_pieces")
+def bases_checked(spark, sf_dir):
+    """Sequences with letters that are no bases or too many of them: the errors in either order of checks, and the first base."""
+    rows = derive.dna_pieces(spark, sf_dir).select("doc_id", "piece", F.expr(_WRONG).alias("s"))
+    first, iterated = F.substring("s", 1, 1), packed.try_pack(F.col("s"), from_iter=True)
+    return rows.select(
+        "doc_id", "piece", packed.pack_error(F.col("s")).alias("of_slice"), packed.pack_error(F.col("s"), from_iter=True).alias("of_iter"),
+        iterated.isNotNull().alias("packed"), F.when(packed.code(first) > 0, packed.base(first)).alias("first_base"),
+    )
+
+
 def _packed(spark, sf_dir):
     return derive.dna_pieces(spark, sf_dir).select("doc_id", "piece", packed.pack(F.col("seq")).alias("p"))
 
@@ -401,7 +450,8 @@ def bases_set(spark, sf_dir):
     return _packed(spark, sf_dir).select("doc_id", "piece", packed.bases(changed).alias("seq"))
 
 
-@query()
+@query("""SELECT doc_id, array_to_string(list_transform(range(0, 150), lambda i: substring('ACGTN', cast(cast('0x' || substring(
+  md5(doc_id || ':' || (i // 8)), cast(i % 8 * 4 + 1 AS int), 4) AS bigint) % 5 AS int) + 1, 1)), '') AS seq FROM documents""")
 def dna_generated(spark, sf_dir):
     """Sequences from a seed, one per document."""
     return table(spark, sf_dir, "documents").select("doc_id", dna.generated(F.col("doc_id"), 150).alias("seq"))
@@ -472,6 +522,141 @@ def utf8_check(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", arrays.try_utf8(data).isNotNull().alias("valid"))
 
 
+@query("""SELECT o_orderkey, coalesce(array_to_string([10, 20, 30, 40, 50][s + 1:e], ','), '') AS part, coalesce(nullif(o_orderpriority, '1-URGENT'), 'none') AS present,
+  o_orderkey AS index, o_custkey AS data, 'Order' AS kind
+FROM (SELECT *, cast(o_orderkey % 3 AS int) AS s, 2 + cast(o_custkey % 3 AS int) AS e FROM orders)""")
+def checked_access(spark, sf_dir):
+    """Slices, values that must be there, values with their index, and values with the name of their case."""
+    a = F.array(*[F.lit(x) for x in (10, 20, 30, 40, 50)])
+    s, e = (F.col("o_orderkey") % 3).cast("int"), (F.col("o_custkey") % 3).cast("int") - 3
+    urgent = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("none")).otherwise(F.col("o_orderpriority"))
+    indexed, named = arrays.with_index(F.col("o_custkey"), F.col("o_orderkey")), arrays.tagged("Order", F.col("o_custkey"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.array_join(arrays.signed_slice(a, s, e), ",").alias("part"), arrays.present(urgent, "a priority is missing").alias("present"),
+        indexed["index"].alias("index"), indexed["data"].alias("data"), named["kind"].alias("kind"),
+    )
+
+
+# Files -------------------------------------------------------------------------------------------------------------------------
+# Written into the shared folder in the formats that the sources read, and read from there.
+
+
+@query("SELECT header, sequence, plus, quality FROM fastq_r1", "fastq_r1")
+def fastq_files(spark, sf_dir):
+    """All records of the first mate through compressed FASTQ files."""
+    path = new_path(spark, "fastq") + ".gz"
+    fastq.write_fastq(derive.fastq(spark, sf_dir, 1), path)
+    return fastq.read_fastq(spark, path, strict=True).select("header", "sequence", "plus", "quality")
+
+
+@query("""WITH a AS (SELECT *, row_number() OVER (ORDER BY rec) - 1 AS k FROM fastq_r1),
+b AS (SELECT *, row_number() OVER (ORDER BY rec) - 1 AS k FROM fastq_r2)
+SELECT coalesce(a.k, b.k) AS rec, a.header AS h1, b.header AS h2 FROM a FULL JOIN b ON a.k = b.k""", "fastq_r1", "fastq_r2")
+def fastq_file_pairs(spark, sf_dir):
+    """The n-th records of two FASTQ files, one for each mate."""
+    paths = [new_path(spark, "mate"), new_path(spark, "mate")]
+    for mate, path in enumerate(paths, 1):
+        fastq.write_fastq(derive.fastq(spark, sf_dir, mate), path, files=1)
+    return fastq.read_pairs(spark, *paths).select("rec", F.col("r1.header").alias("h1"), F.col("r2.header").alias("h2"))
+
+
+@query("""SELECT cast(sum(strlen(header) + 2 * strlen(sequence) + 5) AS bigint) AS n_bytes FROM fastq_r1""", "fastq_r1")
+def file_bytes_total(spark, sf_dir):
+    """Bytes of plain FASTQ files: four line ends and a plus sign besides header, bases and qualities."""
+    path = new_path(spark, "fastq")
+    fastq.write_fastq(derive.fastq(spark, sf_dir, 1), path)
+    return raw.total_bytes(spark, f"{path}/part-*")
+
+
+_BAM_REFS = [("chr1", 30_000), ("chr2", 30_000), ("chr3", 30_000)]
+_BAM_TEXT = "@HD\tVN:1.6\tSO:unsorted\n"
+
+
+def _bam_files(spark, sf_dir):
+    text = lambda x: F.lit(x).cast("string")
+    records_ = _cigar_reads(spark, sf_dir).select(
+        F.concat(F.lit("r"), F.col("rid").cast("string")).alias("qname"), "flag", F.col("contig").alias("rname"), "pos0",
+        F.lit(60).alias("mapq"), "cigar", text(None).alias("rnext"), F.lit(-1).cast("long").alias("pnext"), F.lit(0).cast("long").alias("tlen"),
+        F.lit("ACGTN").alias("seq"), F.lit("IIII#").alias("qual"), F.lit(None).cast("binary").alias("tags"),
+    )
+    path = new_path(spark, "bam")
+    bam.write_bam(records_, path, _BAM_TEXT, _BAM_REFS)
+    return path
+
+
+@query("""SELECT 'r' || rid AS qname, cast(rid % 7 * 256 AS int) AS flag, contig, pos0, '2S' || (len // 2) || 'M3D1I' || (len - len // 2) || 'M' AS cigar,
+  'ACGTN' AS seq, 'IIII#' AS qual FROM reads""", "reads")
+def bam_files(spark, sf_dir):
+    """All reads through BAM files."""
+    cigar = F.array_join(F.transform("cigar", lambda c: F.concat(c["len"].cast("string"), c["op"])), "")
+    found = bam.read_bam(spark, f"{_bam_files(spark, sf_dir)}/part-*")
+    return found.select("qname", "flag", F.col("rname").alias("contig"), "pos0", cigar.alias("cigar"), "seq", "qual")
+
+
+@query("SELECT 'chr' || k AS name, 30000 AS len FROM range(1, 4) AS t(k)")
+def bam_header_refs(spark, sf_dir):
+    """The reference sequences of the headers of BAM files."""
+    heads = bam.read_header(spark, f"{_bam_files(spark, sf_dir)}/part-*")
+    return heads.select(F.explode("refs").alias("r")).select("r.name", "r.len").distinct()
+
+
+@query("""
+WITH last AS (SELECT CASE WHEN starts_with(name, 'chr') THEN name ELSE 'chr' || name END AS chrom, arg_max(len, ord) AS len
+              FROM contig_index GROUP BY 1)
+SELECT chrom, x AS lo, least(x + 100, len) AS hi FROM (SELECT chrom, len, unnest(range(0, len, 100)) AS x FROM last)
+""", "contig_index")
+def bins_from_fai(spark, sf_dir):
+    """Bins of the sequences of a FASTA index file, which is small and one file by its nature."""
+    path = new_path(spark, "genome.fa")
+    index = derive.contig_index(spark, sf_dir).orderBy("ord").coalesce(1)
+    index.select("name", "len", F.lit(0).alias("off"), F.lit(60).alias("bases"), F.lit(61).alias("width")).write.option("sep", "\t").csv(f"{path}.fai")
+    made = fai.bins_from_fasta(spark, path, 100)
+    return made.select("chrom", F.explode("bins").alias("b")).select("chrom", "b.lo", "b.hi")
+
+
+@query("SELECT contig, count(*) AS n, cast(sum(len) AS bigint) AS bases FROM reads GROUP BY contig", "reads")
+def cached_reads(spark, sf_dir):
+    """Over a copy in memory."""
+    copy = raw.in_memory(derive.reads(spark, sf_dir))
+    return copy.groupBy("contig").agg(F.count("*").alias("n"), F.sum("len").alias("bases"))
+
+
+@query("SELECT count(*) AS records, count(*) FILTER (NOT regexp_full_match(split_part(k, '_', 2), '[+-]?[0-9]+')) AS dropped FROM variants",
+       "variants")
+def records_counted(spark, sf_dir):
+    """How many records a pass over them read and dropped."""
+    counter = Observation("variants")
+    number = F.get(F.split("k", "_", -1), F.lit(1))
+    records.drop_errors(derive.variants(spark, sf_dir), number.try_cast("long"), "pos", counter).write.format("noop").mode("overwrite").save()
+    seen = counter.get
+    return spark.range(1).select(F.lit(seen["records"]).alias("records"), F.lit(seen["dropped"]).alias("dropped"))
+
+
+def _started() -> dict:
+    return {"n": 0, "least": None, "most": None}
+
+
+def _processed(state: dict, pdf: pd.DataFrame) -> dict:
+    return _merged(state, {"n": len(pdf), "least": int(pdf["len"].min()), "most": int(pdf["len"].max())})
+
+
+def _merged(a: dict, b: dict) -> dict:
+    if not a["n"] or not b["n"]:
+        return a if a["n"] else b
+    return {"n": a["n"] + b["n"], "least": min(a["least"], b["least"]), "most": max(a["most"], b["most"])}
+
+
+def _finished(state: dict) -> tuple:
+    return state["n"], state["most"] - state["least"]
+
+
+@query("SELECT contig, pos0 // 100 AS hundred, count(*) AS n, max(len) - min(len) AS spread FROM reads GROUP BY ALL", "reads")
+def accumulated_lengths(spark, sf_dir):
+    """A user's accumulator of read lengths, merged across tasks."""
+    rows = derive.reads(spark, sf_dir).select("contig", F.floor(F.col("pos0") / 100).alias("hundred"), "len")
+    return records.accumulate(rows, ["contig", "hundred"], _started, _processed, _merged, _finished, "n long, spread long")
+
+
 # FASTQ --------------------------------------------------------------------------------------------------------------------------
 
 

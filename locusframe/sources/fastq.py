@@ -60,8 +60,9 @@ def read_pairs(spark: SparkSession, r1: str, r2: str, **options) -> DataFrame:
     return zip_mates(read_fastq(spark, r1, **options).drop("file"), read_fastq(spark, r2, **options).drop("file"))
 
 
-def write_fastq(records: DataFrame, path: str, order: str = "rec") -> None:
-    """Records in their order, as text files; a path that ends in ``.gz`` is compressed."""
+def write_fastq(records: DataFrame, path: str, order: str = "rec", files: int | None = None) -> None:
+    """Records in their order, as text files; a path that ends in ``.gz`` is compressed.  ``files=1``: as one file."""
     text = F.concat_ws("\n", "header", "sequence", "plus", "quality").alias("value")
-    rows = records.orderBy(order).select(text)
+    rows = records.orderBy(order)
+    rows = (rows.coalesce(files) if files else rows).select(text)
     rows.write.option("compression", "gzip" if path.endswith(".gz") else "none").text(path)

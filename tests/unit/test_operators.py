@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
@@ -41,11 +43,50 @@ def test_batch_regions(spark):
 
 def test_contig_runs_across_blocks(spark):
     rows = [("a", 1), ("a", 1), ("b", 1), ("b", 1), ("b", 1), ("a", 1), ("c", 1)]
-    for block in (1, 2, 3, 100):
-        got = batching.contig_runs(coordinates(spark, rows), block=block).orderBy("ord").collect()
+    for blocks in (1, 2, 3, 100):
+        got = batching.contig_runs(coordinates(spark, rows), blocks=blocks).orderBy("ord").collect()
         assert [r["run"] for r in got] == [0, 0, 1, 1, 1, 2, 3]
 
 
+@pytest.mark.parametrize("blocks, window", [(1, 30), (5, 30), (40, 3), (7, 0)])
+def test_batches_equal_a_fold(spark, blocks, window):
+    """Regions that neither start nor end in order, in runs of few contigs."""
+    rnd = random.Random(blocks)
+    rows, at = [], 0
+    for k in range(300):
+        at += rnd.choice([0, 1, 5, 60, -20])
+        rows.append((rnd.choice("ab") if k % 40 == 0 else rows[-1][0], at, at + rnd.randint(0, 25), k * k))
+    want, anchor = [-1], None
+    for contig, start, end, _ in rows:
+        new = anchor is None or contig != anchor[0] or end - anchor[1] >= window
+        anchor = (contig, start) if new else anchor
+        want.append(want[-1] + new)
+    df = spark.createDataFrame(rows, "contig string, start long, end long, ord long").repartition(4)
+    got = batching.batch_regions(df, window, blocks=blocks).orderBy("ord").collect()
+    assert [r["batch"] for r in got] == want[1:]
+
+
+def test_overlapping_mates(spark):
+    rows = [("c", 1, "t", 30, 64), ("c", 1, "t", 20, 128), ("c", 2, "t", 5, 64), ("c", 1, None, 1, 0), ("c", 1, None, 1, 0)]
+    df = spark.createDataFrame(rows, "contig string, pos long, qname string, bq int, flag int")
+    got = pileup.one_of_overlapping(df, "qname", "bq", "flag")
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], *rows[2:]], key=str)
+
+
+@pytest.mark.parametrize("width", [None, 1, 7, 4096])
+def test_width_of_bins_does_not_matter(spark, width):
+    rnd = random.Random(2)
+    reads = [("c", p, p + rnd.choice([0, 1, 9, 300]), k) for k, p in enumerate(rnd.randrange(500) for _ in range(80))]
+    targets = [("c", p) for p in range(1, 900, 13)]
+    got = pileup.covered(spark.createDataFrame(reads, "contig string, pos0 long, end0 long, k long"), spark.createDataFrame(targets, "contig string, pos long"), width)
+    assert {(r["pos"], r["k"]) for r in got.collect()} == {(p, k) for _, a, b, k in reads for _, p in targets if a <= p - 1 < b}
+
+
+def test_width_without_reads(spark):
+    none = spark.createDataFrame([], "contig string, pos0 long, end0 long")
+    assert pileup.covered(none, spark.createDataFrame([("c", 1)], "contig string, pos long")).count() == 0
+
+
 @pytest.mark.parametrize(
     "s, e, w, n, last",
     [(0, 100, 10, 10, (90, 100)), (0, 105, 10, 11, (100, 105)), (10, 15, 10, 1, (10, 15)), (50, 50, 10, 0, None),
@@ -156,3 +197,15 @@ def test_user_functions(spark):
     targets = spark.createDataFrame([("c", 6), ("c", 60)], "contig string, pos long")
     fn = lambda key, pdf: pd.DataFrame({"pos": [key[1]], "n": [len(pdf)]})
     assert [tuple(r) for r in records.process_loci(reads, targets, fn, "pos long, n long").collect()] == [(6, 2)]
+
+
+@pytest.mark.parametrize("held", [1, 50_000])
+def test_accumulators_are_merged(spark, held):
+    rows = [(k % 5 or None, k) for k in range(200)]
+    df = spark.createDataFrame(rows, "k long, v long").repartition(7)
+    got = records.accumulate(
+        df, ["k"], lambda: (0, 0), lambda s, pdf: (s[0] + len(pdf), s[1] + int(pdf["v"].sum())), lambda a, b: (a[0] + b[0], a[1] + b[1]),
+        lambda s: s, "n long, total long", held,
+    )
+    want = {k or None: (40, sum(v for v in range(200) if v % 5 == k)) for k in range(5)}
+    assert {r["k"]: (r["n"], r["total"]) for r in got.collect()} == want
