@@ -9,8 +9,6 @@ tokenizer that fails them encodes whole texts.
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 from tokenizers import Tokenizer
 
@@ -18,7 +16,7 @@ from tokenizers import Tokenizer
 #: are encoded in one call.
 MEMORY_BYTES, WORD_BYTES, CALL_WORDS = 48 << 20, 170, 4096
 #: Bytes of text that are split into words at once: the larger, the fewer words are looked up twice.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 _PROBES = ("one two", "a1 b2", "it's  we'll\n\tgo", "x , y . z !?", "é è é", "<|end of text|> <|endoftext|>", "End, the end. A1. é,")
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
@@ -32,7 +30,7 @@ class WordEncoder:
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.used = 0
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
         vocabulary = self.tokenizer.get_vocab()
         self.ends_unit = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         if suffix:
