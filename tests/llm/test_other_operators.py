@@ -406,9 +406,43 @@ def test_slot_maps():
     assert all(b in (a, 8) for a, b in zip(new, more)) and more.count(8) == 512 // 9
 
 
-def test_slot_map_versions(spark):
-    rows = sharding.map_table(spark, [[0, 1, 0], [0, 1, 1]]).collect()
-    assert {(r["version"], r["slot"], r["shard"]) for r in rows} == {(0, 0, 0), (0, 1, 1), (0, 2, 0), (1, 0, 0), (1, 1, 1), (1, 2, 1)}
+@pytest.mark.parametrize("ids", [lambda k: None, lambda k: 7, lambda k: k if k % 3 else None, lambda k: k])
+def test_shards_against_brute_force(spark, ids):
+    """Whatever the ids: sizes, checksums and places by hand, and shards of nearly equal bytes."""
+    rnd = random.Random(5)
+    texts = [rnd.choice([None, "", "é" * rnd.randint(1, 300), "x" * rnd.randint(1, 2000)]) for _ in range(1000)]
+    rows = [(ids(k), t, k) for k, t in enumerate(texts)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string, slot long").repartition(3), 16).collect()
+    want = sorted((str(d), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for d, t, _ in rows)
+    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == want
+    load, places = [0] * 16, [[] for _ in range(16)]
+    for r in got:
+        load[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+    assert max(load) - min(load) <= 2000 and all(sorted(p) == list(range(len(p))) for p in places)
+
+
+def test_a_map_is_edited(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "x" * (k % 50)) for k in range(900)], "doc_id long, text string")
+    more = docs.union(spark.createDataFrame([(2000 + k, "y" * 40) for k in range(90)] + [(None, "z" * 3000)] * 30, "doc_id long, text string"))
+    path = str(tmp_path / "map")
+    sizes = {(s, 0): 1 for s in range(64)}
+    sharding.map_table(spark, 0, sorted(sizes), sharding.initial_map(64, 4), [1] * 64).write.partitionBy("version").parquet(path)
+    one = sharding.shard_by_bytes(docs, 4, n_slots=64, map_path=path).collect()
+    again = sharding.shard_by_bytes(docs, 4, n_slots=64, map_path=path).collect()
+    assert {(r["doc_id"], r["shard"]) for r in one} == {(r["doc_id"], r["shard"]) for r in again}  # nothing to move
+    assert {r["map_version"] for r in again} == {2}
+    five = sharding.shard_by_bytes(more, 5, n_slots=64, map_path=path).collect()
+    load = [sum(r["size"] for r in five if r["shard"] == k) for k in range(5)]
+    assert len(five) == 1020 and max(load) - min(load) <= 3200
+    steps = {r["version"]: (r["moved_slots"], r["moved_bytes"]) for r in sharding.moved(spark, path).collect()}
+    assert set(steps) == {1, 2, 3} and steps[2] == (0, 0) and steps[3][0] >= 64 // 5
+    stay = {r["doc_id"]: r["shard"] for r in five}
+    assert sum(stay[r["doc_id"]] == r["shard"] for r in one) > 300
+    with pytest.raises(ValueError, match="slots"):
+        sharding.shard_by_bytes(docs, 5, n_slots=32, map_path=path)
+    with pytest.raises(ValueError, match="shards"):
+        sharding.shard_by_bytes(docs, 2, n_slots=64, map_path=path)
 
 
 # Decontamination ---------------------------------------------------------------------------------------------------------------
