@@ -5,16 +5,21 @@ left).  Sorting all suffixes of the corpus would move each text a hundred times,
 
 1. Cut.  Each document is cut into segments: runs of windows of ``length`` bytes that have the same smallest hash of
    ``ANCHOR`` bytes.  Equal windows have the same smallest hash, so a window can only repeat in segments of its own hash.
-   A segment is shipped as two hashes and its place; its text stays.
+   A segment is shipped as the anchor's hash, a hash of its content of 128 bits and its place; its text stays.
 2. Meet.  Segments are dealt out by ranges of (anchor hash, content hash, id), so that a hash or a content which a third of
    all documents has is spread over tasks as well, and sorted.  Of equal segments all but the first are repeats throughout.  The first ones of
    an anchor with several contents are candidates; so are those at the borders of a range, where the neighbour isn't seen.
 3. Sort.  The texts of candidates go to tasks by anchor.  Each task builds the suffix array of a block of whole anchors by
    two-stage sorting and compares neighbours: of suffixes with ``length`` bytes in common all but the earliest repeat.  An
-   anchor with more than ``MOST_SEGMENTS`` contents is dealt out window by window, by the windows' own hash.
+   anchor with more than ``MOST_SEGMENTS`` contents is dealt out window by window, by the windows' own hash.  A window that
+   stands in more than ``MOST_WINDOWS`` places is counted first, by its hash and combined before the shuffle; then its places are
+   dealt out in chunks, each with the earliest one, so the bytes still decide and no task gets all of them.
 4. Remove.  The repeated runs of each document are merged and cut out.
 
-Special cases: null text is empty; texts shorter than ``length`` keep all; documents that repeat an id, and those without one,
+Equal segments, unlike all others, are equal by their hashes: 128 bits of content and 64 of the anchor, not compared byte by byte.
+
+Special cases: null text is empty; texts shorter than ``length`` keep all; very long texts are cut in overlapping parts of 4 MB;
+of places that tie in a document the leftmost is the earliest; documents that repeat an id, and those without one,
 are ordered by id (null first) and are then told apart by a number of their own, for which the table is stored once; an empty
 table gives an empty result; further columns are ignored.
 """
@@ -30,11 +35,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm._common import id_and_text, shuffle_partitions, stored
+from locusframe.llm._common import BROADCAST_CLASSES, BROADCAST_ROWS, id_and_text, shuffle_partitions, stored
 from locusframe.llm.suffix_array import Strings, common_prefixes, suffix_array
 
 LENGTH, ANCHOR = 100, 32
-MOST_SEGMENTS = 4096
+MOST_SEGMENTS, MOST_WINDOWS = 4096, 20_000
+#: Bits of a packed place: bytes of the segment, and above them whether it is periodic.
+SIZE_BITS = 10
+_PERIODIC, _PLACE = 1 << SIZE_BITS, SIZE_BITS + 1
 #: Bytes that are hashed, and bytes that are sorted, at once.
 CUT_BYTES, SORT_BYTES = 1 << 20, 2 << 20
 SAMPLE_DOCUMENTS = 2000
@@ -121,9 +129,10 @@ def _cut(length: int, borders: tuple[np.ndarray, ...] | None):
                 first = np.cumsum([0, *sizes[:-1]])
                 at, size, anchor, periodic = segments(np.frombuffer(whole, np.uint8), first, length)
                 text = np.searchsorted(first, at, "right") - 1
-                digest = xxhash.xxh3_64_intdigest
-                content = np.array([digest(whole[a : a + n]) for a, n in zip(at.tolist(), size.tolist())], np.uint64)
-                content = content.view(np.int64)
+                digest = xxhash.xxh3_128_digest
+                content = b"".join([digest(whole[a : a + n]) for a, n in zip(at.tolist(), size.tolist())])
+                content = np.frombuffer(content, "<i8").reshape(-1, 2)
+                content, content2 = np.ascontiguousarray(content[:, 0]), np.ascontiguousarray(content[:, 1])
                 key = np.array(keys, np.int64)[text]
                 if borders is None:
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, content, key)], ["anchor", "content", "key"])
@@ -131,10 +140,10 @@ def _cut(length: int, borders: tuple[np.ndarray, ...] | None):
                 part = range_of(borders, (anchor, content, key))
                 place = np.array(offsets, np.int64)[text] + at - first[text]
                 columns = [
-                    pa.array(part.astype(np.int32)), pa.array(anchor), pa.array(content),
-                    pa.array(key), pa.array(place * 512 + periodic * 256 + size),
+                    pa.array(part.astype(np.int32)), pa.array(anchor), pa.array(content), pa.array(content2),
+                    pa.array(key), pa.array((place << _PLACE) + periodic * _PERIODIC + size),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "anchor", "content", "key", "place"])
+                yield pa.RecordBatch.from_arrays(columns, ["part", "anchor", "content", "content2", "key", "place"])
 
     return run
 
@@ -158,14 +167,14 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A segment that equals the one before it repeats.  Of the others, the firsts, one is a candidate if the first before or
     after it has the same anchor, if there is none in its range, or if it may repeat itself.
     """
-    names = ("part", "anchor", "content", "key", "place")
+    names = ("part", "anchor", "content", "content2", "key", "place")
     outside = {k: np.array([-1], np.int64) for k in names}
 
     def candidates(c: dict[str, np.ndarray]) -> pa.RecordBatch:
         """Of all rows of ``c`` but the first and the last, which are there to look at."""
         range_ends = c["part"][1:] != c["part"][:-1]
         close = range_ends | (c["anchor"][1:] == c["anchor"][:-1])
-        periodic = c["place"][1:-1] & 256 > 0
+        periodic = c["place"][1:-1] & _PERIODIC > 0
         some = np.flatnonzero(close[:-1] | close[1:] | periodic) + 1
         return _found(c["anchor"][some], c["key"][some], c["place"][some])
 
@@ -175,7 +184,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         c = {k: np.concatenate([before[k], batch.column(k).to_numpy()]) for k in names}
         new = np.zeros(len(c["part"]), bool)
-        for k in ("part", "anchor", "content"):
+        for k in ("part", "anchor", "content", "content2"):
             new[1:] |= c[k][1:] != c[k][:-1]
         again = np.flatnonzero(~new[1:]) + 1
         if len(again):
@@ -195,23 +204,35 @@ def _found(anchor: np.ndarray | None, key: np.ndarray, place: np.ndarray) -> pa.
     return pa.RecordBatch.from_arrays([anchors, pa.array(key, pa.int64()), pa.array(place, pa.int64())], ["anchor", "key", "place"])
 
 
-def _texts(length: int):
-    """Mapper over documents with their candidates: the bytes of each, under the hash that it is sorted by."""
+def _texts(length: int, chunks=None):
+    """Mapper over documents with their candidates: the bytes of each, under the hash that it is sorted by.
+
+    ``chunks``: of windows with very many places how many chunks they are dealt out in, and the earliest place, which goes into
+    each of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt = chunks.value if chunks is not None else {}
         for batch in batches:
             groups, keys, places, parts = [], [], [], []
             for key, text, mine in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("mine").to_pylist()):
                 data = text.as_buffer().to_pybytes()
                 for c in mine:
-                    at, size = c["place"] >> 9, c["place"] & 255
+                    at, size = c["place"] >> _PLACE, c["place"] & (_PERIODIC - 1)
                     if c["often"]:
                         for k in range(at, at + size - length + 1):
                             window = data[k : k + length]
-                            groups.append(xxhash.xxh3_64_intdigest(window) - 2**63)
-                            keys.append(key)
-                            places.append(k)
-                            parts.append(window)
+                            group = xxhash.xxh3_64_intdigest(window) - 2**63
+                            in_groups = [group]
+                            if group in dealt:
+                                n, *first = dealt[group]
+                                which = range(n) if [key, k] == first else [hash((key, k)) % n]
+                                in_groups = [xxhash.xxh3_64_intdigest(window, 1 + j) - 2**63 for j in which]
+                            for group in in_groups:
+                                groups.append(group)
+                                keys.append(key)
+                                places.append(k)
+                                parts.append(window)
                     else:
                         groups.append(c["anchor"])
                         keys.append(key)
@@ -225,6 +246,41 @@ def _texts(length: int):
     return run
 
 
+def _windows(length: int):
+    """Mapper over documents with their candidates: hash and place of the windows of those that are dealt out by window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups, keys, places = [], [], []
+            for key, text, mine in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("mine").to_pylist()):
+                data = text.as_buffer().to_pybytes()
+                for c in mine:
+                    if c["often"]:
+                        at, size = c["place"] >> _PLACE, c["place"] & (_PERIODIC - 1)
+                        stops = range(at, at + size - length + 1)
+                        groups += [xxhash.xxh3_64_intdigest(data[k : k + length]) - 2**63 for k in stops]
+                        keys += [key] * len(stops)
+                        places += stops
+            columns = [pa.array(x, pa.int64()) for x in (groups, keys, places)]
+            yield pa.RecordBatch.from_arrays(columns, ["group", "key", "place"])
+
+    return run
+
+
+def _chunks(candidates: DataFrame, length: int, most_windows: int):
+    """Windows with more than ``most_windows`` places: into how many chunks they are dealt out, and the earliest place."""
+    seen = candidates.mapInArrow(_windows(length), "group long, key long, place long")
+    counted = stored(
+        seen.groupBy("group").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("first")).where(F.col("n") > most_windows),
+        "windows",
+    )
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    least = max(most_windows, total // BROADCAST_CLASSES)  # so no more than BROADCAST_CLASSES windows are collected
+    found = counted.where(F.col("n") > least).select("group", "n", "first.*").collect()
+    dealt = {r["group"]: (-(-r["n"] // least), r["key"], r["place"]) for r in found}
+    return candidates.sparkSession.sparkContext.broadcast(dealt) if dealt else None
+
+
 def _part_rows(groups: list, keys: list, places: list, parts: list) -> pa.RecordBatch:
     columns = [pa.array(groups, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.int64()), pa.array(parts, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, ["group", "key", "place", "part"])
@@ -246,7 +302,13 @@ def repeats(parts: list[bytes], keys: np.ndarray, places: np.ndarray, length: in
     place = places[owner] + at - s.starts[owner]
     rank = np.lexsort((place, keys[owner], group))
     first = np.concatenate(([True], group[rank][1:] != group[rank][:-1]))
-    gone = np.sort(at[rank[~first]])
+    # The earliest place may be there several times, once for each chunk.
+    earliest = rank[first][np.cumsum(first) - 1]
+    again = (keys[owner[rank]] != keys[owner[earliest]]) | (place[rank] != place[earliest])
+    gone = np.sort(at[rank[again]])
+    if not len(gone):
+        none = np.empty(0, np.int64)
+        return none, none, none
     run = np.flatnonzero(np.concatenate(([True], (gone[1:] != gone[:-1] + 1))))
     size = np.diff(np.append(run, len(gone))) + length - 1
     starts = gone[run]
@@ -341,7 +403,8 @@ def _borders(docs: DataFrame, length: int, parts: int) -> tuple[np.ndarray, ...]
 
 
 def repeated_runs(
-    docs: DataFrame, length: int = LENGTH, most_segments: int = MOST_SEGMENTS, dealt: DataFrame | None = None
+    docs: DataFrame, length: int = LENGTH, most_segments: int = MOST_SEGMENTS, dealt: DataFrame | None = None,
+    most_windows: int = MOST_WINDOWS,
 ) -> DataFrame:
     """``key, at, size``: runs of bytes of the documents (``key, text``) that repeat earlier windows; they may overlap.
 
@@ -351,26 +414,27 @@ def repeated_runs(
         raise ValueError(f"length must be {ANCHOR} to 160 bytes")
     n = shuffle_partitions(docs.sparkSession)
     cut = docs.select("key", "text").mapInArrow(
-        _cut(length, _borders(docs, length, n)), "part int, anchor long, content long, key long, place long"
+        _cut(length, _borders(docs, length, n)), "part int, anchor long, content long, content2 long, key long, place long"
     )
     met = (
         cut.repartitionById(n, "part")
-        .sortWithinPartitions("part", "anchor", "content", "key", "place")
+        .sortWithinPartitions("part", "anchor", "content", "content2", "key", "place")
         .mapInArrow(_meet, "anchor long, key long, place long")
     )
     met = stored(met, "segments")
-    size = F.pmod("place", F.lit(256))
-    known = met.where("anchor is null").select("key", F.shiftright("place", 9).alias("at"), size.alias("size"))
+    size = F.col("place").bitwiseAND(F.lit(_PERIODIC - 1))
+    known = met.where("anchor is null").select("key", F.shiftright("place", _PLACE).alias("at"), size.alias("size"))
     candidates = met.where("anchor is not null")
-    often = candidates.groupBy("anchor").count().where(F.col("count") > most_segments).select("anchor", F.lit(True).alias("often"))
-    mine = candidates.join(often, "anchor", "left").groupBy("key").agg(
+    often = stored(candidates.groupBy("anchor").count().where(F.col("count") > most_segments), "often")
+    n_often = often.count()
+    often = often.select("anchor", F.lit(True).alias("often"))
+    mine = candidates.join(F.broadcast(often) if n_often <= BROADCAST_ROWS else often, "anchor", "left").groupBy("key").agg(
         F.collect_list(F.struct("anchor", "place", F.coalesce("often", F.lit(False)).alias("often"))).alias("mine")
     )
+    of_docs = (docs if dealt is None else dealt).join(mine, "key").select("key", "text", "mine")
+    chunks = _chunks(of_docs, length, most_windows) if n_often else None
     sorted_ = (
-        (docs if dealt is None else dealt)
-        .join(mine, "key")
-        .select("key", "text", "mine")
-        .mapInArrow(_texts(length), "group long, key long, place long, part binary")
+        of_docs.mapInArrow(_texts(length, chunks), "group long, key long, place long, part binary")
         .repartition(n, "group")
         .sortWithinPartitions("group")
         .mapInArrow(_sort_blocks(length), "key long, at long, size long")
@@ -380,14 +444,14 @@ def repeated_runs(
 
 def remove_repeats(
     docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
-    most_segments: int = MOST_SEGMENTS, with_text: bool = True,
+    most_segments: int = MOST_SEGMENTS, with_text: bool = True, most_windows: int = MOST_WINDOWS,
 ) -> DataFrame:
     """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, with ``with_text``, ``kept`` (the bytes
     that are left) and ``spans`` (from, to, from, to, ..)."""
     texts = _keyed(id_and_text(docs, id_col, text_col))
     n = shuffle_partitions(docs.sparkSession)
     dealt = texts.select("key", "doc_id", "text").repartition(n, "key")  # used twice; Spark reuses the exchange
-    runs = repeated_runs(texts, length, most_segments, dealt)
+    runs = repeated_runs(texts, length, most_segments, dealt, most_windows)
     runs = runs.groupBy("key").agg(F.collect_list(F.struct("at", "size")).alias("runs"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     rows = dealt.join(runs, "key", "left").select("doc_id", "text", "runs")

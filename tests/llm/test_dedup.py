@@ -284,9 +284,20 @@ def test_removal_frequent_passage(spark):
     passage = " ".join(word() for _ in range(30))
     rows = [(k, " ".join(word() for _ in range(20)) + passage + " ".join(word() for _ in range(20))) for k in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
-    for most in (4, 4096):
-        got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(df, most_segments=most, with_text=False).collect()}
-        assert got == {d: v[:4] for d, v in slow_removal(rows).items()}
+    for most, windows in ((4, 20_000), (4, 7), (4096, 20_000)):
+        found = suffix_dedup.remove_repeats(df, most_segments=most, with_text=False, most_windows=windows)
+        assert {r["doc_id"]: tuple(r)[1:5] for r in found.collect()} == {d: v[:4] for d, v in slow_removal(rows).items()}
+
+
+@pytest.mark.parametrize("length", [40, 143, 160])
+def test_removal_at_other_lengths(spark, length):
+    rnd = random.Random(length)
+    passages = ["".join(rnd.choice("abcdefgh ") for _ in range(n)) for n in (length - 1, length, length + 1, 3 * length, 900)]
+    noise = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randint(0, 1500)))
+    rows = [(k, noise() + rnd.choice(passages) + noise() + rnd.choice(passages)) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(df, length, with_text=False).collect()}
+    assert got == {d: v[:4] for d, v in slow_removal(rows, length).items()}
 
 
 def test_removal_odd_rows(spark):
