@@ -428,13 +428,21 @@ def repeated_runs(
     often = stored(candidates.groupBy("anchor").count().where(F.col("count") > most_segments), "often")
     n_often = often.count()
     often = often.select("anchor", F.lit(True).alias("often"))
-    mine = candidates.join(F.broadcast(often) if n_often <= BROADCAST_ROWS else often, "anchor", "left").groupBy("key").agg(
-        F.collect_list(F.struct("anchor", "place", F.coalesce("often", F.lit(False)).alias("often"))).alias("mine")
+    marked = candidates.join(F.broadcast(often) if n_often <= BROADCAST_ROWS else often, "anchor", "left").select(
+        "key", F.struct("anchor", "place", F.coalesce("often", F.lit(False)).alias("often")).alias("one")
     )
-    of_docs = (docs if dealt is None else dealt).join(mine, "key").select("key", "text", "mine")
-    chunks = _chunks(of_docs, length, most_windows) if n_often else None
+    listed = F.collect_list("one").alias("mine")
+    chunks = None
+    if n_often:
+        by_window = stored(marked.where("one.often"), "often-segments")
+        few = by_window.count() <= BROADCAST_ROWS  # then no text moves for the counts
+        by_window = by_window.groupBy("key").agg(listed)
+        chunks = _chunks(docs.join(F.broadcast(by_window) if few else by_window, "key").select("key", "text", "mine"), length, most_windows)
     sorted_ = (
-        of_docs.mapInArrow(_texts(length, chunks), "group long, key long, place long, part binary")
+        (docs if dealt is None else dealt)
+        .join(marked.groupBy("key").agg(listed), "key")
+        .select("key", "text", "mine")
+        .mapInArrow(_texts(length, chunks), "group long, key long, place long, part binary")
         .repartition(n, "group")
         .sortWithinPartitions("group")
         .mapInArrow(_sort_blocks(length), "key long, at long, size long")
