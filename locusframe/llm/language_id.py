@@ -10,9 +10,11 @@ neither capitals, junk characters nor a word said a thousand times count.  A dic
 sample in the same form, the most frequent last, where references are cheapest, up to ``dictionary_bytes``.
 
 The words come from a bounded sample: ``sample_bytes`` of text per language, of the documents with the smallest hash of
-their text, each text once, so that the sample neither depends on the order of rows nor grows with the input.
+their text, each text once, so that the sample neither depends on the order of rows nor grows with the input.  Of a text of more
+than a quarter of that the sample has as many characters.  More than ``max_languages`` languages are an error, since counts and
+dictionaries of each reach the driver and all tasks.
 
-Special cases: null text and text without a letter: ``und`` with score 0; texts of equal size under two dictionaries go to
+Special cases: a text of any length is judged as a whole; null text and text without a letter: ``und`` with score 0; texts of equal size under two dictionaries go to
 the language with more training documents, then the smaller name; no training rows at all: ``und`` for every text; rows that
 repeat are judged row by row; null ids are allowed; an empty table gives an empty result; further columns are ignored.
 """
@@ -44,23 +46,25 @@ def distinct_words(text: str) -> list[str]:
 
 def dictionaries(
     docs: DataFrame, train: Column, sample_bytes: int = SAMPLE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES,
-    text_col: str = "text", lang_col: str = "lang",
+    text_col: str = "text", lang_col: str = "lang", max_languages: int = 200,
 ) -> list[tuple[str, int, bytes]]:
     """``(language, training documents, sample)``, the language with most documents first."""
     rows = docs.where(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(
         F.count("*").alias("n"), F.sum(F.octet_length(text_col)).cast("double").alias("bytes")
-    ).collect()  # one row per language
+    ).limit(max_languages + 1).collect()  # one row per language
     if not counts:
         return []
+    if len(counts) > max_languages:
+        raise ValueError(f"{len(counts)} languages; more than {max_languages} dictionaries are not broadcast")
     # A share of each language's documents that holds about twice the bytes asked for, at least some 64 documents.
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * sample_bytes / max(r["bytes"], 1) + 64 / r["n"]))])
     rank = F.xxhash64(F.lit("sample"), F.col(text_col))
     sample = (
         rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), rank.alias("rank"))
         .where(F.pmod("rank", F.lit(1_000_003)) / 1_000_003.0 <= share[F.col("lang")])
-        .where(F.octet_length("text") <= sample_bytes // 4)
         .dropDuplicates(["lang", "rank"])  # copies count once, so no group of them can fill the sample
+        .withColumn("text", F.substring("text", 1, sample_bytes // 4))
         .collect()  # about twice sample_bytes per language
     )
     words: dict[str, Counter] = {r["lang"]: Counter() for r in counts}

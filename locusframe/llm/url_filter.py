@@ -4,11 +4,12 @@ Every rule is a path in one trie: the labels of its host from the top-level doma
 path.  A URL is judged by one walk: down its own labels as far as the trie goes and, at each host that has rules, down its path
 segments.  The rule with the longest host decides, and among those the one with the longest path, so an entry to block can
 carve a part out of an entry to allow and the other way round.  The last segment of a rule's path is compared as a prefix of
-characters, so ``/en/1`` fits ``/en/17``.
+characters, so ``/en/1`` fits ``/en/17``: the prefixes of a URL's segment are looked up, the longest that a rule has first.
 
-The trie is broadcast.  Its size is checked first: more than ``max_rules`` rules raise an error rather than being shipped.
+The trie is broadcast.  Its size is checked first: more than ``max_rules`` rules, or rules of more than ``max_bytes``, raise an
+error rather than being shipped.
 
-Special cases: a null URL, or one without ``://``, has an empty host and path; such a URL, and one that no rule fits, gets
+Special cases: a URL of any length is judged as a whole; a null URL, or one without ``://``, has an empty host and path; such a URL, and one that no rule fits, gets
 the default verdict and a null rule; of equal rules that differ in the verdict, block wins; null ids and repeated rows are
 judged row by row; an empty table gives an empty result; further columns are ignored.
 """
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 ALLOW, BLOCK = "allow", "block"
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
 _LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
-_PATHS, _ENDS = 0, 1  # keys of a node that no label or segment can equal
+_PATHS, _ENDS, _LONGEST = 0, 1, 2  # keys of a node that no label or segment can equal
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -49,6 +50,7 @@ def build_trie(rules: Iterable[tuple[str, str, str]]) -> dict:
         for segment in whole:
             node = node.setdefault(segment, {})
         ends = node.setdefault(_ENDS, {})
+        node[_LONGEST] = max(node.get(_LONGEST, 0), len(last))
         if ends.get(last, ("", ""))[1] != BLOCK:
             ends[last] = (host + path, verdict)
     return root
@@ -57,9 +59,12 @@ def build_trie(rules: Iterable[tuple[str, str, str]]) -> dict:
 def _best_path(node: dict, segments: list[str]) -> tuple[str, str] | None:
     best = None
     for segment in segments:
-        fits = [p for p in node.get(_ENDS, ()) if segment.startswith(p)]
-        if fits:
-            best = node[_ENDS][max(fits, key=len)]
+        ends = node.get(_ENDS)
+        if ends:
+            for k in range(min(node[_LONGEST], len(segment)), -1, -1):
+                if (rule := ends.get(segment[:k])) is not None:
+                    best = rule
+                    break
         node = node.get(segment)
         if node is None:
             return best
@@ -86,12 +91,16 @@ def judge_urls(
     default: str = ALLOW,
     id_col: str = "page_id",
     url_col: str = "url",
-    max_rules: int = 2_000_000,
+    max_rules: int = 500_000,
+    max_bytes: int = 32 << 20,
 ) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict``."""
     rules = list(rules)
     if len(rules) > max_rules:
         raise ValueError(f"{len(rules)} rules; a trie of more than {max_rules} is not broadcast")
+    size = sum(len(host) + len(path) for _, host, path in rules)
+    if size > max_bytes:
+        raise ValueError(f"rules of {size} characters; a trie of more than {max_bytes} is not broadcast")
     trie = pages.sparkSession.sparkContext.broadcast(build_trie(rules))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
