@@ -12,11 +12,11 @@ from __future__ import annotations
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Bytes of remembered words, in two generations of half of that each; what a word costs besides its letters and ids; words that
-#: are encoded in one call.
-MEMORY_BYTES, WORD_BYTES, CALL_WORDS = 48 << 20, 170, 4096
+#: Bytes of remembered words, in two generations of half of that each; what a word costs with its letters and ids; words that are
+#: encoded in one call.
+MEMORY_BYTES, WORD_BYTES, CALL_WORDS = 64 << 20, 180, 4096
 #: Bytes of text that are split into words at once: the larger, the fewer words are looked up twice.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 4 << 20
 _PROBES = ("one two", "a1 b2", "it's  we'll\n\tgo", "x , y . z !?", "é è é", "<|end of text|> <|endoftext|>", "End, the end. A1. é,")
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
@@ -27,6 +27,8 @@ class WordEncoder:
     def __init__(self, path: str, ordinary_special: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary_special
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # what comes again is remembered here
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
         self.used = 0
@@ -84,14 +86,14 @@ class WordEncoder:
             again = new.intersection(self.before)
             known.update(zip(again, map(self.before.__getitem__, again)))
             new -= again
-            self.used += sum(map(len, again)) + WORD_BYTES * len(again)
+            self.used += WORD_BYTES * len(again)
         if new:
             marked = {w for w in new if w[-1] in b".," and len(w) > 1 and w[-2] in _LETTERS} if self.lower else set()
             plain = (new - marked) | {w[:-1] for w in marked} | ({b".", b","} if marked else set())
             plain.difference_update(known)
             self._learn(list(plain))
             known.update({w: known[w[:-1]] + known[w[-1:]] for w in marked})
-            self.used += sum(map(len, new)) + sum(map(len, plain)) + WORD_BYTES * (len(plain) + len(marked))
+            self.used += WORD_BYTES * (len(plain) + len(marked)) + sum(len(w) for w in plain if len(w) > 40)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
     def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
