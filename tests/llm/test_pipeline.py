@@ -2,6 +2,7 @@ import zlib
 
 import corpus_pipeline
 from locusframe.llm import best_fit, decontaminate
+from tests.llm.common import ODD, SCHEMA
 from tests.llm.test_dedup import WS, slow_components, slow_fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -61,3 +62,24 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and out.count() > 0
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Null and repeated ids, null, empty and very long texts, repeated rows, further columns with names used inside, no rows."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    text = "some words that stand in two rows without an id or with the same one"
+    rows = [(*r, k, "x") for k, r in enumerate([*ODD, (None, text, "en", "s", 1), (7, text, "en", "s", 1), (7, f"so: {item}", "en", "s", 1), (None, "clean words here", "en", "s", 1)])]
+    df = spark.createDataFrame(rows, SCHEMA + ", __id long, row_file string")
+    stages = dict(corpus_pipeline.STAGES)
+    got = {}
+    for name in ("toxicity", "exact dedup", "SimHash near-dedup", "benchmark decontamination"):
+        out = stages[name](spark, df, SF)
+        assert out.columns == df.columns and stages[name](spark, df.limit(0), SF).count() == 0
+        got[name] = sorted(r["__id"] for r in out.collect())
+    every = list(range(len(rows)))
+    assert got["toxicity"] == every  # none of them is abuse
+    assert got["exact dedup"] == [0, 1, 3, 5, 6, 8, 9, 10] or got["exact dedup"] == [0, 2, 3, 5, 6, 8, 9, 10]
+    assert len(got["SimHash near-dedup"]) == 8 and {0, 5, 6, 8, 9, 10} < set(got["SimHash near-dedup"])
+    assert got["benchmark decontamination"] == [k for k in every if k != 9]
+    packed = stages["best-fit packing"](spark, df, SF)
+    assert packed.where("piece = 0").count() == len(rows)
