@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm._common import id_and_text, slices, stored
-from locusframe.llm.tokens import TEXT_BYTES, WordEncoder
+from locusframe.llm.tokens import MEMORY_BYTES, TEXT_BYTES, WordEncoder
 
 #: (first rank, pieces, first sequence, pieces of one sequence, offset of the first of them)
 Run = tuple[int, int, int, int, int]
@@ -168,16 +168,17 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[dict[int, list[Run]], i
 
 
 def pieces(
-    docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
+    memory_bytes: int = MEMORY_BYTES, text_bytes: int = TEXT_BYTES,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, block, in_block``: the pieces, numbered by task and length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = WordEncoder(tokenizer_path, memory_bytes=memory_bytes)
         end = np.array([end_id], "<u4")
         block = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for part in (p for batch in batches for p in slices(batch, "text", TEXT_BYTES)):
+        for part in (p for batch in batches for p in slices(batch, "text", text_bytes)):
             out = []
             texts = encoder.encode_all([t.as_buffer().to_pybytes() for t in part.column("text")])
             for doc_id, text in zip(part.column("doc_id").to_pylist(), texts):
@@ -196,10 +197,14 @@ def pieces(
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
+    memory_bytes: int = MEMORY_BYTES, text_bytes: int = TEXT_BYTES,
 ) -> DataFrame:
-    """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
-    rows = stored(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
+    """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
+
+    A task remembers words of ``memory_bytes`` and splits ``text_bytes`` of text at once: less memory, more time.
+    """
+    rows = stored(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, memory_bytes, text_bytes), "pieces")
     by_block = stored(rows.groupBy("length", "block").agg(F.count("*").alias("n")), "lengths")
     counts = {r["length"]: r["n"] for r in by_block.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # by length
     runs, _ = plan(counts, capacity)

@@ -24,14 +24,14 @@ _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 class WordEncoder:
     """Ids of texts as arrays."""
 
-    def __init__(self, path: str, ordinary_special: bool = False):
+    def __init__(self, path: str, ordinary_special: bool = False, memory_bytes: int = MEMORY_BYTES):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = ordinary_special
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(0)  # what comes again is remembered here
         self.known: dict[bytes, bytes] = {}
         self.before: dict[bytes, bytes] = {}
-        self.used = 0
+        self.used, self.memory_bytes = 0, memory_bytes
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
         vocabulary = self.tokenizer.get_vocab()
         self.ends_unit = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -78,7 +78,7 @@ class WordEncoder:
         """The ids of each text."""
         split = [(t.lower() if self.lower else t).split() for t in texts]
         distinct: set[bytes] = set().union(*split)
-        if self.used > MEMORY_BYTES // 2:  # the generation before goes, but for the words that come again
+        if self.used > self.memory_bytes // 2:  # the generation before goes, but for the words that come again
             self.known, self.before, self.used = {}, self.known, 0
         known = self.known
         new = distinct.difference(known)
