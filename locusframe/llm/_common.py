@@ -66,6 +66,13 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def make_folders(spark: SparkSession, paths: list[str]) -> None:
+    """Folders that a partitioned write leaves out where no row belongs to them."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again.
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from locusframe.llm._common import id_and_text, new_path, slices, stored
+from locusframe.llm._common import id_and_text, make_folders, new_path, slices, stored
 from locusframe.llm.tokens import TEXT_BYTES, WordEncoder
 
 _WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
@@ -101,6 +101,7 @@ def write_token_files(
         ).text(path)
     finally:
         spark.conf.set(_WRITERS, before)
+    make_folders(spark, [f"{path}/kind=ids", f"{path}/kind=order"])
 
 
 def _stretches(spark: SparkSession, path: str, line_separator: str, files: str) -> DataFrame:
