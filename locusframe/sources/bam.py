@@ -1,7 +1,8 @@
 """BAM files.
 
 A file is read as one row of bytes by Spark's own reader, from any store, and decoded in a task; files are the unit of
-parallelism, of 2 GB each at most.  Records keep the order of their file as ``rec_idx``.  Region queries need no index: write the
+parallelism, of 2 GB each at most.  It is unpacked piece by piece as records are made, and for a header no further than that.
+Records keep the order of their file as ``rec_idx``.  Region queries need no index: write the
 records as Parquet, by contig and sorted by position, and let row-group statistics prune.
 
 Output is a folder with one BAM file per partition, each with the header, in the order of the rows.
@@ -9,7 +10,6 @@ Output is a folder with one BAM file per partition, each with the header, in the
 
 from __future__ import annotations
 
-import gzip
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,46 +26,85 @@ SCHEMA = (
 #: Fixed values of the format: letters of operations and of bases by their codes, the magic, and the empty last block.
 OPS, BASES, MAGIC = "MIDNSHP=X", "=ACMGRSVTWYHKDBN", b"BAM\x01"
 LAST_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-BLOCK_BYTES, BATCH_RECORDS = 60_000, 5000
+#: Bytes of a block that is written, of a file that are unpacked at once; records of a batch.
+BLOCK_BYTES, PACKED_BYTES, BATCH_RECORDS = 60_000, 1 << 16, 5000
+
+
+class _Unpacked:
+    """What a gzip file of any number of members holds, unpacked only as far as it is taken."""
+
+    def __init__(self, packed: bytes):
+        self.parts, self.held, self.at = self._unpack(packed), b"", 0
+
+    @staticmethod
+    def _unpack(packed: bytes) -> Iterator[bytes]:
+        member = None
+        for k in range(0, len(packed), PACKED_BYTES):
+            piece = packed[k : k + PACKED_BYTES]
+            while piece:
+                if member is None:
+                    piece = piece.lstrip(b"\0")  # padding between members
+                    if not piece:
+                        break
+                    member = zlib.decompressobj(31)
+                yield member.decompress(piece)
+                piece = member.unused_data
+                if member.eof:
+                    member = None
+        if member is not None:
+            raise ValueError("the file ends within a compressed block")
+
+    def _fill(self, n: int) -> bool:
+        while len(self.held) - self.at < n:
+            part = next(self.parts, None)
+            if part is None:
+                return False
+            self.held, self.at = self.held[self.at :] + part, 0
+        return True
+
+    def more(self) -> bool:
+        return self._fill(1)
+
+    def take(self, n: int) -> bytes:
+        if not self._fill(n):
+            raise ValueError("the file ends within a record")
+        self.at += n
+        return self.held[self.at - n : self.at]
+
+    def number(self) -> int:
+        return struct.unpack("<i", self.take(4))[0]
 
 
-def _header(data: bytes) -> tuple[str, list[tuple[str, int]], int]:
-    if data[:4] != MAGIC:
+def _header(data: _Unpacked) -> tuple[str, list[tuple[str, int]]]:
+    if not data.more() or data.take(4) != MAGIC:
         raise ValueError("not a BAM file")
-    (n_text,) = struct.unpack_from("<i", data, 4)
-    text, at = data[8 : 8 + n_text].rstrip(b"\0").decode(), 8 + n_text
-    (n_ref,) = struct.unpack_from("<i", data, at)
-    at, refs = at + 4, []
-    for _ in range(n_ref):
-        (n,) = struct.unpack_from("<i", data, at)
-        (length,) = struct.unpack_from("<i", data, at + 4 + n)
-        refs.append((data[at + 4 : at + 3 + n].decode(), length))
-        at += 8 + n
-    return text, refs, at
-
-
-def _records(data: bytes) -> Iterator[tuple]:
-    _, refs, at = _header(data)
+    text, refs = data.take(data.number()).rstrip(b"\0").decode(), []
+    for _ in range(data.number()):
+        name = data.take(data.number())[:-1].decode()
+        refs.append((name, data.number()))
+    return text, refs
+
+
+def _records(data: _Unpacked) -> Iterator[tuple]:
+    _, refs = _header(data)
     name = lambda k: refs[k][0] if k >= 0 else None
     index = 0
-    while at < len(data):
-        size, ref, pos, n_name, mapq, _, n_ops, flag, n_seq, ref2, pos2, tlen = struct.unpack_from("<iiiBBHHHiiii", data, at)
-        end, at = at + 4 + size, at + 36
-        if end > len(data):
-            raise ValueError("the file ends within a record")
-        qname, at = data[at : at + n_name - 1].decode(), at + n_name
-        ops = np.frombuffer(data, "<u4", n_ops, at)
+    while data.more():
+        body, at = data.take(data.number()), 32
+        ref, pos, n_name, mapq, _, n_ops, flag, n_seq, ref2, pos2, tlen = struct.unpack_from("<iiBBHHHiiii", body)
+        qname, at = body[at : at + n_name - 1].decode(), at + n_name
+        ops = np.frombuffer(body, "<u4", n_ops, at)
         at += 4 * n_ops
-        packed = np.frombuffer(data, np.uint8, (n_seq + 1) // 2, at)
+        packed = np.frombuffer(body, np.uint8, (n_seq + 1) // 2, at)
         at += len(packed)
         codes = np.stack([packed >> 4, packed & 15], axis=1).reshape(-1)[:n_seq]
-        qual = np.frombuffer(data, np.uint8, n_seq, at)
+        qual = np.frombuffer(body, np.uint8, n_seq, at)
         at += n_seq
         cigar = [{"op": OPS[x & 15], "len": int(x >> 4)} for x in ops.tolist()]
         text = None if not n_seq or qual[0] == 255 else (qual + 33).tobytes().decode()
         seq = "".join(BASES[c] for c in codes.tolist()) or None
-        yield index, qname, flag, name(ref), pos, mapq, cigar, name(ref2), pos2, tlen, seq, text, bytes(data[at:end])
-        index, at = index + 1, end
+        yield index, qname, flag, name(ref), pos, mapq, cigar, name(ref2), pos2, tlen, seq, text, body[at:]
+        index += 1
 
 
 def read_bam(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +115,7 @@ def read_bam(spark: SparkSession, path: str) -> DataFrame:
         for pdf in batches:
             for file, content in zip(pdf["path"], pdf["content"]):
                 rows = []
-                for record in _records(gzip.decompress(content)):
+                for record in _records(_Unpacked(content)):
                     rows.append((file, *record))
                     if len(rows) == BATCH_RECORDS:
                         yield pd.DataFrame(rows, columns=names)
@@ -92,7 +131,7 @@ def read_header(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            heads = [_header(gzip.decompress(c)) for c in pdf["content"]]
+            heads = [_header(_Unpacked(c)) for c in pdf["content"]]
             refs = [[{"name": n, "len": k} for n, k in h[1]] for h in heads]
             yield pd.DataFrame({"path": pdf["path"], "text": [h[0] for h in heads], "refs": refs})
 

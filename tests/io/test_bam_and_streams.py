@@ -93,3 +93,17 @@ def test_logs(tmp_path, spark):
         logs.modify_handler("none", "INFO")
     logs.spark_level(spark, "ERROR")
     assert logs.log_folder()
+
+
+def test_bam_is_unpacked_as_far_as_it_is_taken(spark, tmp_path, monkeypatch):
+    data = plain_bam()
+    small = b"".join(gzip.compress(data[k : k + 7]) for k in range(0, len(data), 7)) + b"\0" * 9
+    monkeypatch.setattr(bam, "PACKED_BYTES", 11)
+    whole = list(bam._records(bam._Unpacked(gzip.compress(data))))
+    assert whole and list(bam._records(bam._Unpacked(small))) == whole
+    with pytest.raises(ValueError, match="within a compressed block"):
+        list(bam._records(bam._Unpacked(gzip.compress(data)[:-12])))
+    unread = bam._Unpacked(small + b"\x1f\x8b broken")
+    assert bam._header(unread)[1] and next(unread.parts) is not None
+    (tmp_path / "h.bam").write_bytes(gzip.compress(data) + b"no more of this file is read")
+    assert bam.read_header(spark, str(tmp_path / "h.bam")).count() == 1
