@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from locusframe.llm.best_fit import pack
 from locusframe.llm.decontaminate import contaminated
 from locusframe.llm.exact_dedup import exact_duplicates
+from locusframe.llm.filter_audit import filter_audit
 from locusframe.llm.language_id import identify
 from locusframe.llm.sharding import shard_by_bytes
 from locusframe.llm.simhash import near_duplicates
@@ -121,6 +122,56 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY t) AS smallest FROM d),
+known AS (
+  SELECT doc_id, max(coalesce(CAST(quality = 1 AS int), 0)) AS good, max(coalesce(CAST(toxic = 1 AS int), 0)) AS toxic
+  FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, len(words) < 200 AS a, 100 * list_unique(words) < 50 * len(words) AS b,
+         100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c,
+         regexp_matches(t, '[#$%&*|]') AS d, coalesce(w.doc_id > smallest, false) AS e,
+         coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM w LEFT JOIN known USING (doc_id)),
+cells AS (
+  SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END,
+                      CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS fails,
+         count(*) AS n, sum(good) AS good, sum(toxic) AS toxic
+  FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+steps AS (
+  SELECT o, unnest(range(1, 6)) AS step FROM (
+    SELECT concat(p.x, q.x, r.x, s.x, t.x) AS o
+    FROM l p JOIN l q ON q.x <> p.x JOIN l r ON r.x NOT IN (p.x, q.x) JOIN l s ON s.x NOT IN (p.x, q.x, r.x)
+    JOIN l t ON t.x NOT IN (p.x, q.x, r.x, s.x))),
+judged AS (
+  SELECT cells.*, o, step, contains(fails, o[step]) AS failed, fails = o[step] AS alone,
+         len(list_filter(range(1, step), lambda k: contains(fails, o[k]))) > 0 AS gone
+  FROM cells, steps),
+counted AS (
+  SELECT part, o AS filter_order, step,
+         coalesce(sum(n) FILTER (NOT failed AND NOT gone), 0) AS kept,
+         coalesce(sum(n) FILTER (failed AND NOT gone), 0) AS removed,
+         coalesce(sum(n) FILTER (failed AND gone), 0) AS redundant,
+         coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (failed AND NOT gone), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (failed AND NOT gone), 0) AS toxic_lost
+  FROM judged GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS int) AS step, CAST(kept AS bigint) AS kept, CAST(removed AS bigint) AS removed,
+       CAST(redundant AS bigint) AS redundant, CAST(unique_fails AS bigint) AS unique_fails, CAST(good_lost AS bigint) AS good_lost,
+       CAST(toxic_lost AS bigint) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, filter_order[step]) AS bigint) AS shapley
+FROM counted
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -132,6 +183,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_exact_dedup": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op13_filter_audit": OP13_SQL}
