@@ -12,6 +12,7 @@ from locusframe.llm.decontaminate import contaminated
 from locusframe.llm.exact_dedup import exact_duplicates
 from locusframe.llm.filter_audit import filter_audit
 from locusframe.llm.language_id import identify
+from locusframe.llm.prefix_trie import prefix_trie
 from locusframe.llm.sharding import shard_by_bytes
 from locusframe.llm.simhash import near_duplicates
 from locusframe.llm.suffix_dedup import remove_repeats
@@ -122,6 +123,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Conversations borrow 0 to 3 turns from the one whose id is the multiple of 20 before theirs.
+    base, borrowed = F.col("conv_id") - F.col("conv_id") % 20, F.crc32(F.col("conv_id").cast("string")) % 4
+    return prefix_trie(table(spark, sf_dir, "conversations"), base=base, borrowed=borrowed, most_borrowed=3)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -183,6 +190,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
 }
 
