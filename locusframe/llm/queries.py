@@ -11,6 +11,7 @@ from locusframe.llm.best_fit import pack
 from locusframe.llm.decontaminate import contaminated
 from locusframe.llm.exact_dedup import exact_duplicates
 from locusframe.llm.filter_audit import filter_audit
+from locusframe.llm.html_text import extract_text
 from locusframe.llm.language_id import identify
 from locusframe.llm.prefix_trie import prefix_trie
 from locusframe.llm.sharding import shard_by_bytes
@@ -123,12 +124,68 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+#: On the given tables, whose pages have one article each, flat blocks in it, and few character references.
+OP11_SQL = r"""
+WITH article AS (
+  SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?b>', '', 'g') AS x FROM pages),
+block AS (
+  SELECT page_id, url, list_transform(string_split_regex(x, '<[^>]*>'), lambda b: trim(regexp_replace(
+    regexp_replace(regexp_replace(b, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks
+  FROM article)
+SELECT page_id, url, t AS text, CAST(length(t) AS bigint) AS n_chars
+FROM (SELECT page_id, url, array_to_string(list_filter(blocks, lambda b: b <> ''), ' ') AS t FROM block)
+"""
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Conversations borrow 0 to 3 turns from the one whose id is the multiple of 20 before theirs.
     base, borrowed = F.col("conv_id") - F.col("conv_id") % 20, F.crc32(F.col("conv_id").cast("string")) % 4
     return prefix_trie(table(spark, sf_dir, "conversations"), base=base, borrowed=borrowed, most_borrowed=3)
 
 
+#: CRC-32 of a decimal number modulo 4, four bits at a time; the 16 values are fixed by the polynomial.
+_CRC_MOD_4 = """
+  xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, flatten(list_transform(string_split(CAST({c} AS varchar), ''), lambda x: [ascii(x) & 15, ascii(x) >> 4]))),
+    lambda crc, x: xor(crc >> 4, ([
+      0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+      3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::bigint[])[(xor(crc, x) & 15) + 1]))) % 4"""
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT conv_id AS c, turn, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words,
+         sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT c, list(digest ORDER BY turn NULLS FIRST, digest) AS ds, list(words ORDER BY turn NULLS FIRST, digest) AS ws FROM t GROUP BY c),
+h AS (
+  SELECT *, c - c % 20 AS base, CRC AS h FROM own),
+seq AS (
+  SELECT h.c, list_concat(coalesce(b.ds, [])[1:h], h.ds[h + 1:len(h.ds)]) AS ds, list_concat(coalesce(b.ws, [])[1:h], h.ws[h + 1:len(h.ws)]) AS ws
+  FROM h LEFT JOIN own b ON b.c = h.base),
+prefix AS (
+  SELECT c, d, array_to_string(ds[1:d], '') AS p, d = len(ds) AS at_end, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS words
+  FROM (SELECT *, unnest(range(0, len(ds) + 1)) AS d FROM seq)),
+node AS (
+  SELECT p, d, min(c) AS conv_id, count(*) AS n, any_value(words) AS words,
+         coalesce(string_agg(CAST(c AS varchar), ',' ORDER BY c) FILTER (at_end), '') AS ends
+  FROM prefix GROUP BY p, d),
+kids AS (
+  SELECT left(p, 64 * (d - 1)) AS p, count(*) AS n_children FROM node WHERE d > 0 GROUP BY 1),
+below AS (
+  SELECT left(p, 64 * k) AS p, sum((n - 1) * words) AS saved, sum(CASE WHEN n_children IS NULL THEN 1 ELSE 0 END) AS leaves
+  FROM (SELECT node.*, n_children, unnest(range(0, d + 1)) AS k FROM node LEFT JOIN kids USING (p)) GROUP BY 1)
+SELECT node.conv_id, node.d AS depth, up.conv_id AS parent_conv_id, node.n AS n_convs, coalesce(n_children, 0) AS n_children,
+       CAST(leaves AS bigint) AS n_leaves, CAST(saved AS bigint) AS saved_tokens, sha256(node.ends) AS ends_sha256
+FROM node LEFT JOIN node up ON node.d > 0 AND up.p = left(node.p, 64 * (node.d - 1))
+LEFT JOIN kids ON kids.p = node.p JOIN below ON below.p = node.p
+""".replace("CRC", _CRC_MOD_4.format(c="c"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -190,8 +247,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_html_text": op11_html_text,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op13_filter_audit": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op11_html_text": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_filter_audit": OP13_SQL}
