@@ -186,8 +186,8 @@ class Page:
                 at = end.start() if end else size
 
 
-def _alive(page: Page, by_class: bool) -> list[bool]:
-    """Which elements may be main text."""
+def _states(page: Page, by_class: bool) -> list[int]:
+    """Which elements may be main text (_PLAIN), which only hold some (_HEADER, around headings), and which neither (_OTHER)."""
     n, parent, name, kind = len(page.name), page.parent, page.name, page.kind
     if not by_class:
         kind = [_OTHER if t in _OTHER_TAGS and t != "form" else _PLAIN for t in name]
@@ -212,7 +212,7 @@ def _alive(page: Page, by_class: bool) -> list[bool]:
             state[k] = own if own == _OTHER else _PLAIN if name[k] in _HEADINGS else _HEADER
         else:
             state[k] = own
-    return [s == _PLAIN for s in state]
+    return state
 
 
 def _density(c: int, t: int, lc: int, lt: int, of_body: float) -> float:
@@ -222,8 +222,9 @@ def _density(c: int, t: int, lc: int, lt: int, of_body: float) -> float:
     return c / t * math.log(c * t / (lc * lt)) / math.log(math.log(c * lc / rest + of_body * c + math.e))
 
 
-def _chosen(page: Page, alive: list[bool]) -> list[bool]:
+def _chosen(page: Page, state: list[int]) -> list[bool]:
     """Which elements are in the main text."""
+    alive = [s != _OTHER for s in state]
     n, parent, name = len(page.name), page.parent, page.name
     chars, links, own, own_links = [0] * n, [0] * n, [0] * n, [0] * n
     tags, link_tags, in_link, scope = [1] * n, [0] * n, [False] * n, [0] * n
@@ -232,7 +233,7 @@ def _chosen(page: Page, alive: list[bool]) -> list[bool]:
         # The outermost article, or else main, that an element is in.
         scope[k] = scope[parent[k]] or (k if name[k] == "article" else 0)
     for k, _, text in page.texts:
-        if alive[k]:
+        if state[k] == _PLAIN:
             length = len(" ".join(text.split()))
             own[k] += length
             own_links[k] += length if in_link[k] else 0
@@ -291,14 +292,14 @@ def _chosen(page: Page, alive: list[bool]) -> list[bool]:
 def main_text(source: str) -> str:
     """The main text of one page."""
     page = Page(source)
-    alive = _alive(page, by_class=True)
-    if not any(alive[k] and not text.isspace() for k, _, text in page.texts):
-        alive = _alive(page, by_class=False)
-    chosen = _chosen(page, alive)
+    state = _states(page, by_class=True)
+    if not any(state[k] == _PLAIN and not text.isspace() for k, _, text in page.texts):
+        state = _states(page, by_class=False)
+    chosen = _chosen(page, state)
     blocks: list[str] = []
     last = None
     for k, block, text in page.texts:
-        if chosen[k]:
+        if chosen[k] and state[k] == _PLAIN:
             if block == last:
                 blocks[-1] += text
             else:

@@ -1,0 +1,78 @@
+import random
+import re
+from itertools import permutations
+
+import pytest
+
+from locusframe.llm.filter_audit import filter_audit
+from tests.llm.common import SCHEMA, documents
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def slow(docs, labels):
+    """Every order applied to the documents one filter after the other."""
+    ids = {}
+    for d, t, *_ in docs:
+        if d is not None:
+            ids.setdefault(t or "", []).append(d)
+    good = {d for d, q, _ in labels if q == 1 and d is not None}
+    toxic = {d for d, _, x in labels if x == 1 and d is not None}
+    judged = []
+    for d, t, lang, *_ in docs:
+        t = t or ""
+        words = WORDS.findall(t)
+        fails = {
+            "A": len(words) < 200,
+            "B": 100 * len(set(words)) < 50 * len(words),
+            "C": 100 * len(re.findall("[A-Z]", t)) > 3 * len(t),
+            "D": bool(re.search(r"[#$%&*|]", t)),
+            "E": d is not None and min(ids[t]) < d,
+        }
+        judged.append((lang or "", frozenset(f for f in fails if fails[f]), d in good, d in toxic))
+    found = []
+    for part in {j[0] for j in judged}:
+        mine = [j for j in judged if j[0] == part]
+        first = {f: 0 for f in "ABCDE"}
+        rows = []
+        for order in permutations("ABCDE"):
+            alive = mine
+            for step, f in enumerate(order, 1):
+                gone = [j for j in alive if f in j[1]]
+                alive = [j for j in alive if f not in j[1]]
+                failing = sum(f in j[1] for j in mine)
+                first[f] += len(gone)
+                alone = sum(j[1] == {f} for j in mine)
+                rows.append((part, "".join(order), step, len(alive), len(gone), failing - len(gone), alone, sum(j[2] for j in gone), sum(j[3] for j in gone)))
+        found += [(*r, first[r[1][r[2] - 1]]) for r in rows]
+    return sorted(found)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    docs = [(d, t, rnd.choice(["en", "de", None, ""]), s, n) for d, t, _, s, n in documents(seed, 60)]
+    docs += [(d, rnd.choice(["AB cd " * 70, "plain words " * 120, "a $ b", " ".join(map(str, range(250)))]), "en", "s", 1) for d in range(100, 140)]
+    docs += [(None, docs[3][1], "en", "s", 1), (None, "alone without id", "de", "s", 1), (None, "alone without id", "de", "s", 1)]
+    docs += [docs[5], docs[5], (docs[5][0], "another text", "en", "s", 1), (-7, "word " * 50_000 + "É", "fr", "s", 1)]
+    rnd.shuffle(docs)
+    labels = [(d, rnd.choice([0, 1, None]), rnd.choice([0, 1, None])) for d in range(0, 140, 2)] + [(4, 1, 1), (4, 0, 0), (None, 1, 1), (9999, 1, 1)]
+    df = spark.createDataFrame([(*r, 1, 2, b"") for r in docs], SCHEMA + ", mask int, part int, sha binary").repartition(7)
+    got = filter_audit(df, spark.createDataFrame([(*r, 0) for r in labels], "doc_id long, quality int, toxic int, good int"))
+    assert sorted(map(tuple, got.collect())) == slow(docs, labels)
+
+
+def test_tables_without_rows(spark):
+    df = spark.createDataFrame([(1, "x", None, "s", 1)], SCHEMA)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert filter_audit(df.limit(0), labels).count() == 0
+    got = filter_audit(df, labels)
+    assert got.count() == 600 and {r["part"] for r in got.collect()} == {""}
+
+
+def test_hot_ids_and_copies(spark):
+    """A third of the rows have one id, a third have one text."""
+    rows = [(5, f"text {k}", "en", "s", 1) for k in range(3000)] + [(k, "copy", "en", "s", 1) for k in range(10, 3010)] + [(k, f"t{k}", "de", "s", 1) for k in range(4000, 7000)]
+    labels = [(5, 1, 1), (4000, 1, 0)]
+    got = filter_audit(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert sorted(map(tuple, got.collect())) == slow(rows, labels)

@@ -1,0 +1,93 @@
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from locusframe.llm import prefix_trie as trie
+
+SCHEMA = "conv_id long, turn long, role string, text string"
+
+
+def rebuilding():
+    conv = F.col("conv_id")
+    return {"base": conv - conv % 20, "borrowed": F.crc32(conv.cast("string")) % 4, "most_borrowed": 3}
+
+
+def slow(rows, rebuild):
+    own = {}
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest()
+            own.setdefault(conv, []).append((turn is not None, turn or 0, digest, role, text))
+    own = {c: [t[3:] for t in sorted(turns)] for c, turns in own.items()}
+    seqs = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 4 if rebuild else 0
+        seqs[c] = tuple(own.get(c - int(math.fmod(c, 20)), [])[:h] + turns[h:])
+    nodes = {}
+    for c, seq in seqs.items():
+        for d in range(len(seq) + 1):
+            nodes.setdefault(seq[:d], []).append(c)
+    kids, leaves, saved = ({p: 0 for p in nodes} for _ in range(3))
+    for p in nodes:
+        if p:
+            kids[p[:-1]] += 1
+    for p, members in nodes.items():
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) if p else 0
+        for d in range(len(p) + 1):
+            saved[p[:d]] += (len(members) - 1) * words
+            leaves[p[:d]] += not kids[p]
+    found = []
+    for p, members in nodes.items():
+        ends = ",".join(str(c) for c in sorted(members) if len(seqs[c]) == len(p))
+        up = min(nodes[p[:-1]]) if p else None
+        found.append((min(members), len(p), up, len(members), kids[p], leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(found, key=repr)
+
+
+def of(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Few distinct turns, null and repeated ones, ties, negative and far ids, ids whose base is missing, long shared beginnings."""
+    rnd, made = random.Random(3), []
+    for c in [*range(-5, 40), 100, 101, 2**40]:
+        for k in range(rnd.randrange(9)):
+            made.append((c, None if rnd.random() < 0.1 else k, rnd.choice(["u", "a", None, ""]), rnd.choice(["hi there", "yes", "", None, "no  no\n"])))
+    made += [(None, 1, "u", "x"), (7, 3, "u", "x"), (7, 3, "u", "x"), (8, 3, "us", "er"), (8, 3, "u", "ser")]
+    for c in (200, 201, 202):
+        made += [(c, k, "u", "same" if k < 55 else f"other {c}") for k in range(60)]
+    return made
+
+
+@pytest.mark.parametrize("most_rows, most_rounds", [(None, 8), (5, 3), (1, 1)])
+def test_against_brute_force(spark, rows, monkeypatch, most_rows, most_rounds):
+    """Built in tasks; dealt out again; and too large for that: all the same."""
+    monkeypatch.setattr(trie, "BLOCK", 7)
+    monkeypatch.setattr(trie, "CHUNK", 3)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = trie.prefix_trie(df, most_rows=most_rows, most_rounds=most_rounds, **rebuilding())
+    assert of(got) == slow(rows, True)
+
+
+def test_plain_and_odd_tables(spark, rows):
+    df = spark.createDataFrame([(*r, 1, "x", b"") for r in rows], SCHEMA + ", rep long, words string, digest binary")
+    assert of(trie.prefix_trie(df)) == slow(rows, False)
+    assert trie.prefix_trie(df.limit(0)).count() == 0
+    assert trie.prefix_trie(df.limit(0), **rebuilding()).count() == 0
+    long = [(1, 0, "u", "word " * 200_000), (2, 0, "u", "word " * 200_000)]
+    assert of(trie.prefix_trie(spark.createDataFrame(long, SCHEMA))) == slow(long, False)
+
+
+def test_copies_and_one_long_conversation(spark):
+    """A third of all conversations are copies; one conversation has a third of all turns."""
+    rows = [(c, k, "u", f"turn {k}") for c in range(300) for k in range(2)]
+    rows += [(c, k, "u", f"{c} {k}") for c in range(300, 600) for k in range(2)] + [(999, k, "u", "on") for k in range(600)]
+    assert of(trie.prefix_trie(spark.createDataFrame(rows, SCHEMA))) == slow(rows, False)
