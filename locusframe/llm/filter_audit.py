@@ -11,12 +11,12 @@ It fails
 
 Each document gets a mask of five bits.  A to D follow from the text alone, so the mask is made where the text is read, and only
 the text's SHA-256 is shuffled.  Equal texts meet in a ``groupBy`` of that digest, which keeps the smallest id and how many rows
-have it: those pass E, and all other rows of the group fail.  Both sums are partial before the shuffle, so a group of copies with
+have it: those pass E, and all other rows of the group that have an id fail.  Both sums are partial before the shuffle, so a group of copies with
 a third of all rows arrives as a few rows.  What is left is a histogram of 32 masks for each part (with its good and toxic
 documents), and everything about the 120 orders of the filters follows from these cells, without another look at the documents.
 
-Special cases: null and empty texts are equal to each other; a null id is no smaller id, and its rows fail E only where the
-text also has an id; rows that repeat an id with its text do not fail E for each other; an id counts as good or toxic if any of
+Special cases: null and empty texts are equal to each other; a null id is neither smaller nor larger than another, so its
+rows pass E and let others pass; rows that repeat an id with its text do not fail E for each other; an id counts as good or toxic if any of
 its labels says so; a null part is the empty string; an empty table has no parts; further columns are ignored, whatever their
 names.
 """
@@ -89,15 +89,16 @@ def mask_histogram(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     repeated = _labelled(rows, labels, id_col).groupBy(*cell, "doc_id").agg(F.count("*").alias("n"))
     groups = repeated.groupBy(*cell).agg(
         F.sum("n").alias("n"),
+        F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(0)).alias("no_id"),
         F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "n"))).alias("first"),
     )
     # A text has a group for each part and label at most.
     smallest = groups.groupBy("sha").agg(
         F.min("first.doc_id").alias("smallest"),
-        F.collect_list(F.struct(*cell[1:], "n", "first")).alias("groups"),
+        F.collect_list(F.struct(*cell[1:], "n", "no_id", "first")).alias("groups"),
     )
     each = smallest.select("smallest", F.inline("groups"))
-    passing = F.when(F.col("smallest").isNull(), F.col("n")).when(F.col("first.doc_id") == F.col("smallest"), F.col("first.n")).otherwise(F.lit(0))
+    passing = F.col("no_id") + F.when(F.col("first.doc_id") == F.col("smallest"), F.col("first.n")).otherwise(0)
     both = F.array(
         F.struct(F.col("bits").alias("mask"), passing.alias("docs")),
         F.struct((F.col("bits") + 16).alias("mask"), (F.col("n") - passing).alias("docs")),
