@@ -111,6 +111,12 @@ def slices(batch: pa.RecordBatch, column: str | int, most: int = SLICE_BYTES) ->
         yield batch.slice(first)
 
 
+def decoded(column: pa.Array) -> Iterator[str]:
+    """Texts one by one; null is empty, and bytes that are no UTF-8 become replacement characters."""
+    for value in column.cast(pa.binary()):
+        yield (value.as_py() or b"").decode("utf-8", "replace")
+
+
 # Rows by their place -----------------------------------------------------------------------------------------------------------
 
 #: A row's file (as a hash of its path) and its place in the file.  Ids may be null or repeat; these never do.

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm._common import id_and_text
+from locusframe.llm._common import decoded, id_and_text
 
 SEED_WORDS, MIN_SCORE, BLOCK_BYTES, MOST_ITEMS = 4, 0.4, 4 << 20, 64
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -206,7 +206,7 @@ def _matches(docs: DataFrame, items: Items) -> DataFrame:
         known = shared.value
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            out = [(d, *m) for d, text in zip(ids, batch.column("text")) for m in known.matches(text.as_py())]
+            out = [(d, *m) for d, text in zip(ids, decoded(batch.column("text"))) for m in known.matches(text)]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             names = ["doc_id", "item_id", "score", "first_word", "end_word"]
             columns = list(zip(*out)) or [[]] * len(names)
@@ -274,7 +274,7 @@ def drop_contaminated(
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [next(shared.value.matches(t.as_py()), None) is None for t in batch.column(position)]
+                clean = [next(shared.value.matches(t), None) is None for t in decoded(batch.column(position))]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)

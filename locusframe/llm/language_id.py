@@ -31,6 +31,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.llm._common import decoded
+
 SAMPLE_BYTES = 4_000_000
 DICTIONARY_BYTES = 32_768
 UNKNOWN = "und"
@@ -122,7 +124,7 @@ def identify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for batch in batches:
-            found = [encoder.predict(x.as_py(), margin) for x in batch.column("text")]
+            found = [encoder.predict(x, margin) for x in decoded(batch.column("text"))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),

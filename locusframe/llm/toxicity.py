@@ -16,7 +16,7 @@ as many of their texts where ids repeat.  All documents and whole texts are scor
 Special cases: null and empty texts have no match and get the score of a text without any; a text of any length is scored as a
 whole, and quotation marks are followed through all of it; of terms that are equally near to a word the heaviest counts, then the
 last in the alphabet; without labelled rows of both kinds every score is 0; labels that are null are not learned from; equal
-texts are learned once per label; rows that repeat are scored row by row; null ids are allowed; an empty table gives an empty
+texts are learned once per label; rows that repeat are scored row by row, whatever texts the same task has; bytes that are no UTF-8 are replaced; null ids are allowed; an empty table gives an empty
 result; further columns are ignored.
 """
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm._common import id_and_text, slices, stored
+from locusframe.llm._common import decoded, id_and_text, slices, stored
 
 TRAIN_ROWS, MOST_TERMS, WINDOW = 20_000, 4000, 8
 #: Bytes of words that a reader remembers, in two generations, and what a word costs besides its letters.
@@ -43,7 +43,8 @@ _OPEN, _CLOSE = "\"'«“„‘(", "\"'»”’)"
 
 
 def words_of(text: str) -> list[bytes]:
-    return text.lower().encode().translate(_PLAIN).split()
+    """Words between white space of any kind and ASCII punctuation: those of the text are those of its parts, one after the other."""
+    return " ".join(text.lower().split()).encode("utf-8", "replace").translate(_PLAIN).split()
 
 
 @dataclass
@@ -142,6 +143,7 @@ class Reader:
                 self.matched = {w: hit for w, hit in self.matched.items() if w in self.before}
         if not self.matched or distinct.isdisjoint(self.matched):
             return None
+        # ``matched`` may hold words of other texts too, but whether a word is in it follows from the word alone.
         hits, quoted_words, depth = [], [], 0
         place = 0
         for raw in text.lower().split():
@@ -272,7 +274,7 @@ class Scorer:
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.w is None or not len(texts):
             return np.zeros(len(texts))
-        x = np.array([((t := x.as_py()) and self.reader.features(t)) or [0.0] * Reader.FEATURES for x in texts])
+        x = np.array([(t and self.reader.features(t)) or [0.0] * Reader.FEATURES for t in decoded(texts)])
         return 1 / (1 + np.exp(-np.clip(x @ self.w[:-1] + self.w[-1], -30, 30)))
 
 

@@ -376,6 +376,25 @@ def test_scores_against_brute_force(spark, monkeypatch):
         assert abs(got[k][0] - want) < 1e-9 and got[k][1] == (want >= 0.5)
 
 
+def test_scores_do_not_depend_on_spaces_or_neighbours(spark):
+    """White space of any kind ends a word, and the other texts of a task change nothing."""
+    rnd = random.Random(9)
+    weights = {"vileword": 3.0, "nasty": 2.0, "abcd": 1.0}
+    spaces = [" ", "\u00a0", "\u2003", "\x1c", "\x85", "\n", "\u3000", " \u00a0"]
+    word = lambda: rnd.choice(["hello", "there", "vileword", "vilewrd", "nasty", "\"nasty", "nasty\"", "(abcd)", "\u00c9t\u00e9", "-"])
+    texts = ["hello vileword\u00a0 there", "a vileword b", "\u00a0", "\u00a0vileword"]
+    texts += ["".join(word() + rnd.choice(spaces) for _ in range(rnd.randint(0, 12))) for _ in range(80)]
+    model = toxicity.Model(toxicity.Lexicon(weights), np.array([0.4, 0.2, -0.6, 0.1, 0.3, -0.2, 0.5, -1.1]))
+    for parts in (1, 7, 40):
+        df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(parts)
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(df, model).collect()}
+        for k, t in enumerate(texts):
+            want = 1 / (1 + np.exp(-(np.dot(slow_features(t, weights), model.coefficients[:-1]) + model.coefficients[-1])))
+            assert abs(got[k] - want) < 1e-9, t
+    odd = spark.sql("SELECT 1L AS doc_id, cast(unhex('FF20') AS string) || 'vileword' AS text")
+    assert toxicity.score(odd, model).count() == 1
+
+
 def test_toxicity_held_out(spark):
     found = QUERIES["op5_toxicity"](spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -416,6 +435,34 @@ def test_language_held_out(spark):
     assert sum(r["lang"] == r["lang_pred"] for r in rows) / len(rows) >= 0.97
 
 
+def test_languages_against_plain_compression(spark):
+    """Sizes under each dictionary by calls of the library; the smallest wins, the first of equals, and the lead is its share."""
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    train = F.crc32(F.col("doc_id").cast("string")) % 4 != 2
+    samples = language_id.dictionaries(docs, train)
+    params = zstandard.ZstdCompressionParameters.from_level(7, write_content_size=False, write_dict_id=False)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r for r in language_id.identify(docs, train, margin=0.02).collect()}
+    for d, text in rows.items():
+        words = {}
+        for w in "".join(c if c.isalpha() else " " for c in text.lower()).split():
+            words.setdefault(w)
+        if not words:
+            assert got[d]["lang_pred"] == "und" and got[d]["score"] == 0
+            continue
+        data = (" ".join(words) + " ").encode()
+        sizes = []
+        for _, _, raw in samples:
+            book = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes.append(len(zstandard.ZstdCompressor(dict_data=book, compression_params=params).compress(data)))
+        first, second = sorted(sizes)[:2]
+        lead = (second - first) / second
+        assert got[d]["lang_pred"] == samples[sizes.index(first)][0]
+        assert abs(got[d]["score"] - min(1, 0.5 + 2 * lead)) < 1e-12 and got[d]["rejected"] == (lead < 0.02)
+
+
 def test_language_edges(spark):
     texts = [(1, "the house and the garden", "en"), (2, "das haus und der garten", "de"), (3, None, "en"), (4, "12 34 !?", "de"), (5, "", None),
              (None, "and the house", None), (6, "und das haus", None)]
