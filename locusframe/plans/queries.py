@@ -572,16 +572,13 @@ _BAM_REFS = [("chr1", 30_000), ("chr2", 30_000), ("chr3", 30_000)]
 _BAM_TEXT = "@HD\tVN:1.6\tSO:unsorted\n"
 
 
-def _bam_files(spark, sf_dir):
+def _bam_records(spark, sf_dir):
     text = lambda x: F.lit(x).cast("string")
-    records_ = _cigar_reads(spark, sf_dir).select(
+    return _cigar_reads(spark, sf_dir).select(
         F.concat(F.lit("r"), F.col("rid").cast("string")).alias("qname"), "flag", F.col("contig").alias("rname"), "pos0",
         F.lit(60).alias("mapq"), "cigar", text(None).alias("rnext"), F.lit(-1).cast("long").alias("pnext"), F.lit(0).cast("long").alias("tlen"),
         F.lit("ACGTN").alias("seq"), F.lit("IIII#").alias("qual"), F.lit(None).cast("binary").alias("tags"),
     )
-    path = new_path(spark, "bam")
-    bam.write_bam(records_, path, _BAM_TEXT, _BAM_REFS)
-    return path
 
 
 @query("""SELECT 'r' || rid AS qname, cast(rid % 7 * 256 AS int) AS flag, contig, pos0, '2S' || (len // 2) || 'M3D1I' || (len - len // 2) || 'M' AS cigar,
@@ -589,15 +586,60 @@ def _bam_files(spark, sf_dir):
 def bam_files(spark, sf_dir):
     """All reads through BAM files."""
     cigar = F.array_join(F.transform("cigar", lambda c: F.concat(c["len"].cast("string"), c["op"])), "")
-    found = bam.read_bam(spark, f"{_bam_files(spark, sf_dir)}/part-*")
+    path = new_path(spark, "bam")
+    bam.write_bam(_bam_records(spark, sf_dir), path, _BAM_TEXT, _BAM_REFS)
+    found = bam.read_bam(spark, path)
     return found.select("qname", "flag", F.col("rname").alias("contig"), "pos0", cigar.alias("cigar"), "seq", "qual")
 
 
-@query("SELECT 'chr' || k AS name, 30000 AS len FROM range(1, 4) AS t(k)")
+@query("""SELECT CASE WHEN starts_with(name, 'chr') THEN name ELSE 'chr' || name END AS name, arg_max(len, ord) + 1 AS len
+FROM contig_index GROUP BY 1""", "contig_index")
 def bam_header_refs(spark, sf_dir):
-    """The reference sequences of the headers of BAM files."""
-    heads = bam.read_header(spark, f"{_bam_files(spark, sf_dir)}/part-*")
-    return heads.select(F.explode("refs").alias("r")).select("r.name", "r.len").distinct()
+    """The reference sequences of an index table, through the headers of BAM files."""
+    named = derive.contig_index(spark, sf_dir).groupBy(chrom.chrom(F.col("name")).alias("name")).agg(F.max_by("len", "ord").alias("len"))
+    refs = [(r["name"], r["len"] + 1) for r in named.orderBy("name").collect()]  # as many as spellings
+    path = new_path(spark, "bam")
+    bam.write_bam(_bam_records(spark, sf_dir), path, _BAM_TEXT, refs)
+    return bam.read_header(spark, path).select(F.explode("refs").alias("r")).select("r.name", "r.len").distinct()
+
+
+_SORTED = """SELECT row_number() OVER (ORDER BY contig, pos0, 'r' || rid) - 1 AS rec_idx, 'r' || rid AS qname, contig, pos0,
+  pos0 + len + 3 AS end0 FROM reads"""
+
+
+def _sorted_bam(spark, sf_dir):
+    path = new_path(spark, "bam")
+    bam.write_bam(_bam_records(spark, sf_dir).orderBy("rname", "pos0", "qname"), path, _BAM_TEXT, _BAM_REFS)
+    return path
+
+
+@query(_SORTED, "reads")
+def bam_one_file_in_splits(spark, sf_dir):
+    """One file, joined from what the tasks wrote, and read by many tasks; the ordinal is the place in it."""
+    pieces = _sorted_bam(spark, sf_dir)
+    bam.join_files(spark, pieces, f"{pieces}-joined.bam")
+    found = bam.read_bam(spark, f"{pieces}-joined.bam", split_bytes=1 << 14)
+    return found.select("rec_idx", "qname", F.col("rname").alias("contig"), "pos0", "end0")
+
+
+_REGIONS = [("chr1", 0, 40), ("chr1", 5000, 5300), ("chr2", 5200, 5301), ("chr3", 19_990, 40_000), ("chr4", 0, 9)]
+
+
+@query("WITH g(name, lo, hi) AS (VALUES " + ", ".join(map(str, _REGIONS)) + """)
+SELECT 'r' || rid AS qname, contig, pos0 FROM reads r
+WHERE EXISTS (SELECT 1 FROM g WHERE g.name = r.contig AND r.pos0 < g.hi AND r.pos0 + r.len + 3 > g.lo)""", "reads")
+def bam_regions_by_index(spark, sf_dir):
+    """Reads that overlap any of some regions; the files are read where their indexes say."""
+    found = bam.read_regions(spark, _sorted_bam(spark, sf_dir), _REGIONS)
+    return found.select("qname", F.col("rname").alias("contig"), "pos0")
+
+
+@query("""SELECT 'r' || rid AS qname, pos0 FROM reads WHERE contig = 'chr2' AND pos0 < 2000 AND pos0 + len + 3 > 1000""", "reads")
+def bam_filter_pushed_down(spark, sf_dir):
+    """The same by a plain filter on the data source."""
+    bam.register(spark)
+    found = spark.read.format("bam").load(_sorted_bam(spark, sf_dir))
+    return found.where("rname = 'chr2' AND pos0 < 2000 AND end0 > 1000").select("qname", "pos0")
 
 
 @query("""

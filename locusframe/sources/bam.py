@@ -1,191 +1,489 @@
-"""BAM files.
+"""BAM files as a data source of Spark: ``spark.read.format("bam")`` and ``df.write.format("bam")``.
 
-A file is read as one row of bytes by Spark's own reader, from any store, and decoded in a task; files are the unit of
-parallelism, of 2 GB each at most.  It is unpacked piece by piece as records are made, and for a header no further than that.
-Records keep the order of their file as ``rec_idx``.  Region queries need no index: write the
-records as Parquet, by contig and sorted by position, and let row-group statistics prune.
+Reading.  A file of any size is read in splits of ``split_bytes``.  A task finds the first compressed block of its split by
+signature, from which a chain of blocks must follow, and in it the first record, from which several records in a row must look
+right; it reads all records that begin in its blocks.  ``read_bam`` counts the records of each split to give them their ordinal in
+the file, and checks on the way that each split begins where the one before ends: a split that does not (a record may hold others
+in its tags) is read from there instead.  A header is read from the first bytes.  A gzip file that is no file of blocks is one task's work.
 
-Output is a folder with one BAM file per partition, each with the header, in the order of the rows.
+Regions.  Where an index lies beside a file (``x.bam.bai``), filters on ``rname``, ``pos0`` and ``end0`` or the regions of
+``read_regions`` become stretches of the file, and only these are read, in pieces of ``split_bytes``.
+
+Writing.  Each task writes one file, with header and, if its records are sorted by position, index, into a hidden folder; the
+driver moves all of them into place when all tasks are done.  If a task fails it is removed, and nothing is left.  ``join_files``
+makes one file of many, each piece by a task of its own.
+
+The stores are those that pyarrow reaches (local and shared folders, HDFS, S3, Google Cloud Storage).
 """
 
 from __future__ import annotations
 
+import json
 import struct
-import zlib
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
+)
+
+from locusframe.sources.bam_index import Index, IndexBuilder, merged
+from locusframe.sources.bam_records import MAGIC, SCHEMA, bins, columns, encoded, first_record, record_starts
+from locusframe.sources.bgzf import BLOCK_BYTES, LAST_BLOCK, BlockFile, Stretch, file_system, listed, packed_block, unpacked_members
+
+SPLIT_BYTES = 64 << 20
+#: Bytes of unpacked data that are made into rows at once.
+BATCH_BYTES = 4 << 20
+COUNTS = "path string, split long, records long, first long, next long"
+HEADERS = "path string, text string, refs array<struct<name:string,len:bigint>>"
+_REFS = pa.list_(pa.struct([("name", pa.string()), ("len", pa.int64())]))
+
+
+class _Bytes:
+    """Takes from an iterator of pieces what is asked for."""
 
-SCHEMA = (
-    "path string, rec_idx long, qname string, flag int, rname string, pos0 long, mapq int, "
-    "cigar array<struct<op:string,len:bigint>>, rnext string, pnext long, tlen long, seq string, qual string, tags binary"
-)
-#: Fixed values of the format: letters of operations and of bases by their codes, the magic, and the empty last block.
-OPS, BASES, MAGIC = "MIDNSHP=X", "=ACMGRSVTWYHKDBN", b"BAM\x01"
-LAST_BLOCK = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
-#: Bytes of a block that is written, of a file that are unpacked at once; records of a batch.
-BLOCK_BYTES, PACKED_BYTES, BATCH_RECORDS = 60_000, 1 << 16, 5000
-
-
-class _Unpacked:
-    """What a gzip file of any number of members holds, unpacked only as far as it is taken."""
-
-    def __init__(self, packed: bytes):
-        self.parts, self.held, self.at = self._unpack(packed), b"", 0
-
-    @staticmethod
-    def _unpack(packed: bytes) -> Iterator[bytes]:
-        member = None
-        for k in range(0, len(packed), PACKED_BYTES):
-            piece = packed[k : k + PACKED_BYTES]
-            while piece:
-                if member is None:
-                    piece = piece.lstrip(b"\0")  # padding between members
-                    if not piece:
-                        break
-                    member = zlib.decompressobj(31)
-                yield member.decompress(piece)
-                piece = member.unused_data
-                if member.eof:
-                    member = None
-        if member is not None:
-            raise ValueError("the file ends within a compressed block")
-
-    def _fill(self, n: int) -> bool:
-        while len(self.held) - self.at < n:
-            part = next(self.parts, None)
-            if part is None:
-                return False
-            self.held, self.at = self.held[self.at :] + part, 0
-        return True
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.data, self.at = pieces, b"", 0
 
     def more(self) -> bool:
-        return self._fill(1)
+        part = next(self.pieces, None)
+        if part is not None:
+            self.data, self.at = self.data[self.at :] + part, 0
+        return part is not None
 
     def take(self, n: int) -> bytes:
-        if not self._fill(n):
-            raise ValueError("the file ends within a record")
+        while len(self.data) - self.at < n:
+            if not self.more():
+                raise ValueError("the file ends within its header")
         self.at += n
-        return self.held[self.at - n : self.at]
+        return self.data[self.at - n : self.at]
 
     def number(self) -> int:
         return struct.unpack("<i", self.take(4))[0]
 
 
-def _header(data: _Unpacked) -> tuple[str, list[tuple[str, int]]]:
-    if not data.more() or data.take(4) != MAGIC:
+def _header(source: _Bytes) -> tuple[str, list[tuple[str, int]]]:
+    if not (source.data or source.more()) or source.take(4) != MAGIC:
         raise ValueError("not a BAM file")
-    text, refs = data.take(data.number()).rstrip(b"\0").decode(), []
-    for _ in range(data.number()):
-        name = data.take(data.number())[:-1].decode()
-        refs.append((name, data.number()))
+    text, refs = source.take(source.number()).rstrip(b"\0").decode(), []
+    for _ in range(source.number()):
+        name = source.take(source.number())[:-1].decode()
+        refs.append((name, source.number()))
     return text, refs
 
 
-def _records(data: _Unpacked) -> Iterator[tuple]:
-    _, refs = _header(data)
-    name = lambda k: refs[k][0] if k >= 0 else None
-    index = 0
-    while data.more():
-        body, at = data.take(data.number()), 32
-        ref, pos, n_name, mapq, _, n_ops, flag, n_seq, ref2, pos2, tlen = struct.unpack_from("<iiBBHHHiiii", body)
-        qname, at = body[at : at + n_name - 1].decode(), at + n_name
-        ops = np.frombuffer(body, "<u4", n_ops, at)
-        at += 4 * n_ops
-        packed = np.frombuffer(body, np.uint8, (n_seq + 1) // 2, at)
-        at += len(packed)
-        codes = np.stack([packed >> 4, packed & 15], axis=1).reshape(-1)[:n_seq]
-        qual = np.frombuffer(body, np.uint8, n_seq, at)
-        at += n_seq
-        cigar = [{"op": OPS[x & 15], "len": int(x >> 4)} for x in ops.tolist()]
-        text = None if not n_seq or qual[0] == 255 else (qual + 33).tobytes().decode()
-        seq = "".join(BASES[c] for c in codes.tolist()) or None
-        yield index, qname, flag, name(ref), pos, mapq, cigar, name(ref2), pos2, tlen, seq, text, body[at:]
-        index += 1
-
-
-def read_bam(spark: SparkSession, path: str) -> DataFrame:
-    """Records of BAM files."""
-    names = [c.split()[0] for c in SCHEMA.replace("array<struct<op:string,len:bigint>>", "a").split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file, content in zip(pdf["path"], pdf["content"]):
-                rows = []
-                for record in _records(_Unpacked(content)):
-                    rows.append((file, *record))
-                    if len(rows) == BATCH_RECORDS:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
-                yield pd.DataFrame(rows, columns=names)
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, SCHEMA)
+class _File:
+    """An open file with its header; ``blocks`` is None for a gzip file that is no file of blocks."""
+
+    def __init__(self, path: str):
+        store, inner = file_system(path)
+        self.size = store.get_file_info(inner).size
+        self.file = store.open_input_file(inner)
+        self.blocks: BlockFile | None = BlockFile(self.file, self.size)
+        if self.blocks.block_size(0) is None:
+            self.blocks = None
+            self.file.seek(0)
+            self.rest = _Bytes(unpacked_members(self.file))
+            self.text, self.refs = _header(self.rest)
+            return
+        stretch = Stretch(self.blocks, 0)
+
+        def pieces() -> Iterator[bytes]:
+            yield stretch.data
+            seen = len(stretch.data)
+            while stretch.more():
+                yield stretch.data[seen:]
+                seen = len(stretch.data)
+
+        source = _Bytes(pieces())
+        self.text, self.refs = _header(source)
+        used = len(stretch.data) - (len(source.data) - source.at)
+        self.first = int(stretch.offsets(np.array([used]))[0])
+
+    def __enter__(self) -> _File:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.file.close()
+
+    def start_of(self, start: int, end: int) -> int | None:
+        """The virtual offset of the first record that begins in blocks of [start, end)."""
+        if self.first >> 16 >= start:
+            return self.first if self.first >> 16 < end else None
+        at = self.blocks.first_block(start)
+        if at is None or at >= end:
+            return None
+        return first_record(Stretch(self.blocks, at << 16), end, [n for _, n in self.refs])
+
+    def pieces(self, start: int, stop: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+        """``data, starts, offsets``: the records that begin at virtual offsets of [start, stop); offsets has one more, what follows."""
+        stretch = Stretch(self.blocks, start)
+        while True:
+            starts, at = record_starts(stretch.data)
+            offsets = stretch.offsets(np.array([*starts, at], np.int64))
+            mine = int(np.searchsorted(offsets[:-1], stop))
+            if mine:
+                yield stretch.data, np.array(starts[:mine], np.int64), offsets[: mine + 1]
+            if mine < len(starts) or offsets[-1] >= stop:
+                return
+            stretch.drop(at)
+            if not stretch.more(BATCH_BYTES, stop):
+                if stretch.data:
+                    raise ValueError("the file ends within a record")
+                return
+
+    def all_pieces(self) -> Iterator[tuple[bytes, np.ndarray, None]]:
+        """The records of a gzip file that is no file of blocks."""
+        source = self.rest
+        while True:
+            data = source.data[source.at :]
+            starts, at = record_starts(data)
+            if starts:
+                yield data, np.array(starts, np.int64), None
+            source.at += at
+            while len(source.data) - source.at < BATCH_BYTES:
+                if not source.more():
+                    break
+            if len(source.data) - source.at == len(data) - at:
+                if len(data) > at:
+                    raise ValueError("the file ends within a record")
+                return
+
+
+@dataclass
+class _Part(InputPartition):
+    """``split``: records that begin in blocks of [start, end) of the file; else records at virtual offsets of [start, end).
+
+    ``first``: where the first record of a split is known to be; -1: no record begins in it.
+    """
+
+    path: str
+    start: int
+    end: int
+    split: bool
+    first: int | None = None
+
+
+class BamReader(DataSourceReader):
+    def __init__(self, options):
+        self.path, self.mode = options["path"], options.get("mode", "records")
+        self.split_bytes = int(options.get("split_bytes", SPLIT_BYTES))
+        regions = options.get("regions")
+        self.firsts, self.only = json.loads(options.get("firsts", "{}")), options.get("only_firsts") == "true"
+        self.regions: list[tuple[str, int, int]] | None = [tuple(r) for r in json.loads(regions)] if regions else None
+
+    def pushFilters(self, filters):
+        """Bounds of one region per reference; the filters hold afterwards as well, since a stretch holds other records too."""
+        names, low, high = None, 0, 1 << 40
+        for f in filters:
+            column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if column == "rname" and isinstance(f, (EqualTo, In)):
+                found = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                names = found if names is None else names & found
+            elif column == "pos0" and isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
+                high = min(high, f.value + (not isinstance(f, LessThan)))
+            if column == "end0" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                low = max(low, f.value - isinstance(f, GreaterThanOrEqual))
+            elif column == "pos0" and isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
+                low = max(low, f.value)
+            yield f
+        if names is not None and self.regions is None:
+            self.regions = [(n, low, high) for n in sorted(names) if n is not None]
+
+    def partitions(self):
+        files = listed(self.path, ".bam")
+        if self.mode == "headers":
+            return [_Part(path, 0, 0, True) for path, _ in files]
+        parts = []
+        for path, size in files:
+            chunks = self._chunks(path) if self.regions is not None else None
+            if chunks is None:
+                step = self.split_bytes
+                known = self.firsts.get(path, {})
+                splits = (int(k) for k in known) if self.only else range(0, size, step)
+                parts += [_Part(path, k, min(k + step, size), True, known.get(str(k))) for k in splits]
+            else:
+                parts += [_Part(path, a, b, False) for a, b in chunks]
+        return parts or [None]
+
+    def _chunks(self, path: str) -> list[tuple[int, int]] | None:
+        """Stretches of a file that may have records of the regions; None without an index."""
+        store, inner = file_system(path + ".bai")
+        if store.get_file_info(inner).type != fs.FileType.File:
+            return None
+        with store.open_input_file(inner) as file:
+            index = Index(file.read())
+        with _File(path) as file:
+            ids = {name: k for k, (name, _) in enumerate(file.refs)}
+        chunks = merged([c for name, start, end in self.regions for c in index.chunks(ids.get(name, -1), max(start, 0), end)])
+        pieces = []
+        for a, b in chunks:
+            # Long stretches are cut at blocks: each piece but the first finds its own first record.
+            cuts = list(range((a >> 16) + self.split_bytes, b >> 16, self.split_bytes))
+            pieces += zip([a, *[c << 16 for c in cuts]], [*[c << 16 for c in cuts], b])
+        return pieces
+
+    def read(self, partition):
+        if partition is None:
+            return
+        with _File(partition.path) as file:
+            if self.mode == "headers":
+                refs = pa.array([[{"name": n, "len": k} for n, k in file.refs]], _REFS)
+                yield pa.RecordBatch.from_arrays([pa.array([partition.path]), pa.array([file.text]), refs], ["path", "text", "refs"])
+                return
+            pieces, start, stop = iter(()), None, None
+            if file.blocks is None:
+                if partition.start == 0:
+                    pieces = file.all_pieces()
+            elif partition.split:
+                start, stop = partition.first, partition.end << 16
+                if start is None:
+                    start = file.start_of(partition.start, partition.end)
+                elif start < 0:
+                    start = None
+            else:
+                start, stop = partition.start, partition.end
+                if start & 0xFFFF == 0 and file.blocks.block_size(start >> 16) is None:
+                    start = file.start_of(start >> 16, -(-stop >> 16))  # a cut within a stretch
+            if start is not None:
+                pieces = file.pieces(start, stop)
+            if self.mode == "counts":
+                records, after = 0, start
+                for _, starts, offsets in pieces:
+                    records += len(starts)
+                    after = None if offsets is None else int(offsets[-1])
+                first = start if records else None
+                row = [[partition.path], [partition.start], [records], [first], [after if records else None]]
+                yield pa.RecordBatch.from_arrays([pa.array(row[0])] + [pa.array(c, pa.int64()) for c in row[1:]], ["path", "split", "records", "first", "next"])
+                return
+            names, k = [n for n, _ in file.refs], 0
+            schema = [c.split()[0] for c in SCHEMA.replace("array<struct<op:string,len:bigint>>", "x").split(", ")]
+            for data, starts, offsets in pieces:
+                n = len(starts)
+                place = [
+                    pa.array([partition.path] * n, pa.string()), pa.array(np.full(n, partition.start)), pa.array(np.arange(k, k + n)),
+                    pa.nulls(n, pa.int64()) if offsets is None else pa.array(offsets[:-1]),
+                ]
+                k += n
+                yield pa.RecordBatch.from_arrays([*place, *columns(data, starts, names)], schema)
+
+
+class _Written(WriterCommitMessage):
+    def __init__(self, names: list[str]):
+        self.names = names
+
+
+class BamWriter(DataSourceArrowWriter):
+    """Two-phase: tasks write into a hidden folder, the driver moves what they wrote, or removes it."""
+
+    def __init__(self, options, overwrite: bool):
+        self.path, self.text, self.refs = options["path"].rstrip("/"), options.get("text", ""), json.loads(options["refs"])
+        self.overwrite, self.job = overwrite, uuid.uuid4().hex
+        store, inner = file_system(self.path)
+        if not overwrite and store.get_file_info(inner).type == fs.FileType.Directory and listed(self.path, ".bam"):
+            self.prefix = f"part-{self.job[:8]}-"  # appended
+        else:
+            self.prefix = "part-"
+        # Made by the driver, so that a task that is late finds it gone.
+        self.hidden = f"{inner}/_temporary-{self.job}"
+        store.create_dir(self.hidden, recursive=True)
+
+    def write(self, iterator):
+        from pyspark import TaskContext
+
+        store, _ = file_system(self.path)
+        # Attempts of a task write files of their own; only the one whose message arrives is moved.
+        task = TaskContext.get()
+        name = f"{task.partitionId():05d}-{task.taskAttemptId()}.bam"
+        header = MAGIC + struct.pack("<i", len(self.text.encode())) + self.text.encode() + struct.pack("<i", len(self.refs))
+        for ref, length in self.refs:
+            header += struct.pack("<i", len(ref.encode()) + 1) + ref.encode() + b"\0" + struct.pack("<i", length)
+        index, ids = IndexBuilder(len(self.refs)), {ref: k for k, (ref, _) in enumerate(self.refs)}
+        with store.open_output_stream(f"{self.hidden}/{name}") as out:
+            at, held = 0, b""
+            for k in range(0, len(header), BLOCK_BYTES):
+                at += out.write(packed_block(header[k : k + BLOCK_BYTES]))
+            for batch in iterator:
+                if not batch.num_rows:
+                    continue
+                data, starts, refs, pos, end0 = encoded(batch, ids)
+                stream, before, places = held + data.tobytes(), len(held), []
+                whole = len(stream) - len(stream) % BLOCK_BYTES
+                for k in range(0, whole, BLOCK_BYTES):
+                    places.append(at)
+                    at += out.write(packed_block(stream[k : k + BLOCK_BYTES]))
+                places.append(at)
+                held = stream[whole:]
+                edges = np.append(starts, len(data)) + before
+                offsets = (np.array(places, np.int64)[edges // BLOCK_BYTES] << 16) + edges % BLOCK_BYTES
+                index.add(refs, pos, end0, bins(pos, end0), offsets[:-1], offsets[1:])
+            if held:
+                out.write(packed_block(held))
+            out.write(LAST_BLOCK)
+        names = [name]
+        if index.sorted:
+            with store.open_output_stream(f"{self.hidden}/{name}.bai") as out:
+                out.write(index.encoded())
+            names.append(name + ".bai")
+        return _Written(names)
+
+    def commit(self, messages):
+        store, inner = file_system(self.path)
+        if self.overwrite:
+            for old in store.get_file_info(fs.FileSelector(inner)):
+                if old.type == fs.FileType.File:
+                    store.delete_file(old.path)
+        for message in messages:
+            for name in message.names if message else ():
+                task, rest = name.split("-", 1)
+                store.move(f"{self.hidden}/{name}", f"{inner}/{self.prefix}{task}{rest[rest.index('.'):]}")
+        self._forget(store)
+
+    def abort(self, messages):
+        self._forget(file_system(self.path)[0])
+
+    def _forget(self, store) -> None:
+        if store.get_file_info(self.hidden).type == fs.FileType.Directory:
+            store.delete_dir(self.hidden)
+
+
+class BamSource(DataSource):
+    """Options: ``path``; reading: ``split_bytes``, ``regions``, ``mode``; writing: ``text`` and ``refs`` of the header."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "bam"
+
+    def schema(self) -> str:
+        return {"records": SCHEMA, "counts": COUNTS, "headers": HEADERS}[self.options.get("mode", "records")]
+
+    def reader(self, schema):
+        return BamReader(self.options)
+
+    def writer(self, schema, overwrite):
+        return BamWriter(self.options, overwrite)
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the format ``bam`` known, and lets filters reach it."""
+    spark.dataSource.register(BamSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
+def _source(spark: SparkSession, path: str, **options):
+    register(spark)
+    reader = spark.read.format("bam")
+    for key, value in options.items():
+        reader = reader.option(key, value)
+    return reader.load(path)
+
+
+def read_bam(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, ordinals: bool = True) -> DataFrame:
+    """Records of BAM files.  ``rec_idx``: the ordinal of each in its file, for which the splits are counted first.
+
+    Without ordinals, as with ``spark.read.format("bam")``, nothing is counted, and that splits begin at true records is not checked:
+    for files whose tags hold no whole records.
+    """
+    found = _source(spark, path, split_bytes=split_bytes)
+    if not ordinals:
+        return found.drop("split", "in_split")
+    counts = _source(spark, path, split_bytes=split_bytes, mode="counts").collect()  # one row per split
+    by_file: dict[str, list] = {}
+    for r in counts:
+        by_file.setdefault(r["path"], []).append(r)
+    rows, firsts = [], {}
+    for name, splits in by_file.items():
+        before, after = 0, None
+        for r in sorted(splits, key=lambda r: r["split"]):
+            want = r["first"] if after is None else after if after >> 16 < r["split"] + split_bytes else None
+            if r["first"] != want and (want is not None or r["records"]):
+                # Not where the split before ends: from there, or nothing.
+                known = {name: {str(r["split"]): -1 if want is None else want}}
+                firsts.setdefault(name, {}).update(known[name])
+                again = _source(spark, r["path"], split_bytes=split_bytes, mode="counts", firsts=json.dumps(known), only_firsts="true")
+                r = again.first()
+            rows.append((name, r["split"], before))
+            if r["records"]:
+                before, after = before + r["records"], r["next"]
+    if firsts:
+        found = _source(spark, path, split_bytes=split_bytes, firsts=json.dumps(firsts))
+    offsets = spark.createDataFrame(rows, "path string, split long, before long")
+    whole = found.join(F.broadcast(offsets), ["path", "split"])  # some 60 bytes per split
+    kept = [c for c in found.columns if c not in ("path", "split", "in_split", "voffset")]
+    return whole.select("path", (F.col("before") + F.col("in_split")).alias("rec_idx"), *kept, "voffset")
+
+
+def read_regions(spark: SparkSession, path: str, regions: list[tuple[str, int, int]], split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Mapped records that overlap any of the regions (name, start, end: 0-based, half-open), each once.
+
+    Files with an index beside them are read where the regions may be, others whole.
+    """
+    found = _source(spark, path, split_bytes=split_bytes, regions=json.dumps(regions)).drop("split", "in_split")
+    inside = F.lit(False)
+    for name, start, end in regions:
+        inside |= (F.col("rname") == name) & (F.col("pos0") < end) & (F.col("end0") > start)
+    return found.where(inside)
 
 
 def read_header(spark: SparkSession, path: str) -> DataFrame:
-    """``path, text, refs``: one row per file."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            heads = [_header(_Unpacked(c)) for c in pdf["content"]]
-            refs = [[{"name": n, "len": k} for n, k in h[1]] for h in heads]
-            yield pd.DataFrame({"path": pdf["path"], "text": [h[0] for h in heads], "refs": refs})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, text string, refs array<struct<name:string,len:bigint>>")
-
-
-def _block(data: bytes) -> bytes:
-    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
-    body = packer.compress(data) + packer.flush()
-    head = bytes.fromhex("1f8b08040000000000ff060042430200") + struct.pack("<H", len(body) + 25)
-    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
-
-
-def _blocks(data: bytes) -> bytes:
-    return b"".join(_block(data[k : k + BLOCK_BYTES]) for k in range(0, len(data), BLOCK_BYTES))
-
-
-def _bin(start: int, end: int) -> int:
-    """The smallest bin of the index that holds [start, end): 5 levels, each 8 times as fine as the one above."""
-    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
-        if start >> shift == (end - 1) >> shift:
-            return first + (start >> shift)
-    return 0
-
-
-def _encoded(r, ids: dict[str, int]) -> bytes:
-    cigar = [(OPS.index(c["op"]), c["len"]) for c in (r.cigar if r.cigar is not None else ())]
-    seq = r.seq or ""
-    codes = [BASES.index(c) for c in seq] + [0] * (len(seq) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
-    qual = bytes(ord(c) - 33 for c in r.qual) if r.qual else b"\xff" * len(seq)
-    name = r.qname.encode() + b"\0"
-    span = sum(n for op, n in cigar if OPS[op] in "MDN=X") or 1
-    body = struct.pack(
-        "<iiBBHHHiiii", ids.get(r.rname, -1), r.pos0, len(name), r.mapq, _bin(r.pos0, r.pos0 + span) if r.pos0 >= 0 else 4680,
-        len(cigar), r.flag, len(seq), ids.get(r.rnext, -1), r.pnext, r.tlen,
-    )
-    body += name + b"".join(struct.pack("<I", n << 4 | op) for op, n in cigar) + packed + qual + bytes(r.tags or b"")
-    return struct.pack("<i", len(body)) + body
-
-
-def write_bam(records: DataFrame, path: str, text: str, refs: list[tuple[str, int]]) -> None:
-    """Records in their order (``orderBy("rec_idx")`` for that of their file; ``coalesce(1)`` for one file)."""
-    ids = {n: k for k, (n, _) in enumerate(refs)}
-    head = MAGIC + struct.pack("<i", len(text.encode())) + text.encode() + struct.pack("<i", len(refs))
-    for name, length in refs:
-        head += struct.pack("<i", len(name) + 1) + name.encode() + b"\0" + struct.pack("<i", length)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"data": [_blocks(head)]})
-        for pdf in batches:
-            yield pd.DataFrame({"data": [_blocks(b"".join(_encoded(r, ids) for r in pdf.itertuples()))]})
-
-    # Each row is followed by an empty block, which readers skip and which ends the file.
-    data = records.mapInPandas(run, "data binary").select(F.col("data").cast("string").alias("value"))
-    data.write.option("encoding", "ISO-8859-1").option("lineSep", LAST_BLOCK.decode("latin-1")).text(path)
+    """``path, text, refs``: one row per file, from its first bytes."""
+    return _source(spark, path, mode="headers")
+
+
+def write_bam(records: DataFrame, path: str, text: str, refs: list[tuple[str, int]], mode: str = "errorifexists") -> None:
+    """A file per partition, in the order of the rows (``orderBy("rec_idx")`` for that of their file, or by reference and position,
+    in the order of ``refs``, for files with an index)."""
+    register(records.sparkSession)
+    store, inner = file_system(path)
+    if mode == "errorifexists" and store.get_file_info(inner).type != fs.FileType.NotFound:
+        raise FileExistsError(path)
+    names = ["qname", "flag", "rname", "pos0", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", "tags"]
+    rows = records.select(*names)
+    rows.write.format("bam").option("text", text).option("refs", json.dumps(refs)).mode("overwrite" if mode == "overwrite" else "append").save(path)
+
+
+def join_files(spark: SparkSession, folder: str, path: str) -> None:
+    """One file of all files in a folder, in the order of their names; each is copied to its place by a task of its own.
+
+    Their headers are left out but for the first, and so are their last blocks.  For folders that are mounted everywhere, since a
+    task writes into the middle of a file.
+    """
+    files = listed(folder, ".bam")
+    places = []
+    at = 0
+    for k, (name, size) in enumerate(files):
+        with _File(name) as file:
+            # Headers end with a block, as ``write_bam`` makes them.
+            start = 0 if k == 0 else file.first >> 16
+            if k and file.first & 0xFFFF:
+                raise ValueError(f"{name}: the header does not end with a block")
+        end = size if k == len(files) - 1 else size - len(LAST_BLOCK)
+        places.append((k, name, start, end, at))
+        at += end - start
+    target = file_system(path)[1]
+    with open(target, "xb") as out:
+        out.truncate(at)
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                store, inner = file_system(row["name"])
+                with store.open_input_file(inner) as source, open(target, "r+b") as out:
+                    source.seek(row["start"])
+                    out.seek(row["place"])
+                    left = row["end"] - row["start"]
+                    while left:
+                        piece = source.read(min(left, 8 << 20))
+                        out.write(piece)
+                        left -= len(piece)
+            yield batch
+
+    if places:
+        rows = spark.createDataFrame(places, "k int, name string, start long, end long, place long").repartitionById(len(places), "k")
+        rows.mapInArrow(copy, rows.schema).write.format("noop").mode("overwrite").save()
