@@ -603,13 +603,13 @@ def bam_header_refs(spark, sf_dir):
     return bam.read_header(spark, path).select(F.explode("refs").alias("r")).select("r.name", "r.len").distinct()
 
 
-_SORTED = """SELECT row_number() OVER (ORDER BY contig, pos0, 'r' || rid) - 1 AS rec_idx, 'r' || rid AS qname, contig, pos0,
+_SORTED = """SELECT row_number() OVER (ORDER BY contig, pos0, 'r' || rid, len) - 1 AS rec_idx, 'r' || rid AS qname, contig, pos0,
   pos0 + len + 3 AS end0 FROM reads"""
 
 
 def _sorted_bam(spark, sf_dir):
     path = new_path(spark, "bam")
-    bam.write_bam(_bam_records(spark, sf_dir).orderBy("rname", "pos0", "qname"), path, _BAM_TEXT, _BAM_REFS)
+    bam.write_bam(_bam_records(spark, sf_dir).orderBy("rname", "pos0", "qname", "cigar"), path, _BAM_TEXT, _BAM_REFS)
     return path
 
 
@@ -622,7 +622,7 @@ def bam_one_file_in_splits(spark, sf_dir):
     return found.select("rec_idx", "qname", F.col("rname").alias("contig"), "pos0", "end0")
 
 
-_REGIONS = [("chr1", 0, 40), ("chr1", 5000, 5300), ("chr2", 5200, 5301), ("chr3", 19_990, 40_000), ("chr4", 0, 9)]
+_REGIONS = [("chr1", 0, 40), ("chr1", 1800, 1900), ("chr1", 5000, 5300), ("chr2", 5200, 5301), ("chr3", 3000, 3100), ("chr3", 19_990, 40_000), ("chr4", 0, 9)]
 
 
 @query("WITH g(name, lo, hi) AS (VALUES " + ", ".join(map(str, _REGIONS)) + """)
