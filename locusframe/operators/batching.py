@@ -7,7 +7,8 @@ the contig changes, and the pieces are folded in parallel, each in a stream of i
 between them, however many, are one piece.
 
 What is needed from all rows before (sums, maxima, the last contig) comes in two levels: within blocks of the order, whose
-borders are quantiles of the order found once for the table, and across one row per block.
+borders are quantiles of the order found once for the table, and across one row per block.  The order is a unique number per row
+and never null: a null is an error.  It is taken as a double for the borders only; rows are compared by the order itself.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from locusframe.operators._cut import cut
 
@@ -31,11 +33,10 @@ def _blocked(rows: DataFrame, order: str, blocks: int | None = None) -> DataFram
     n = min(blocks or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_BLOCKS)
     borders = rows.approxQuantile(order, [k / n for k in range(1, n)], 0.2 / n) if n > 1 else []
     splits = [-float("inf"), *sorted(set(borders)), float("inf")]
+    known = F.coalesce(F.col(order).cast("double"), F.raise_error(F.lit(f"the order '{order}' is null in a row")).cast("double"))
     if len(splits) == 2:
-        return rows.withColumn("__block", F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol="__order", outputCol="__block").transform(
-        rows.withColumn("__order", F.col(order).cast("double"))
-    ).drop("__order")
+        return rows.withColumn("__block", F.when(known.isNotNull(), 0.0))
+    return Bucketizer(splits=splits, inputCol="__order", outputCol="__block").transform(rows.withColumn("__order", known)).drop("__order")
 
 
 def _total(blocked: DataFrame, value: Column, name: str, order: str) -> DataFrame:
@@ -110,18 +111,21 @@ def _folded(rows: DataFrame, contig: str, start: str, end: str, window: int, ord
     pieces = _pieces(cut(_runs(_blocked(rows, order, blocks), contig, order)), F.col(start), F.col(end), window, order)
     given = pieces.select(*names, "__block", "__piece", F.col(start).alias("__start"), F.col(end).alias("__end"))
     kept = given.drop("__piece", "__start", "__end").schema
-    keep = kept.names
+    size = len(kept)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchor = None
-        for pdf in batches:
-            if len(pdf):
-                columns = [pdf[c].to_numpy() for c in ("__piece", "__start", "__end")]
-                marks, anchor = _starts(*columns, window, anchor)
-                yield pdf[keep].assign(__new=marks.astype(np.int64))
-
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "__new long"])
-    marked = given.repartition("__piece").sortWithinPartitions("__piece", order).mapInPandas(fold, fields)
+        for batch in batches:
+            if batch.num_rows:
+                # Only these three are looked at; all other columns pass as they are.
+                columns = batch.columns[-3:]
+                if any(c.null_count for c in columns):
+                    raise ValueError("a position is null")
+                marks, anchor = _starts(*[c.to_numpy() for c in columns], window, anchor)
+                new = pa.array(marks.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:size], new], [*kept.names, "__new"])
+
+    marked = given.repartition("__piece").sortWithinPartitions("__piece", order).mapInArrow(fold, StructType([*kept, StructField("__new", LongType())]))
     return _total(cut(marked), F.col("__new"), "__batch", order).select(*names, (F.col("__batch") - 1).alias("batch"))
 
 

@@ -2,22 +2,52 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+
+_NUMBERS = {
+    pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(),
+    pa.float32(): pd.Float32Dtype(), pa.float64(): pd.Float64Dtype(), pa.bool_(): pd.BooleanDtype(),
+}
+
+
+def _frame(batch: pa.RecordBatch) -> pd.DataFrame:
+    """A batch as pandas columns with nulls of their own, so that a long beside a null stays a long.
+
+    Texts are objects; what is no number or text is Arrow's.
+    """
+    kinds = lambda t: _NUMBERS.get(t) or (None if pa.types.is_string(t) or pa.types.is_binary(t) else pd.ArrowDtype(t))
+    return pa.Table.from_batches([batch]).to_pandas(types_mapper=kinds)
+
+
+def _schema(spark: SparkSession, schema: str | StructType) -> StructType:
+    return schema if isinstance(schema, StructType) else spark.createDataFrame([], schema).schema
 
 
 def modify_records(records: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema=None) -> DataFrame:
-    """Each batch of records goes through ``fn``, which returns the rows to keep, changed or not."""
+    """Each batch of records goes through ``fn``, which returns the rows to keep, changed or not.
+
+    Its columns have nulls of their own (``Int64``, Arrow types), so what ``fn`` leaves alone comes back as it was, whatever its type.
+    """
+    spark = records.sparkSession
+    made = _schema(spark, schema or records.schema)
+    arrow = to_arrow_schema(made)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield fn(pdf)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from pa.Table.from_pandas(fn(_frame(batch)), schema=arrow, preserve_index=False).to_batches()
 
-    return records.mapInPandas(run, schema or records.schema)
+    return records.mapInArrow(run, made)
 
 
 def keep(records: DataFrame, condition: Column) -> DataFrame:
@@ -85,42 +115,53 @@ def accumulate(
     Each task processes its rows into a state per group (``held`` of them at most, then they are sent on); only states are
     shuffled, and merged as they come, so neither a group's rows nor its states are gathered.
     """
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema]
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    spark = rows.sparkSession
+    of_keys, of_results = rows.select(*keys).schema, _schema(spark, schema)
+    states_schema = StructType([*of_keys, *_schema(spark, "__state binary")])
+    made = StructType([*of_keys, *of_results])
+    states_arrow, made_arrow = to_arrow_schema(states_schema), to_arrow_schema(made)
+
+    def key_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+        """The key of each row: exact values, null as None, and one object for all NaN."""
+        columns = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
+        return zip(*[[x if x == x else math.nan for x in c] for c in columns])
+
+    def batch_of(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        columns = list(zip(*found)) or [[]] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[tuple, object] = {}
-        for pdf in batches:
-            for key, part in pdf.groupby(keys, dropna=False, sort=False):
-                key = tuple(None if pd.isna(k) else k for k in key)
+        for batch in batches:
+            numbers: dict[tuple, int] = {}
+            code = np.array([numbers.setdefault(k, len(numbers)) for k in key_rows(batch)], np.int64)
+            order, frame = np.argsort(code, kind="stable"), _frame(batch)
+            ends = np.cumsum(np.bincount(code, minlength=len(numbers)))
+            for key, start_at, end_at in zip(numbers, [0, *ends.tolist()], ends.tolist()):
+                part = frame.iloc[order[start_at:end_at]]
                 states[key] = process(states[key] if key in states else start(), part)
             if len(states) >= held:
-                yield frame(states)
+                yield batch_of([(*k, pickle.dumps(v)) for k, v in states.items()], states_arrow)
                 states = {}
-        yield frame(states)
-
-    def frame(states: dict) -> pd.DataFrame:
-        return pd.DataFrame([(*k, pickle.dumps(v)) for k, v in states.items()], columns=[*keys, "__state"])
-
-    names = [c.split()[0] for c in schema.split(", ")]
+        yield batch_of([(*k, pickle.dumps(v)) for k, v in states.items()], states_arrow)
 
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = None, None
-        for pdf in batches:
+        for batch in batches:
             done = []
-            for *values, data in pdf.itertuples(index=False):
-                key = tuple(None if pd.isna(k) else k for k in values)
-                if key != at:
+            for key, data in zip(key_rows(batch), batch.column(batch.num_columns - 1).to_pylist()):
+                if at is None or key != at:
                     if at is not None:
                         done.append((*at, *finish(state)))
                     at, state = key, pickle.loads(data)
                 else:
                     state = merge(state, pickle.loads(data))
-            yield pd.DataFrame(done, columns=[*keys, *names])
+            yield batch_of(done, made_arrow)
         if at is not None:
-            yield pd.DataFrame([(*at, *finish(state))], columns=[*keys, *names])
+            yield batch_of([(*at, *finish(state))], made_arrow)
 
-    states = rows.mapInPandas(partial, ", ".join([*kinds, "__state binary"]))
-    return states.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(merged, ", ".join([*kinds, schema]))
+    states = rows.mapInArrow(partial, states_schema)
+    return states.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merged, made)
 
 
 def process_loci(

@@ -1,4 +1,6 @@
 import random
+from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import Observation
@@ -209,3 +211,54 @@ def test_accumulators_are_merged(spark, held):
     )
     want = {k or None: (40, sum(v for v in range(200) if v % 5 == k)) for k in range(5)}
     assert {r["k"]: (r["n"], r["total"]) for r in got.collect()} == want
+
+
+BIG = 2**53 + 1
+
+
+def big_rows(spark):
+    schema = "ord long, contig string, pos long, big long, price decimal(20, 2), at timestamp, list array<long>"
+    rows = [
+        (k, "chr1" if k < 5 else "chr2", 10 * k, None if k % 3 == 0 else BIG + k, None if k == 1 else Decimal(f"{BIG}.0{k}"), datetime(2020, 1, 1, k), [BIG, None])
+        for k in range(9)
+    ]
+    return spark.createDataFrame(rows, schema)
+
+
+def test_columns_that_are_not_looked_at_stay_exact(spark):
+    rows = big_rows(spark)
+    want = rows.orderBy("ord").collect()
+    for got in (batching.batch_coordinates(rows, 25), batching.batch_regions(rows.withColumn("start", F.col("pos")).withColumn("end", F.col("pos")), 25)):
+        assert got.select(*rows.columns).orderBy("ord").collect() == want
+    same = records.modify_records(rows, lambda pdf: pdf)
+    assert same.schema == rows.schema and same.orderBy("ord").collect() == want
+    some = records.modify_records(rows.select("ord", "big"), lambda pdf: pdf[pdf["ord"] % 2 == 1].assign(big=pdf["big"] + 1))
+    assert {r.ord: r.big for r in some.collect()} == {k: None if k % 3 == 0 else BIG + k + 1 for k in (1, 3, 5, 7)}
+
+
+def test_null_orders_and_positions_are_errors(spark):
+    rows = big_rows(spark).withColumn("ord", F.when(F.col("ord") != 4, F.col("ord")))
+    for blocks in (1, 3):
+        for make in (lambda: batching.contig_runs(rows, blocks=blocks), lambda: batching.running_total(rows, F.col("pos"), "sum", "ord", blocks)):  # noqa: B023
+            with pytest.raises(Exception, match="is null in a row"):
+                make().collect()
+    with pytest.raises(Exception, match="a position is null"):
+        batching.batch_coordinates(big_rows(spark).withColumn("pos", F.when(F.col("ord") != 4, F.col("pos"))), 25).collect()
+
+
+def test_accumulated_keys_are_exact(spark):
+    """Longs over 2^53 beside null, decimals, timestamps, NaN and null, in several partitions and states sent on early."""
+    rows = spark.createDataFrame(
+        [(BIG, 1), (BIG, 2), (BIG - 1, 3), (None, 4), (None, 5)], "key long, x long"
+    ).repartition(3)
+    count = (lambda: [0, 0], lambda s, pdf: [s[0] + len(pdf), s[1] + int(pdf["x"].sum())], lambda a, b: [a[0] + b[0], a[1] + b[1]], tuple)
+    got = records.accumulate(rows, ["key"], *count, "n long, total decimal(10, 0)", held=1)
+    assert {tuple(r) for r in got.collect()} == {(BIG, 2, 3), (BIG - 1, 1, 3), (None, 2, 9)}
+    many = spark.createDataFrame(
+        [(Decimal("1.10"), datetime(2020, 1, 1), float("nan"), 1), (Decimal("1.10"), datetime(2020, 1, 1), float("nan"), 2), (None, None, None, 3), (None, None, float("nan"), 4)],
+        "a decimal(10, 2), b timestamp, c double, x long",
+    ).repartition(2)
+    got = records.accumulate(many, ["a", "b", "c"], *count, "n long, total long").collect()
+    assert sorted((r.a is None, r.c is None, r.n, r.total) for r in got) == [(False, False, 2, 3), (True, False, 1, 4), (True, True, 1, 3)]
+    assert all(r.a is None or (r.a == Decimal("1.10") and r.b == datetime(2020, 1, 1)) for r in got)
+    assert records.accumulate(rows.limit(0), ["key"], *count, "n long, total long").count() == 0
