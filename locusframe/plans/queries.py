@@ -57,7 +57,36 @@ def locus_mean_quality(spark, sf_dir):
 
 @query(_PILED + "SELECT contig, pos, count(*) AS depth FROM piled GROUP BY ALL", "reads", "targets")
 def locus_depth(spark, sf_dir):
-    return pileup.depth(_piled(spark, sf_dir))
+    """From events, without pairs."""
+    reads = derive.reads(spark, sf_dir).withColumn("end0", F.col("pos0") + F.col("len"))
+    return pileup.depth_at(reads, derive.targets(spark, sf_dir))
+
+
+@query("""WITH e AS (SELECT contig, x, sum(d) AS d FROM (
+  SELECT contig, pos0 AS x, 1 AS d FROM reads UNION ALL SELECT contig, pos0 + len, -1 FROM reads) GROUP BY ALL HAVING sum(d) <> 0),
+s AS (SELECT contig, x AS start, lead(x) OVER (PARTITION BY contig ORDER BY x) AS "end",
+             cast(sum(d) OVER (PARTITION BY contig ORDER BY x) AS bigint) AS depth FROM e)
+SELECT * FROM s WHERE depth > 0""", "reads")
+def depth_runs(spark, sf_dir):
+    """Stretches of equal depth along the contigs."""
+    return pileup.depth_runs(derive.reads(spark, sf_dir).withColumn("end0", F.col("pos0") + F.col("len")))
+
+
+@query(_PILED.replace("r.rid,", "r.rid, r.pos0,") + """,
+b AS (SELECT *, rid // 20 AS qname, substring('ACGTN', cast((pos + CASE WHEN pos % 3 = 0 THEN rid ELSE 0 END) % 5 AS int) + 1, 1) AS base FROM piled),
+k AS (SELECT *, row_number() OVER w AS k, lead(base) OVER w AS b2, lead(bq) OVER w AS q2, lag(base) OVER w AS b1, lag(bq) OVER w AS q1
+      FROM b WHERE bq IS NOT NULL WINDOW w AS (PARTITION BY contig, pos, qname ORDER BY pos0, rid, qpos)),
+told AS (SELECT contig, pos, CASE
+    WHEN k = 1 AND q2 IS NOT NULL THEN CASE WHEN base = b2 THEN least(bq + q2, 200) WHEN bq >= q2 THEN bq * 8 // 10 ELSE 0 END
+    WHEN k = 2 THEN CASE WHEN base <> b1 AND bq > q1 THEN bq * 8 // 10 ELSE 0 END ELSE bq END AS bq FROM k
+  UNION ALL SELECT contig, pos, NULL FROM b WHERE bq IS NULL)
+SELECT contig, pos, count(*) AS depth, cast(coalesce(sum(bq), 0) AS bigint) AS sum_bq,
+  cast(coalesce(sum(bq), 0) AS double) / count(*) AS mean_bq FROM told GROUP BY ALL""", "reads", "targets")
+def locus_mates_quality(spark, sf_dir):
+    """Mean quality where the qualities of overlapping mates count once and both mates stay in the depth."""
+    rows = _piled(spark, sf_dir).withColumn("qname", F.floor(F.col("rid") / 20))
+    base = F.substring(F.lit("ACGTN"), ((F.col("pos") + F.when(F.col("pos") % 3 == 0, F.col("rid")).otherwise(0)) % 5 + 1).cast("int"), F.lit(1))
+    return pileup.mean_quality(pileup.overlapping_mates(rows, base, F.col("bq"), "qname", ("pos0", "rid", "qpos")), F.col("bq"))
 
 
 @query(_PILED + """SELECT contig, pos, count(*) FILTER (b = 'A') AS n_a, count(*) FILTER (b = 'T') AS n_t,
