@@ -582,10 +582,10 @@ def fastq_files(spark, sf_dir):
 b AS (SELECT *, row_number() OVER (ORDER BY rec) - 1 AS k FROM fastq_r2)
 SELECT coalesce(a.k, b.k) AS rec, a.header AS h1, b.header AS h2 FROM a FULL JOIN b ON a.k = b.k""", "fastq_r1", "fastq_r2")
 def fastq_file_pairs(spark, sf_dir):
-    """The n-th records of two FASTQ files, one for each mate."""
+    """The n-th records of the FASTQ files of either mate, which are cut at other places."""
     paths = [new_path(spark, "mate"), new_path(spark, "mate")]
     for mate, path in enumerate(paths, 1):
-        fastq.write_fastq(derive.fastq(spark, sf_dir, mate), path, files=1)
+        fastq.write_fastq(derive.fastq(spark, sf_dir, mate), path)
     return fastq.read_pairs(spark, *paths).select("rec", F.col("r1.header").alias("h1"), F.col("r2.header").alias("h2"))
 
 

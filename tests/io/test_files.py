@@ -20,16 +20,47 @@ def test_fastq(spark, tmp_path):
     assert ids.where("rec = 3").first()["i"] == "@r3"
 
 
-def test_fastq_over_splits(spark, tmp_path):
-    (tmp_path / "a.fastq").write_text(RECORDS * 20)
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
-    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+@pytest.fixture
+def split_bytes(spark):
+    """Sets the size of splits."""
+    yield lambda n: (spark.conf.set("spark.sql.files.maxPartitionBytes", str(n)), spark.conf.set("spark.sql.files.openCostInBytes", "0"))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("size", [7, 150, 4096])
+def test_fastq_over_splits(spark, tmp_path, split_bytes, size):
+    """Splits of less than a line, of one to seven lines, of many records; files with records of their own."""
+    text = RECORDS * (1 if size < 4096 else 20)
+    if size == 7:
+        text = text[: text.index("@r5 ")]
+    for name in ("a.fastq", "b.fastq"):
+        (tmp_path / name).write_text(text)
+    split_bytes(size)
+    want = text.splitlines()
+    got = fastq.read_fastq(spark, str(tmp_path), strict=True).orderBy("file", "rec").collect()
+    assert [r["rec"] for r in got] == 2 * list(range(len(want) // 4))
+    assert [x for r in got for x in r[2:]] == 2 * want
+    as_one = fastq.read_fastq(spark, str(tmp_path), as_one=True).orderBy("rec").collect()
+    assert [r["rec"] for r in as_one] == list(range(len(want) // 2)) and [x for r in as_one for x in r[2:]] == 2 * want
+
+
+def test_fastq_batches_and_bytes(spark, tmp_path):
+    """Records over borders of Arrow batches, and bytes that are no UTF-8."""
+    (tmp_path / "a.fastq").write_bytes(RECORDS.encode().replace(b"@r0 x", b"@r0 \xff"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
-        got = fastq.read_fastq(spark, str(tmp_path / "a.fastq")).orderBy("rec").collect()
-        assert [r["header"] for r in got] == [f"@r{k % 50} x" for k in range(1000)]
+        got = fastq.read_fastq(spark, str(tmp_path / "a.fastq")).orderBy("rec").select(F.hex("header").alias("h")).collect()
     finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
-        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [bytes.fromhex(r["h"]) for r in got] == [b"@r0 \xff"] + [f"@r{k} x".encode() for k in range(1, 50)]
+
+
+def test_fastq_text_is_not_shuffled(spark, tmp_path):
+    (tmp_path / "a.fastq").write_text(RECORDS)
+    plan = fastq.read_fastq(spark, str(tmp_path / "a.fastq"))._jdf.queryExecution().executedPlan().toString()
+    scan = plan[: plan.index("FileScan text")]
+    assert "Exchange" not in scan[scan.rindex("MapInArrow") :] and "BroadcastHashJoin" in scan
 
 
 def test_fastq_pairs(spark, tmp_path):
@@ -56,7 +87,9 @@ def test_fastq_write(spark, tmp_path):
     (tmp_path / "a.fastq").write_text(RECORDS)
     read = fastq.read_fastq(spark, str(tmp_path / "a.fastq"))
     fastq.write_fastq(read, str(tmp_path / "out.gz"))
-    again = "".join(r["value"] + "\n" for r in fastq.numbered_lines(spark, str(tmp_path / "out.gz")).orderBy("file", "line").collect())
+    rows = fastq.read_fastq(spark, str(tmp_path / "out.gz"), as_one=True).orderBy("rec").collect()
+    assert [r["rec"] for r in rows] == list(range(50))
+    again = "".join(f"{r['header']}\n{r['sequence']}\n{r['plus']}\n{r['quality']}\n" for r in rows)
     assert again == RECORDS
 
 
