@@ -27,3 +27,19 @@ def bins_of_index(index: DataFrame, width: int) -> DataFrame:
     """
     last = index.groupBy(chrom(F.col("name")).alias("chrom")).agg(F.max_by("len", "ord").alias("len"))
     return last.select("chrom", bins(F.lit(0).cast("long"), F.col("len"), F.lit(width).cast("long")).alias("bins"))
+
+
+def stepped(regions: DataFrame, step: int, *keep: str) -> DataFrame:
+    """``contig, pos``, and the columns to keep: every ``step``-th position of half-open regions (``contig, start, end``) from their start.
+
+    A region of any length is taken apart in two levels, so that no row holds more than 4,096 positions.  Empty regions, and those
+    with a null border, have no position.
+    """
+    if step < 1:
+        raise ValueError("step must be at least 1")
+    stride = step * 4096
+    blocks = regions.where("start < end").select(
+        "contig", "end", *keep, F.explode(F.sequence("start", F.col("end") - 1, F.lit(stride).cast("long"))).alias("block")
+    )
+    last = F.least(F.col("block") + stride, F.col("end")) - 1
+    return blocks.select("contig", *keep, F.explode(F.sequence("block", last, F.lit(step).cast("long"))).alias("pos"))

@@ -409,9 +409,10 @@ def variant_regions(spark, sf_dir):
 _COMPLEMENT = """translate(regexp_replace({0}, '[^ACGTNacgtn]', 'N', 'g'), 'ACGTNacgtn', 'TGCANTGCAN')"""
 
 
-@query(f"SELECT doc_id, {_COMPLEMENT.format('seq')} AS seq FROM dna", "dna")
+@query(f"SELECT doc_id, {_COMPLEMENT.format('text')} AS seq FROM documents")
 def dna_complement(spark, sf_dir):
-    return derive.dna(spark, sf_dir).select("doc_id", dna.complement(F.col("seq")).alias("seq"))
+    """Over whole raw texts."""
+    return table(spark, sf_dir, "documents").select("doc_id", dna.complement(F.col("text")).alias("seq"))
 
 
 @query("SELECT doc_id, reverse(" + _COMPLEMENT.format("text") + ") AS seq FROM documents")
@@ -486,9 +487,10 @@ def dna_generated(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", dna.generated(F.col("doc_id"), 150).alias("seq"))
 
 
-@query("SELECT 'chr20' AS contig, x AS pos FROM (SELECT unnest(range(60000, 1060000, 1000)) AS x)")
+@query("""SELECT ord, contig, unnest(range(start, "end", 50)) AS pos FROM regions""", "regions")
 def stepped_targets(spark, sf_dir):
-    return spark.range(60000, 1060000, 1000).select(F.lit("chr20").alias("contig"), F.col("id").alias("pos"))
+    """Every 50th position of all regions."""
+    return binning.stepped(derive.regions(spark, sf_dir), 50, "ord").select("ord", "contig", "pos")
 
 
 # Rounding, arrays, maps ---------------------------------------------------------------------------------------------------------

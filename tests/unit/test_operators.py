@@ -262,3 +262,15 @@ def test_accumulated_keys_are_exact(spark):
     assert sorted((r.a is None, r.c is None, r.n, r.total) for r in got) == [(False, False, 2, 3), (True, False, 1, 4), (True, True, 1, 3)]
     assert all(r.a is None or (r.a == Decimal("1.10") and r.b == datetime(2020, 1, 1)) for r in got)
     assert records.accumulate(rows.limit(0), ["key"], *count, "n long, total long").count() == 0
+
+
+def test_stepped_positions(spark):
+    df = spark.createDataFrame(
+        [("a", 5, 12, 0), ("a", 5, 5, 1), ("b", None, 9, 2), ("b", 0, 30_001, 3), ("c", 9, 3, 4)], "contig string, start long, end long, k long"
+    )
+    got = {}
+    for r in binning.stepped(df, 3, "k").collect():
+        got.setdefault(r["k"], []).append(r["pos"])
+    assert {k: sorted(v) for k, v in got.items()} == {0: [5, 8, 11], 3: list(range(0, 30_001, 3))}
+    with pytest.raises(ValueError, match="at least 1"):
+        binning.stepped(df, 0)
