@@ -174,10 +174,21 @@ def process_loci(
 
 
 def locus_apply(piled: DataFrame, fn: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """``fn`` once per target, with all rows of its pileup; a pileup must fit in memory, as its depth does."""
+    """``fn`` once per target, with all rows of its pileup, which must fit in memory; ``fold_loci`` has no such bound."""
     return piled.groupBy("contig", "pos").applyInPandas(fn, schema)
 
 
+def fold_loci(
+    piled: DataFrame, start: Callable[[], object], process: Callable[[object, pd.DataFrame], object],
+    merge: Callable[[object, object], object], finish: Callable[[object], tuple], schema: str, held: int = 50_000,
+) -> DataFrame:
+    """``contig, pos`` and the user's columns: a pileup of any depth, folded where its rows are, so only states are gathered.
+
+    ``process`` sees a locus's rows in parts of any size and order; ``schema`` is of the columns that ``finish`` gives.
+    """
+    return accumulate(piled, ["contig", "pos"], start, process, merge, finish, schema, held)
+
+
 def process_records(
     records: DataFrame, change: Callable[[DataFrame], DataFrame], path: str, order: str = "rec_idx", format: str = "parquet",
     **options,

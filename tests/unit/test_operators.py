@@ -274,3 +274,15 @@ def test_stepped_positions(spark):
     assert {k: sorted(v) for k, v in got.items()} == {0: [5, 8, 11], 3: list(range(0, 30_001, 3))}
     with pytest.raises(ValueError, match="at least 1"):
         binning.stepped(df, 0)
+
+
+def test_fold_of_a_deep_locus(spark):
+    """A locus over all tasks, states sent on after every batch: the same as with all its rows at once."""
+    depth = 5000
+    piled = spark.range(depth).selectExpr("'a' AS contig", "if(id % 10 < 9, 7L, id) AS pos", "id % 97 AS q").repartition(8)
+    fold = records.fold_loci(
+        piled, lambda: (0, 0), lambda s, rows: (s[0] + len(rows), s[1] + int(rows["q"].sum())),
+        lambda a, b: (a[0] + b[0], a[1] + b[1]), lambda s: s, "n long, total long", held=1,
+    )
+    want = piled.groupBy("contig", "pos").agg(F.count("*").alias("n"), F.sum("q").alias("total"))
+    assert sorted(map(tuple, fold.collect())) == sorted(map(tuple, want.collect()))
