@@ -16,7 +16,7 @@ from locusframe.llm._common import scratch, stored
 from locusframe.llm.best_fit import pack
 from locusframe.llm.decontaminate import drop_contaminated
 from locusframe.llm.exact_dedup import drop_exact_duplicates
-from locusframe.llm.near_copies import keep_one_of_each
+from locusframe.llm.simhash_copies import keep_one_of_each
 from locusframe.llm.queries import id_remainder, table, tokenizer_path
 from locusframe.llm.toxicity import drop_toxic
 
@@ -34,8 +34,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest id stays; one of several with that id.
 
-    Near copies have a Jaccard similarity of 0.8 or more on five-word shingles, which is verified.  Candidates come from op6's index of
-    positional bytes, but not from op6's fingerprint, which reaches few of these pairs; the README has the recall of both.
+    Near copies have a Jaccard similarity of 0.8 or more on five-word shingles, which is verified.  Candidates are found by SimHash, an
+    index of its positional bytes and a count filter, as in op6; its 1024 bits reach these pairs, op6's 64 reach few of them.
     """
     return keep_one_of_each(docs)
 

@@ -1,9 +1,9 @@
 """Near copies by the similarity of their word shingles, found through positional bytes.
 
 The index of ``simhash`` (bytes by position, shared bytes tallied for each pair, a minimum, verification) on another fingerprint.
-A SimHash of two texts with Jaccard 0.8 differs in some 15 % of its bits, so only a quarter of its bytes agree, and lists that are
-short enough to be read through would miss most pairs.  Here byte ``k`` is taken of one shingle alone, the one with the smallest
-hash in the ``k``-th order of all, and agrees for as many positions as the texts have shingles in common.
+Byte ``k`` is taken of one shingle alone, the one with the smallest hash in the ``k``-th order of all, and agrees for as many positions
+as the texts have shingles in common.  The pipeline uses ``simhash_copies``, which finds its candidates by a SimHash and takes the
+nodes, the verification and the groups from here.
 
 1. Rows with equal sets of shingles are one node.  A node has POSITIONS bytes, and a posting for each five of them.
 2. In a posting list the shared bytes of pairs are tallied; those with LEAST_SHARED or more are linked.  Lists of more than ``list_rows``
@@ -86,8 +86,8 @@ def linked(members: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple
     return a, b
 
 
-def _enough_shared(prints: np.ndarray) -> Callable[[int, np.ndarray], np.ndarray]:
-    return lambda at, others: np.count_nonzero(prints[others] == prints[at], axis=1) >= LEAST_SHARED
+def _enough_shared(prints: np.ndarray, least: int = LEAST_SHARED) -> Callable[[int, np.ndarray], np.ndarray]:
+    return lambda at, others: np.count_nonzero(prints[others] == prints[at], axis=1) >= least
 
 
 def _prints(column: pa.ChunkedArray) -> np.ndarray:
@@ -102,9 +102,9 @@ def _of_list(table: pa.Table) -> pa.Table:
     return _links(table.column("id").to_numpy(), linked(table.num_rows, _enough_shared(_prints(table.column("print")))))
 
 
-def _verified(percent: int) -> Callable[[pa.Table], pa.Table]:
+def _verified(percent: int, least_shared: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        shared_enough = _enough_shared(_prints(table.column("print")))
+        shared_enough = _enough_shared(_prints(table.column("print")), least_shared)
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
         sizes = np.array([len(s) for s in sets])
         ends = np.cumsum(sizes)
@@ -127,15 +127,17 @@ def _verified(percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _nodes(docs: DataFrame, id_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
-    """Rows (``place, digest``) and nodes (``id, digest, print, size, first, members``)."""
+def set_nodes(
+    docs: DataFrame, id_col: str, text_col: str, width: int, fingerprint: Callable[[np.ndarray], bytes]
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (``place, digest``) and nodes (``id, digest, print, size, first, members``); a print is the fingerprint of a set of hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, "text")):
             sets = [shingles(x.as_buffer().to_pybytes(), width) for x in batch.column("text")]
             made = [
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.array([positional_bytes(s) for s in sets], pa.binary()),
+                pa.array([fingerprint(s) for s in sets], pa.binary()),
                 pa.array([len(s) for s in sets], pa.int32()),
             ]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", *ROW_KEY)] + made, names)
@@ -166,8 +168,9 @@ def candidate_links(nodes: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
 
 
 def verified_links(
-    docs: DataFrame, nodes: DataFrame, links: DataFrame, id_col: str, text_col: str, width: int, percent: int, part_bytes: int, part_rows: int
-) -> DataFrame:
+    docs: DataFrame, nodes: DataFrame, links: DataFrame, id_col: str, text_col: str, width: int, percent: int, part_bytes: int, part_rows: int,
+    least_shared: int = LEAST_SHARED,
+) -> DataFrame:
     """``a, b``: links of similarity ``percent`` or more that connect what is that similar and was connected by candidates."""
     labels = components(links)
     held = labels.join(nodes.select(F.col("id").alias("node"), "size", "print", *[f"first.{k}" for k in ROW_KEY]), "node")
@@ -192,7 +195,7 @@ def verified_links(
     dealt = sets.withColumn("own", own).withColumn("other", F.explode(others))
     pair: list[Column] = [F.col("label"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")]
     dealt = dealt.select(*pair, "id", "print", "hashes").repartition(shuffle_partitions(docs.sparkSession), "label", "p", "q")
-    return dealt.groupBy("label", "p", "q").applyInArrow(_verified(percent), "a long, b long")
+    return dealt.groupBy("label", "p", "q").applyInArrow(_verified(percent, least_shared), "a long, b long")
 
 
 def keep_one_of_each(
@@ -210,9 +213,14 @@ def keep_one_of_each(
     Two texts are linked if the Jaccard similarity of their sets of shingles is ``percent`` or more; groups are what links connect.
     """
     docs = addressable(docs)
-    rows, nodes = _nodes(docs, id_col, text_col, width)
+    rows, nodes = set_nodes(docs, id_col, text_col, width, positional_bytes)
     links = stored(candidate_links(nodes, list_rows), "candidates")
     links = stored(verified_links(docs, nodes, links, id_col, text_col, width, percent, part_bytes, part_rows), "near-links")
+    return first_of_groups(docs, rows, nodes, links)
+
+
+def first_of_groups(docs: DataFrame, rows: DataFrame, nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """The documents that stay, where links between nodes (stored) are closed to groups."""
     labels = components(links).withColumnRenamed("node", "id")
     named = nodes.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     firsts = named.groupBy("label").agg(F.min("first").alias("stays"))
