@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from locusframe.llm._common import stored
@@ -32,3 +33,31 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
         if not new.where("label <> old").limit(1).count():
             return labels
+
+
+def starred(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The connections of links ``a, b`` as stars: the smallest node of all that is connected, and each of the others."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j, top = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        x, y = top[i], top[j]
+        apart = x != y
+        if not apart.any():
+            break
+        i, j, x, y = i[apart], j[apart], x[apart], y[apart]
+        np.minimum.at(top, np.maximum(x, y), np.minimum(x, y))
+        while (top[top] != top).any():
+            top = top[top]
+    others = np.flatnonzero(top != np.arange(len(nodes)))
+    return nodes[top[others]], nodes[others]
+
+
+def fewer_links(links: DataFrame) -> DataFrame:
+    """Links ``a, b`` (a < b) that connect what ``links`` (a < b) connect.
+
+    A node keeps one link to a smaller one, the smallest of those; the others go to that smallest one in its stead.  Where many tasks
+    link the same nodes with a few small ones each, these are links among few, and equal ones become one.
+    """
+    held = links.withColumn("least", F.min("a").over(Window.partitionBy("b")))
+    other = F.when(F.col("a") == F.col("least"), F.col("b")).otherwise(F.col("a"))
+    return held.select(F.col("least").alias("a"), other.alias("b")).distinct()

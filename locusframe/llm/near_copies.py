@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from locusframe.llm._common import (
     BROADCAST_ROWS, ROW_KEY, addressable, id_and_text, joined_to_classes, row_key, shuffle_partitions, slices, stored, without_rows,
 )
-from locusframe.llm.components import components
+from locusframe.llm.components import components, fewer_links, starred
 
 #: Bytes of a fingerprint, those of a posting, and how many two fingerprints must share.
 POSITIONS, POSTING, LEAST_SHARED = 60, 5, 39
@@ -95,7 +95,8 @@ def _prints(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _links(ids: np.ndarray, found: tuple[list[int], list[int]]) -> pa.Table:
-    return pa.table({"a": pa.array(ids[found[0]], pa.int64()), "b": pa.array(ids[found[1]], pa.int64())})
+    a, b = starred(ids[found[0]], ids[found[1]])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _of_list(table: pa.Table) -> pa.Table:
@@ -152,7 +153,7 @@ def set_nodes(
 
 
 def candidate_links(nodes: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
-    """``a, b``: links that connect whatever shares a posting and enough bytes."""
+    """``a, b`` (a < b): few links that connect whatever shares a posting and enough bytes."""
     count = POSITIONS // POSTING
     key = lambda k: F.xxhash64(F.lit(k), F.substring("print", k * POSTING + 1, POSTING))
     postings = nodes.where("size > 0").select("id", F.explode(F.array(*[key(k) for k in range(count)])).alias("list"))
@@ -164,14 +165,14 @@ def candidate_links(nodes: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     prints = nodes.select("id", "print")
     short = met.where(F.col("members") <= list_rows).join(prints, "id").select("list", "id", "print")
     links = short.groupBy("list").applyInArrow(_of_list, "a long, b long")
-    return links.union(met.where(F.col("members") > list_rows).select(F.col("least"), F.col("id")).where("least <> id"))
+    return fewer_links(links.union(met.where(F.col("members") > list_rows).select(F.col("least"), F.col("id")).where("least <> id")))
 
 
 def verified_links(
     docs: DataFrame, nodes: DataFrame, links: DataFrame, id_col: str, text_col: str, width: int, percent: int, part_bytes: int, part_rows: int,
     least_shared: int = LEAST_SHARED,
 ) -> DataFrame:
-    """``a, b``: links of similarity ``percent`` or more that connect what is that similar and was connected by candidates."""
+    """``a, b`` (a < b): few links that connect what is similar by ``percent`` or more and was connected by candidates."""
     labels = components(links)
     held = labels.join(nodes.select(F.col("id").alias("node"), "size", "print", *[f"first.{k}" for k in ROW_KEY]), "node")
     held = stored(held, "cluster-nodes")
@@ -195,7 +196,7 @@ def verified_links(
     dealt = sets.withColumn("own", own).withColumn("other", F.explode(others))
     pair: list[Column] = [F.col("label"), F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")]
     dealt = dealt.select(*pair, "id", "print", "hashes").repartition(shuffle_partitions(docs.sparkSession), "label", "p", "q")
-    return dealt.groupBy("label", "p", "q").applyInArrow(_verified(percent, least_shared), "a long, b long")
+    return fewer_links(dealt.groupBy("label", "p", "q").applyInArrow(_verified(percent, least_shared), "a long, b long"))
 
 
 def keep_one_of_each(

@@ -9,7 +9,8 @@ bytes, of which such a pair has some 34 in common and two unrelated texts one at
    takes three bytes, and then four, and there are more of them (POSTINGS).
 3. In a posting list those are compared whose numbers of shingles allow the similarity; pairs of which the first 128 bits differ in
    MOST_BITS or fewer are linked.  Lists of more than ``list_rows`` members are linked as they are.  All that is connected is a cluster
-   of candidates.
+   of candidates.  A member of a large group gets a link in each of its lists, so links are made stars around the smallest member and
+   then moved to the smallest neighbour (``fewer_links``): about one link for each node is left to close.
 4. In a cluster the shared bytes of pairs are tallied; pairs with LEAST_SHARED or more are verified by their exact Jaccard similarity, in
    parts that all meet each other (see ``near_copies``), and verified links are closed to groups.
 
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm._common import addressable, shuffle_partitions, stored
+from locusframe.llm.components import fewer_links, starred
 from locusframe.llm.near_copies import PART_BYTES, PART_ROWS, first_of_groups, set_nodes, verified_links
 
 #: Bytes of a fingerprint, and how many two fingerprints must share.
@@ -106,7 +108,8 @@ def _close(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         lists, sizes, ids = (rows.column(c).to_numpy() for c in ("list", "size", "id"))
         heads = np.stack([rows.column(c).to_numpy() for c in ("head", "more")], axis=1).view(np.uint64)
         a, b = close_in_lists(lists, sizes.astype(np.int64), heads, percent)
-        return pa.RecordBatch.from_arrays([pa.array(ids[a], pa.int64()), pa.array(ids[b], pa.int64())], ["a", "b"])
+        a, b = starred(ids[a], ids[b])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -125,7 +128,7 @@ def _close(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 
 
 def candidate_links(nodes: DataFrame, percent: int = 80, list_rows: int = LIST_ROWS, width: int | None = None) -> DataFrame:
-    """``a, b``: links that connect whatever shares a posting, has sizes that allow the similarity, and close first bits."""
+    """``a, b`` (a < b): few links that connect whatever shares a posting, has sizes that allow the similarity, and close first bits."""
     held = nodes.where("size > 0")
     positions = posting_positions(width or posting_width(held.count()))
     head = lambda at: F.conv(F.hex(F.substring("print", at, 8)), 16, -10).cast("long")
@@ -137,11 +140,11 @@ def candidate_links(nodes: DataFrame, percent: int = 80, list_rows: int = LIST_R
     long = stored(sums.where(F.col("members") > list_rows), "long-lists")
     if not long.isEmpty():
         # Such lists hold more than list_rows postings each, so there are few of them.
-        starred = postings.join(long, "list").where("least <> id").select(F.col("least").alias("a"), F.col("id").alias("b"))
+        of_long = postings.join(long, "list").where("least <> id").select(F.col("least").alias("a"), F.col("id").alias("b"))
         postings = postings.join(long, "list", "left_anti")
     dealt = postings.repartition(shuffle_partitions(nodes.sparkSession), "list").sortWithinPartitions("list", "size")
     links = dealt.mapInArrow(_close(percent), "a long, b long")
-    return (links if long.isEmpty() else links.union(starred)).distinct()
+    return fewer_links(links if long.isEmpty() else links.union(of_long))
 
 
 def keep_one_of_each(

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from locusframe.llm import exact_dedup, simhash, suffix_dedup
-from locusframe.llm.components import components
+from locusframe.llm.components import components, fewer_links, starred
 from locusframe.llm.suffix_array import Strings, common_prefixes, suffix_array
 from tests.llm.common import ODD, SCHEMA, documents
 
@@ -232,6 +232,28 @@ def test_components_of_a_chain(spark):
     assert components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_stars_and_fewer_links_connect_the_same(spark, seed):
+    rnd = random.Random(seed)
+
+    def groups(links):
+        of = {x: x for link in links for x in link}
+        for _ in of:
+            for a, b in links:
+                of[a] = of[b] = min(of[a], of[b])
+        return of
+
+    nodes = [rnd.randrange(-(2**62), 2**62) for _ in range(60)]
+    links = [tuple(sorted(rnd.sample(nodes, 2))) for _ in range(10 * seed)] + [(nodes[0], nodes[1])] * 2
+    links = [tuple(sorted(x)) for x in links]
+    want = groups(links)
+    a, b = starred(*(np.array([x[k] for x in links], np.int64) for k in (0, 1)))
+    assert sorted(zip(b.tolist(), a.tolist())) == sorted((x, top) for x, top in want.items() if x != top)
+    few = [tuple(r) for r in fewer_links(spark.createDataFrame(links, "a long, b long")).collect()]
+    assert groups(few) == want and all(x < y for x, y in few) and len(few) == len(set(few)) <= len(set(links))
+    assert not len(starred(*2 * [np.empty(0, np.int64)])[0]) and fewer_links(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # Suffix arrays -----------------------------------------------------------------------------------------------------------------
 
 

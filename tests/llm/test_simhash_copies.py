@@ -5,7 +5,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from locusframe.llm import simhash_copies
+from locusframe.llm import near_copies, simhash_copies
+from locusframe.llm._common import addressable, stored
 from tests.llm.common import SCHEMA, documents
 from tests.llm.test_near_copies import SF, edited, slow_groups, slow_pairs
 
@@ -71,6 +72,21 @@ def test_large_group_of_near_copies(spark, list_rows):
     assert {r["doc_id"] for r in got.collect()} == first_of_slow_groups(texts)
 
 
+@pytest.mark.parametrize("list_rows", [50, 1024])
+def test_links_of_a_large_group_are_few(spark, list_rows):
+    """One group, 96 lists of each member: about a link for each member, not one for each list; the same where parts meet."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcdefghijkl") for _ in range(6)) for _ in range(150)]
+    rows = [(k, edited(rnd, words, 0.02), "en", "s", 1) for k in range(400)]
+    docs = addressable(spark.createDataFrame(rows, SCHEMA))
+    _, nodes = near_copies.set_nodes(docs, "doc_id", "text", 5, simhash_copies.simhash)
+    links = stored(simhash_copies.candidate_links(nodes, list_rows=list_rows), "links")
+    verified = near_copies.verified_links(docs, nodes, links, "doc_id", "text", 5, 80, 1 << 20, 20, simhash_copies.LEAST_SHARED)
+    members = nodes.count()
+    assert members > 300 and members - 1 <= links.count() < 3 * members
+    assert verified.count() < 3 * members
+
+
 def test_links_in_lists_connect_what_all_pairs_connect():
     rnd = np.random.default_rng(8)
     n = 400
