@@ -163,7 +163,8 @@ def close_links(nodes: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
     )
 
     def sized(p: DataFrame) -> DataFrame:
-        return p.groupBy("list").agg(F.count("*").alias("members")).where("members > 1")
+        # Never broadcast: Spark takes postings to be as few as the fingerprints that they are made of.
+        return p.groupBy("list").agg(F.count("*").alias("members")).where("members > 1").hint("merge")
 
     def compared(p: DataFrame) -> DataFrame:
         return p.select("list", "fp").repartition(n, "list").sortWithinPartitions("list").mapInArrow(_link_lists, "fp_a long, fp_b long")

@@ -208,6 +208,13 @@ def test_dense_lists_are_linked_by_midpoints(spark):
     assert {x: root(x) for x in fps} == slow_components([(x, x) for x in fps])
 
 
+def test_sizes_of_lists_are_not_broadcast(spark):
+    """20 lists for each fingerprint, which Spark takes to be as few as the fingerprints."""
+    nodes = spark.range(2000).selectExpr("xxhash64(id) AS fp")
+    plan = simhash.close_links(nodes)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_forest_is_whole_and_small():
     members = np.array([1 << k for k in range(60)], np.uint64)
     a, b = simhash.forest(members)
