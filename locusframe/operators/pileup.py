@@ -107,7 +107,7 @@ def covered(reads: DataFrame, targets: DataFrame, width: int | None = None, star
     return points.join(spans, ["contig", "__level", "__bin"]).where(inside).drop("__level", "__bin")
 
 
-def _used(reads: DataFrame, flag_mask: int) -> DataFrame:
+def used_reads(reads: DataFrame, flag_mask: int) -> DataFrame:
     used = reads.where(F.col("flag").bitwiseAND(F.lit(flag_mask)) == 0) if "flag" in reads.columns else reads
     return used.withColumn("end0", reference_end(F.col("pos0"), F.col("cigar"))) if "cigar" in reads.columns else used
 
@@ -118,7 +118,7 @@ def pileup(reads: DataFrame, targets: DataFrame, flag_mask: int = SKIPPED_FLAGS,
     Targets that repeat count once, in whatever order they come; positions without a read have no row.  ``flag_mask``: reads
     with one of these flags are left out, if reads have a ``flag``.
     """
-    used, points = _used(reads, flag_mask), first_of_duplicates(targets)
+    used, points = used_reads(reads, flag_mask), first_of_duplicates(targets)
     offset = F.col("pos") - 1
     if "cigar" not in reads.columns:
         return covered(used, points, width).withColumn("qpos", offset - F.col("pos0"))
@@ -157,14 +157,14 @@ def depth_at(reads: DataFrame, targets: DataFrame, flag_mask: int = SKIPPED_FLAG
     points = first_of_duplicates(targets.select("contig", "pos")).select(
         "contig", (F.col("pos") - 1).cast("long").alias("at"), F.lit(0).cast("long").alias("delta"), F.lit(1).alias("kind")
     )
-    rows = _events(_used(reads, flag_mask)).withColumn("kind", F.lit(0)).unionByName(points)
+    rows = _events(used_reads(reads, flag_mask)).withColumn("kind", F.lit(0)).unionByName(points)
     summed = _summed(rows, "at", "kind")  # events at a position count at it
     return summed.where("kind = 1 AND depth > 0").select("contig", (F.col("at") + 1).alias("pos"), "depth")
 
 
 def depth_runs(reads: DataFrame, flag_mask: int = SKIPPED_FLAGS) -> DataFrame:
     """``contig, start, end, depth``: the longest stretches [start, end) of equal depth, where any read is."""
-    summed = cut(_summed(_events(_used(reads, flag_mask)), "at"))
+    summed = cut(_summed(_events(used_reads(reads, flag_mask)), "at"))
     within = Window.partitionBy("contig", "range").orderBy("at")
     first = summed.groupBy("contig", "range").agg(F.min("at").alias("first"))
     first = first.select("contig", "range", F.lead("first").over(Window.partitionBy("contig").orderBy("range")).alias("after"))

@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from locusframe.operators.sweep import Locus, swept
 
+#: Rows of results that are sent on together.
+BATCH_ROWS = 10_000
 _NUMBERS = {
     pa.int8(): pd.Int8Dtype(), pa.int16(): pd.Int16Dtype(), pa.int32(): pd.Int32Dtype(), pa.int64(): pd.Int64Dtype(),
     pa.float32(): pd.Float32Dtype(), pa.float64(): pd.Float64Dtype(), pa.bool_(): pd.BooleanDtype(),
@@ -115,62 +118,110 @@ def accumulate(
     Each task processes its rows into a state per group (``held`` of them at most, then they are sent on); only states are
     shuffled, and merged as they come, so neither a group's rows nor its states are gathered.
     """
-    spark = rows.sparkSession
-    of_keys, of_results = rows.select(*keys).schema, _schema(spark, schema)
-    states_schema = StructType([*of_keys, *_schema(spark, "__state binary")])
-    made = StructType([*of_keys, *of_results])
-    states_arrow, made_arrow = to_arrow_schema(states_schema), to_arrow_schema(made)
-
-    def key_rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        """The key of each row: exact values, null as None, and one object for all NaN."""
-        columns = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
-        return zip(*[[x if x == x else math.nan for x in c] for c in columns])
-
-    def batch_of(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-        columns = list(zip(*found)) or [[]] * len(schema)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+    of_keys = rows.select(*keys).schema
+    states_schema = StructType([*of_keys, *_schema(rows.sparkSession, "__state binary")])
+    states_arrow = to_arrow_schema(states_schema)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states: dict[tuple, object] = {}
         for batch in batches:
             numbers: dict[tuple, int] = {}
-            code = np.array([numbers.setdefault(k, len(numbers)) for k in key_rows(batch)], np.int64)
+            code = np.array([numbers.setdefault(k, len(numbers)) for k in _key_rows(batch, keys)], np.int64)
             order, frame = np.argsort(code, kind="stable"), _frame(batch)
             ends = np.cumsum(np.bincount(code, minlength=len(numbers)))
             for key, start_at, end_at in zip(numbers, [0, *ends.tolist()], ends.tolist()):
                 part = frame.iloc[order[start_at:end_at]]
                 states[key] = process(states[key] if key in states else start(), part)
             if len(states) >= held:
-                yield batch_of([(*k, pickle.dumps(v)) for k, v in states.items()], states_arrow)
+                yield _batch_of([(*k, pickle.dumps(v)) for k, v in states.items()], states_arrow)
                 states = {}
-        yield batch_of([(*k, pickle.dumps(v)) for k, v in states.items()], states_arrow)
+        yield _batch_of([(*k, pickle.dumps(v)) for k, v in states.items()], states_arrow)
+
+    return _merged(rows.mapInArrow(partial, states_schema), keys, merge, finish, schema)
+
+
+def _key_rows(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple]:
+    """The key of each row: exact values, null as None, and one object for all NaN."""
+    columns = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
+    return zip(*[[x if x == x else math.nan for x in c] for c in columns])
+
+
+def _batch_of(found: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*found)) or [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _merged(
+    states: DataFrame, keys: list[str], merge: Callable[[object, object], object], finish: Callable[[object], tuple], schema: str
+) -> DataFrame:
+    """The results of states (the keys, then the state), which are shuffled and merged as they come."""
+    made = StructType([*states.select(*keys).schema, *_schema(states.sparkSession, schema)])
+    made_arrow = to_arrow_schema(made)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, state = None, None
         for batch in batches:
             done = []
-            for key, data in zip(key_rows(batch), batch.column(batch.num_columns - 1).to_pylist()):
+            for key, data in zip(_key_rows(batch, keys), batch.column(batch.num_columns - 1).to_pylist()):
                 if at is None or key != at:
                     if at is not None:
                         done.append((*at, *finish(state)))
                     at, state = key, pickle.loads(data)
                 else:
                     state = merge(state, pickle.loads(data))
-            yield batch_of(done, made_arrow)
+            yield _batch_of(done, made_arrow)
         if at is not None:
-            yield batch_of([(*at, *finish(state))], made_arrow)
+            yield _batch_of([(*at, *finish(state))], made_arrow)
 
-    states = rows.mapInArrow(partial, states_schema)
     return states.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(merged, made)
 
 
 def process_loci(
     reads: DataFrame, targets: DataFrame, fn: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str, **options
 ) -> DataFrame:
-    """Pile the reads up at the targets and call ``fn`` once per target that has reads."""
-    from locusframe.operators.pileup import pileup
+    """Pile the reads up at the targets and call ``fn`` once per target that has reads, with all rows of its pileup.
+
+    Reads are shuffled, not their pairs with targets; a task holds one pileup at a time, which must fit in memory.
+    """
+    made = _schema(reads.sparkSession, schema)
+    arrow = to_arrow_schema(made)
+
+    def each(loci: Iterator[Locus]) -> Iterator[pa.RecordBatch]:
+        done, n = [], 0
+        for contig, pos, rows in loci:
+            done.append(pa.Table.from_pandas(fn((contig, pos), rows.to_pandas()), schema=arrow, preserve_index=False))
+            n += done[-1].num_rows
+            if n >= BATCH_ROWS or len(done) >= BATCH_ROWS:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+                done, n = [], 0
+        yield from pa.concat_tables(done or [arrow.empty_table()]).combine_chunks().to_batches()
+
+    return swept(reads, targets, each, made, **options)
+
+
+def fold_reads(
+    reads: DataFrame, targets: DataFrame, start: Callable[[], object], process: Callable[[object, pd.DataFrame], object],
+    merge: Callable[[object, object], object], finish: Callable[[object], tuple], schema: str, held: int = 50_000, most_rows: int = 1_000_000, **options,
+) -> DataFrame:
+    """``contig, pos`` and the user's columns: pileups of any depth, folded where the reads are.
+
+    As ``fold_loci``, but reads are shuffled and their pairs with targets never leave a task.  Where more than ``most_rows`` of them
+    meet they are dealt out over several tasks, whose states are merged.  ``held``: states that are sent on together.
+    """
+    made = _schema(reads.sparkSession, "contig string, pos long, __state binary")
+    arrow = to_arrow_schema(made)
 
-    return locus_apply(pileup(reads, targets, **options), fn, schema)
+    def each(loci: Iterator[Locus]) -> Iterator[pa.RecordBatch]:
+        done = []
+        for contig, pos, rows in loci:
+            done.append((contig, pos, pickle.dumps(process(start(), _frame(rows)))))
+            if len(done) >= held:
+                yield _batch_of(done, arrow)
+                done = []
+        yield _batch_of(done, arrow)
+
+    states = swept(reads, targets, each, made, most_rows=most_rows, **options)
+    return _merged(states, ["contig", "pos"], merge, finish, schema)
 
 
 def locus_apply(piled: DataFrame, fn: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

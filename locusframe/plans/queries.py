@@ -41,9 +41,13 @@ piled AS (SELECT t.contig, t.pos, r.rid, t.pos - 1 - r.pos0 AS qpos,
 """
 
 
-def _piled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     reads = derive.reads(spark, sf_dir).withColumn("end0", F.col("pos0") + F.col("len"))
-    rows = pileup.pileup(reads, derive.targets(spark, sf_dir).select("contig", "pos"))
+    return reads, derive.targets(spark, sf_dir).select("contig", "pos")
+
+
+def _piled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pileup.pileup(*_spans(spark, sf_dir))
     at = F.col("rid") + F.col("qpos")
     return rows.withColumn("bq", F.when(at % 17 != 0, at % 41))
 
@@ -166,7 +170,7 @@ SELECT t.contig, t.pos, max(len) - min(len) AS span FROM t JOIN reads r
   ON r.contig = t.contig AND t.pos - 1 >= r.pos0 AND t.pos - 1 < r.pos0 + r.len GROUP BY ALL""", "reads", "targets")
 def locus_user_function(spark, sf_dir):
     """A user's function once per locus."""
-    return records.locus_apply(_piled(spark, sf_dir), _summary, "contig string, pos long, span long")
+    return records.process_loci(*_spans(spark, sf_dir), _summary, "contig string, pos long, span long")
 
 
 # Records ------------------------------------------------------------------------------------------------------------------
