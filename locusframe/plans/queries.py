@@ -739,7 +739,7 @@ SELECT t.contig, t.pos, count(*) AS n, max(len) - min(len) AS spread FROM t JOIN
   ON r.contig = t.contig AND t.pos - 1 >= r.pos0 AND t.pos - 1 < r.pos0 + r.len GROUP BY ALL""", "reads", "targets")
 def locus_user_fold(spark, sf_dir):
     """A user's accumulator per locus, which no task sees whole."""
-    return records.fold_loci(_piled(spark, sf_dir), _started, _processed, _merged, _finished, "n long, spread long")
+    return records.fold_reads(*_spans(spark, sf_dir), _started, _processed, _merged, _finished, "n long, spread long")
 
 
 # FASTQ --------------------------------------------------------------------------------------------------------------------------

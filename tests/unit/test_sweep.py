@@ -71,7 +71,7 @@ def test_pairs_are_not_shuffled(spark, sf_dir):
     from locusframe import catalog
 
     plan = lambda name: catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert "Join" not in plan("locus_user_function")
+    assert "Join" not in plan("locus_user_function") and "SortMergeJoin" not in plan("locus_user_fold")
     with pytest.raises(ValueError, match="clash"):
         reads = spark.createDataFrame([("c", 0, 9, 1)], READS)
         records.process_loci(reads, spark.createDataFrame([("c", 1, 2)], "contig string, pos long, k long"), lambda key, pdf: pd.DataFrame(), "k long")
