@@ -175,14 +175,34 @@ def depth_runs(reads: DataFrame, flag_mask: int = SKIPPED_FLAGS) -> DataFrame:
 # Mates that overlap ----------------------------------------------------------------------------------------------------------------
 
 
-def overlapping_mates(piled: DataFrame, base: Column, quality: Column, name: str = "qname", order: tuple[str, ...] = ("pos0",)) -> DataFrame:
+def marked_mates(reads: DataFrame, name: str = "qname", meets: str = "meets") -> DataFrame:
+    """Reads with ``meets``: whether a read overlaps another one of its name on its contig; false without a name.
+
+    Only reads are shuffled for it.  In a pileup, rows of a read that meets none need not be brought together with any others.
+    """
+    rows = reads.withColumn("__end", reference_end(F.col("pos0"), F.col("cigar")) if "cigar" in reads.columns else F.col("end0"))
+    # Reads without a name are spread; those that cover nothing meet none.
+    none = F.col(name).isNull() | F.coalesce(F.col("__end") <= F.col("pos0"), F.lit(True))
+    together = Window.partitionBy("contig", name, F.when(none, F.xxhash64("pos0", "__end"))).orderBy("pos0")
+    before = F.max("__end").over(together.rowsBetween(Window.unboundedPreceding, -1)) > F.col("pos0")
+    after = F.lead("pos0").over(together) < F.col("__end")
+    found = ~none & (F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)))
+    return rows.withColumn(meets, found).drop("__end")
+
+
+def overlapping_mates(
+    piled: DataFrame, base: Column, quality: Column, name: str = "qname", order: tuple[str, ...] = ("pos0",), meets: str | None = None
+) -> DataFrame:
     """Rows of a pileup with ``bq``: qualities where both mates of a template stand at a target count once, and both stay.
 
     If their bases agree, the first one (by ``order``) gets the sum of both qualities, 200 at most, and the second one 0; if not,
     the better one (the first of equals) keeps eight tenths of its quality, rounded down, and the other one gets 0.  Rows without a
     base or a quality (deletions), without a name or without a mate there keep what they have; of more than two rows with one name
-    the first two that have a base are mates.
+    the first two that have a base are mates.  ``meets``: the column of ``marked_mates``; rows for which it is false are not shuffled.
     """
+    if meets is not None:
+        alone = piled.where(~F.col(meets)).withColumn("bq", quality.cast("long"))
+        return overlapping_mates(piled.where(F.col(meets)), base, quality, name, order).unionByName(alone)
     rows = piled.withColumns({"__base": base, "bq": quality.cast("long")})
     live = F.col("bq").isNotNull() & F.col("__base").isNotNull() & F.col(name).isNotNull()
     rows = rows.withColumn("__live", live.cast("int"))
@@ -200,9 +220,12 @@ def overlapping_mates(piled: DataFrame, base: Column, quality: Column, name: str
     return rows.withColumn("bq", told.cast("long")).drop("__base", "__live", "__k", "__before", "__after")
 
 
-def one_of_overlapping(piled: DataFrame, name: str = "qname", *best: Column | str) -> DataFrame:
+def one_of_overlapping(piled: DataFrame, name: str = "qname", *best: Column | str, meets: str | None = None) -> DataFrame:
     """Where both mates of a template cover a target, the row that is greatest by ``best`` (say quality, then flag); rows
-    without a name all stay.  Mates are combined before they are shuffled."""
+    without a name all stay.  Mates are combined before they are shuffled.  ``meets``: the column of ``marked_mates``; rows for which
+    it is false are not shuffled."""
+    if meets is not None:
+        return one_of_overlapping(piled.where(F.col(meets)), name, *best).unionByName(piled.where(~F.col(meets)))
     named = piled.where(F.col(name).isNotNull())
     rest = [c for c in piled.columns if c not in ("contig", "pos", name)]
     first = named.groupBy("contig", "pos", name).agg(F.max_by(F.struct(*rest), F.struct(*(best or rest))).alias("__row"))

@@ -46,8 +46,12 @@ def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return reads, derive.targets(spark, sf_dir).select("contig", "pos")
 
 
-def _piled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = pileup.pileup(*_spans(spark, sf_dir))
+def _piled(spark: SparkSession, sf_dir: str, mates: bool = False) -> DataFrame:
+    """``mates``: with the names of templates, and whether a read meets another one of its name."""
+    reads, targets = _spans(spark, sf_dir)
+    if mates:
+        reads = pileup.marked_mates(reads.withColumn("qname", F.floor(F.col("rid") / 20)))
+    rows = pileup.pileup(reads, targets)
     at = F.col("rid") + F.col("qpos")
     return rows.withColumn("bq", F.when(at % 17 != 0, at % 41))
 
@@ -88,9 +92,8 @@ SELECT contig, pos, count(*) AS depth, cast(coalesce(sum(bq), 0) AS bigint) AS s
   cast(coalesce(sum(bq), 0) AS double) / count(*) AS mean_bq FROM told GROUP BY ALL""", "reads", "targets")
 def locus_mates_quality(spark, sf_dir):
     """Mean quality where the qualities of overlapping mates count once and both mates stay in the depth."""
-    rows = _piled(spark, sf_dir).withColumn("qname", F.floor(F.col("rid") / 20))
     base = F.substring(F.lit("ACGTN"), ((F.col("pos") + F.when(F.col("pos") % 3 == 0, F.col("rid")).otherwise(0)) % 5 + 1).cast("int"), F.lit(1))
-    return pileup.mean_quality(pileup.overlapping_mates(rows, base, F.col("bq"), "qname", ("pos0", "rid", "qpos")), F.col("bq"))
+    return pileup.mean_quality(pileup.overlapping_mates(_piled(spark, sf_dir, True), base, F.col("bq"), "qname", ("pos0", "rid", "qpos"), "meets"), F.col("bq"))
 
 
 @query(_PILED + """SELECT contig, pos, count(*) FILTER (b = 'A') AS n_a, count(*) FILTER (b = 'T') AS n_t,
@@ -738,7 +741,7 @@ def accumulated_lengths(spark, sf_dir):
 SELECT t.contig, t.pos, count(*) AS n, max(len) - min(len) AS spread FROM t JOIN reads r
   ON r.contig = t.contig AND t.pos - 1 >= r.pos0 AND t.pos - 1 < r.pos0 + r.len GROUP BY ALL""", "reads", "targets")
 def locus_user_fold(spark, sf_dir):
-    """A user's accumulator per locus, which no task sees whole."""
+    """A user's accumulator per locus; where a locus is deep no task sees it whole."""
     return records.fold_reads(*_spans(spark, sf_dir), _started, _processed, _merged, _finished, "n long, spread long")
 
 

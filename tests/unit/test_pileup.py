@@ -118,3 +118,27 @@ def test_overlapping_mates_count_once(spark):
     means = {(r["contig"], r["pos"]): (r["depth"], r["sum_bq"]) for r in pileup.mean_quality(got, F.col("bq")).collect()}
     assert means[("c", 2)] == (2, 200) and means[("d", 1)] == (1, 7)
     assert pileup.overlapping_mates(df.limit(0), F.col("base"), F.col("q")).count() == 0
+
+
+def test_only_reads_that_meet_a_mate_are_brought_together(spark):
+    rnd = random.Random(8)
+    reads = [("c" if k % 3 else "d", rnd.randrange(400), rnd.choice([0, 1, 9, 40]), rnd.choice([None, *range(60)]), rnd.randint(0, 40), k) for k in range(500)]
+    reads = [(c, p, p + n, name, q, k) for c, p, n, name, q, k in reads]
+    df = spark.createDataFrame(reads, "contig string, pos0 long, end0 long, qname long, q int, k long").repartition(5)
+    marked = pileup.marked_mates(df)
+    assert marked.columns == [*df.columns, "meets"]
+    meets = {
+        k for c, a, b, name, _, k in reads
+        if name is not None and any(j != k and (c, name) == (d, n) and max(a, x) < min(b, y) for d, x, y, n, _, j in reads)
+    }
+    assert 20 < len(meets) < 300 and {r["k"]: r["meets"] for r in marked.collect()} == {r[-1]: r[-1] in meets for r in reads}
+    targets = spark.createDataFrame([(c, p) for c in "cd" for p in range(1, 440, 2)], "contig string, pos long")
+    base, order = F.substring(F.lit("ACG"), (F.col("k") % 3 + 1).cast("int"), F.lit(1)), ("pos0", "k")
+    rows = lambda d: sorted((tuple(r) for r in d.drop("meets").collect()), key=repr)
+    plain, split = pileup.pileup(df, targets), pileup.pileup(marked, targets)
+    assert rows(pileup.overlapping_mates(split, base, F.col("q"), "qname", order, "meets")) == rows(pileup.overlapping_mates(plain, base, F.col("q"), "qname", order))
+    best = lambda d, **more: pileup.one_of_overlapping(d, "qname", "q", "k", **more).select(*plain.columns)
+    assert rows(best(split, meets="meets")) == rows(best(plain))
+    # The same rows by CIGARs, whose ends count.
+    cigars = df.withColumn("cigar", F.array(F.struct(F.lit("M").alias("op"), (F.col("end0") - F.col("pos0")).alias("len")))).drop("end0")
+    assert {r["k"] for r in pileup.marked_mates(cigars).where("meets").collect()} == meets
