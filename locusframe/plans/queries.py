@@ -134,8 +134,7 @@ def cigar_pileup(spark, sf_dir):
 FROM piled GROUP BY contig, pos, qname""", "reads", "targets")
 def locus_one_of_mates(spark, sf_dir):
     """Of reads with one name at a target the one with the best quality, then the largest number."""
-    named = _piled(spark, sf_dir).withColumn("qname", F.floor(F.col("rid") / 20))
-    best = pileup.one_of_overlapping(named, "qname", F.coalesce("bq", F.lit(-1)), "rid")
+    best = pileup.one_of_overlapping(_piled(spark, sf_dir, True), "qname", F.coalesce("bq", F.lit(-1)), "rid", meets="meets")
     return best.select("contig", "pos", "qname", "rid")
 
 
