@@ -2,7 +2,8 @@
 
 Reading.  A file of any size is read in splits of ``split_bytes``.  A task finds the first compressed block of its split by
 signature, from which a chain of blocks must follow, and in it the first record, from which several records in a row must look
-right; it reads all records that begin in its blocks.  ``read_bam`` counts the records of each split to give them their ordinal in
+right; it reads all records that begin in its blocks.  Of a file of more than MOST_TASKS splits a task reads several in a row.
+``read_bam`` counts the records of each split to give them their ordinal in
 the file, and checks on the way that each split begins where the one before ends: a split that does not (a record may hold others
 in its tags) is read from there instead.  A header is read from the first bytes.  A gzip file that is no file of blocks is one task's work.
 
@@ -38,9 +39,11 @@ from locusframe.sources.bam_records import MAGIC, SCHEMA, bins, columns, encoded
 from locusframe.sources.bgzf import BLOCK_BYTES, LAST_BLOCK, BlockFile, Stretch, file_system, listed, packed_block, unpacked_members
 
 SPLIT_BYTES = 64 << 20
+#: Tasks that read one file, as long as none reads more than SPLIT_BYTES.
+MOST_TASKS = 1024
 #: Bytes of unpacked data that are made into rows at once.
 BATCH_BYTES = 4 << 20
-COUNTS = "path string, split long, records long, first long, next long"
+COUNTS = "path string, split long, stop long, records long, first long, next long"
 HEADERS = "path string, text string, refs array<struct<name:string,len:bigint>>"
 _REFS = pa.list_(pa.struct([("name", pa.string()), ("len", pa.int64())]))
 
@@ -170,6 +173,12 @@ class _Part(InputPartition):
     first: int | None = None
 
 
+def task_bytes(size: int, split_bytes: int) -> int:
+    """Bytes of a file that a task reads: one split, or several in a row where there are more than MOST_TASKS of them."""
+    most = max(1, SPLIT_BYTES // split_bytes)
+    return split_bytes * min(most, max(1, -(-size // (split_bytes * MOST_TASKS))))
+
+
 class BamReader(DataSourceReader):
     def __init__(self, options):
         self.path, self.mode = options["path"], options.get("mode", "records")
@@ -202,9 +211,9 @@ class BamReader(DataSourceReader):
             return [_Part(path, 0, 0, True) for path, _ in files]
         parts = []
         for path, size in files:
-            chunks = self._chunks(path) if self.regions is not None else None
+            chunks = self._chunks(path, size) if self.regions is not None else None
             if chunks is None:
-                step = self.split_bytes
+                step = task_bytes(size, self.split_bytes)
                 known = self.firsts.get(path, {})
                 splits = (int(k) for k in known) if self.only else range(0, size, step)
                 parts += [_Part(path, k, min(k + step, size), True, known.get(str(k))) for k in splits]
@@ -212,7 +221,7 @@ class BamReader(DataSourceReader):
                 parts += [_Part(path, a, b, False) for a, b in chunks]
         return parts or [None]
 
-    def _chunks(self, path: str) -> list[tuple[int, int]] | None:
+    def _chunks(self, path: str, size: int) -> list[tuple[int, int]] | None:
         """Stretches of a file that may have records of the regions; None without an index."""
         store, inner = file_system(path + ".bai")
         if store.get_file_info(inner).type != fs.FileType.File:
@@ -225,7 +234,8 @@ class BamReader(DataSourceReader):
         pieces = []
         for a, b in chunks:
             # Long stretches are cut at blocks: each piece but the first finds its own first record.
-            cuts = list(range((a >> 16) + self.split_bytes, b >> 16, self.split_bytes))
+            step = task_bytes(size, self.split_bytes)
+            cuts = list(range((a >> 16) + step, b >> 16, step))
             pieces += zip([a, *[c << 16 for c in cuts]], [*[c << 16 for c in cuts], b])
         return pieces
 
@@ -259,8 +269,9 @@ class BamReader(DataSourceReader):
                     records += len(starts)
                     after = None if offsets is None else int(offsets[-1])
                 first = start if records else None
-                row = [[partition.path], [partition.start], [records], [first], [after if records else None]]
-                yield pa.RecordBatch.from_arrays([pa.array(row[0])] + [pa.array(c, pa.int64()) for c in row[1:]], ["path", "split", "records", "first", "next"])
+                row = [[partition.path], [partition.start], [partition.end], [records], [first], [after if records else None]]
+                names = ["path", "split", "stop", "records", "first", "next"]
+                yield pa.RecordBatch.from_arrays([pa.array(row[0])] + [pa.array(c, pa.int64()) for c in row[1:]], names)
                 return
             names, k = [n for n, _ in file.refs], 0
             schema = [c.split()[0] for c in SCHEMA.replace("array<struct<op:string,len:bigint>>", "x").split(", ")]
@@ -393,7 +404,7 @@ def read_bam(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, ord
     found = _source(spark, path, split_bytes=split_bytes)
     if not ordinals:
         return found.drop("split", "in_split")
-    counts = _source(spark, path, split_bytes=split_bytes, mode="counts").collect()  # one row per split
+    counts = _source(spark, path, split_bytes=split_bytes, mode="counts").collect()  # one row per task
     by_file: dict[str, list] = {}
     for r in counts:
         by_file.setdefault(r["path"], []).append(r)
@@ -401,7 +412,7 @@ def read_bam(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, ord
     for name, splits in by_file.items():
         before, after = 0, None
         for r in sorted(splits, key=lambda r: r["split"]):
-            want = r["first"] if after is None else after if after >> 16 < r["split"] + split_bytes else None
+            want = r["first"] if after is None else after if after >> 16 < r["stop"] else None
             if r["first"] != want and (want is not None or r["records"]):
                 # Not where the split before ends: from there, or nothing.
                 known = {name: {str(r["split"]): -1 if want is None else want}}
@@ -414,7 +425,7 @@ def read_bam(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES, ord
     if firsts:
         found = _source(spark, path, split_bytes=split_bytes, firsts=json.dumps(firsts))
     offsets = spark.createDataFrame(rows, "path string, split long, before long")
-    whole = found.join(F.broadcast(offsets), ["path", "split"])  # some 60 bytes per split
+    whole = found.join(F.broadcast(offsets), ["path", "split"])  # some 60 bytes per task
     kept = [c for c in found.columns if c not in ("path", "split", "in_split", "voffset")]
     return whole.select("path", (F.col("before") + F.col("in_split")).alias("rec_idx"), *kept, "voffset")
 
