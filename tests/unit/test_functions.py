@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +171,20 @@ def test_regions_and_bases(spark):
 def test_generated_dna_depends_on_its_seed(spark):
     got = [r["s"] for r in spark.range(20).select(dna.generated(F.col("id"), 40).alias("s")).collect()]
     assert len(set(got)) == 20 and all(len(s) == 40 and set(s) <= set("ACGTN") for s in got)
+
+
+@pytest.mark.parametrize("length, alphabet", [(1, "ACGTN"), (7, "ACGTN"), (8, "ACG"), (9, "ACGTN"), (150, "ACGTN"), (33, "ACDEFGHIKLMNPQRSTVWY")])
+def test_generated_dna_is_four_digits_of_md5_a_letter(spark, length, alphabet):
+    def slow(seed):
+        digits = "".join(hashlib.md5(f"{seed}:{k}".encode()).hexdigest() for k in range((length + 7) // 8))
+        return "".join(alphabet[int(digits[4 * i : 4 * i + 4], 16) % len(alphabet)] for i in range(length))
+
+    seeds = [0, 1, 1, 7, -5, MAX, None]
+    df = spark.createDataFrame([(s,) for s in seeds], "id long").coalesce(1).select(dna.generated(F.col("id"), length, alphabet).alias("s"))
+    assert [r["s"] for r in df.collect()] == ["" if s is None else slow(s) for s in seeds]
+
+
+def test_generated_dna_makes_each_md5_once(spark):
+    plan = spark.range(1).select(dna.generated(F.col("id"), 40).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    # Letters are read from a variable that has one MD5, not from an expression that makes all of them again.
+    assert plan.count("md5(") == 1 and "conv(substring(lambda " in plan
