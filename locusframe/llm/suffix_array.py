op2_suffix_dedup: suffix arrays of windows only, runs merged by columns, segments sorted by anchor

Symptom: op2_suffix_dedup took 626 CPU seconds a GB of documents (0.51 GB, 256,410 rows): Python 429, JVM 193, GC 4.
Evidence: 145 of 317 task seconds went to suffix arrays (137 in Python), which ordered every byte of the segments, though only the 30 of 100 that a window begins at (1.9 of 6.4 million bytes of a sample) are compared; 31 to the removal, which made a dict of each run; 41 to the sort of segments, whose first key was the same in the whole partition, so that rows were compared in full; in the cut, a quarter of the time went to the test for anchors that occur twice.
Fix: two-stage sorting gets the wanted places and orders these and those that they are induced from; a word of 8 letters is sorted by in such groups only in which it differs; runs and candidates are read as columns, not as dicts; segments are sorted by anchor first, as a partition is one part; two bytes of the hashes rule out nearly all anchors before all eight are compared; words of letters and the kinds of places need fewer and smaller arrays.
Effect: at 0.6 GB of input CPU 1901 -> 1209 s, shuffle 3.14 -> 3.14 GB, spill 0.00 -> 0.00 GB, read 3.29 -> 3.29 GB, longest task 21 -> 17 s, most memory of a task 67 -> 67 MB; at 6 GB of input CPU 29511 -> 9205 s, shuffle 51.39 -> 51.39 GB, spill 0.00 -> 0.00 GB, read 33.00 -> 33.00 GB, longest task 139 -> 52 s, most memory of a task 201 -> 201 MB; with hot keys, at 0.6 GB of input CPU 1936 -> 740 s, shuffle 1.11 -> 1.11 GB, spill 0.00 -> 0.00 GB, read 1.00 -> 1.00 GB, longest task 11 -> 6 s, most memory of a task 67 -> 67 MB.

@@ -24,62 +24,88 @@ class Strings:
         raw = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8)
         self.n, self.letters = n, np.zeros(n + 256, np.uint8)
         self.letters[:n] = raw + np.uint8(1)  # 255 becomes 0
-        t = self.letters.astype(np.uint64)
-        two = t[:-1] << np.uint64(8) | t[1:]
-        four = two[:-2] << np.uint64(16) | two[2:]
-        self.words = four[:-4] << np.uint64(32) | four[4:]  # the 8 letters from each place on
+        self.words = self.letters.astype(np.uint64)
+        for width in (1, 2, 4):  # the 8 letters from each place on
+            longer = self.words[:-width] << np.uint64(8 * width)
+            longer |= self.words[width:]
+            self.words = longer
         self.owner = np.repeat(np.arange(len(strings)), lengths + 1)
 
 
 def _sorted_directly(s: Strings, places: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of the ``depth`` letters from them on (a little more, to whole words of 8)."""
+    if not len(places):
+        return places
     first = s.words[places]
-    order = np.argsort(first, kind="stable")
+    order = np.argsort(first)
     places, first = places[order], first[order]
-    rank = np.concatenate(([0], np.cumsum(first[1:] != first[:-1])))
+    open_, group = _ties(np.arange(len(places)), first[1:] != first[:-1])
     for at in range(8, depth, 8):
-        same = np.zeros(len(rank) + 1, bool)
-        same[1:-1] = rank[1:] == rank[:-1]
-        open_ = np.flatnonzero(same[:-1] | same[1:])
         if not len(open_):
             break
-        key, group = s.words[places[open_] + at], rank[open_]
-        order = np.lexsort((key, group))
-        key, group = key[order], group[order]
-        places[open_] = places[open_][order]
-        split = np.zeros(len(rank), np.int64)
-        split[open_[1:]] = (key[1:] != key[:-1]) & (group[1:] == group[:-1])
-        # Groups stay contiguous, so a new group begins where the old rank changes or the key does.
-        new = np.concatenate(([0], (rank[1:] != rank[:-1]).astype(np.int64)))
-        rank = np.cumsum(np.maximum(new, split))
+        key, same = s.words[places[open_] + at], group[1:] == group[:-1]
+        # Only groups in which the next 8 letters differ need sorting; a group stays where it is.
+        mixed = np.zeros(len(places), bool)
+        mixed[group[1:][same & (key[1:] != key[:-1])]] = True
+        some = np.flatnonzero(mixed[group])
+        order = some[np.lexsort((key[some], group[some]))]
+        places[open_[some]], key[some] = places[open_[order]], key[order]
+        open_, group = _ties(open_, ~same | (key[1:] != key[:-1]))
     return places
 
 
-def suffix_array(s: Strings, depth: int) -> np.ndarray:
-    """All places in the order of their suffixes, exact to ``depth`` letters."""
-    t = s.letters[: s.n].astype(np.int16)
-    step = np.sign(np.append(t[1:], -1) - t)
+def _ties(rows: np.ndarray, differs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are tied with a neighbour, each with the first row of its group.  ``differs``: whether a row differs from the one before."""
+    new = np.concatenate(([True], differs))
+    group = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+    tied = ~(new & np.append(differs, True))
+    return rows[tied], group[tied]
+
+
+def _smaller(t: np.ndarray) -> np.ndarray:
+    """Whether the suffix at each place is smaller than its successor."""
+    step = np.sign(np.diff(t, append=np.int16(-1)))
     # Equal neighbours are of the kind of the next unequal pair.
-    last = np.where(step != 0, np.arange(s.n), s.n)
-    following = np.minimum.accumulate(last[::-1])[::-1]
+    following = np.where(step != 0, np.arange(len(t), dtype=np.int32), np.int32(len(t)))
+    np.minimum.accumulate(following[::-1], out=following[::-1])
     smaller = step[following] > 0
     smaller[t == 0] = True  # the ends of strings are sorted directly, too
-    direct = _sorted_directly(s, np.flatnonzero(smaller), depth)
+    return smaller
+
+
+def _needed(wanted: np.ndarray, smaller: np.ndarray) -> np.ndarray:
+    """Wanted places and those they are put in order from: a larger place needs its successor, and so on up to the next smaller one."""
+    places = np.arange(len(smaller), dtype=np.int32)
+    stop = np.maximum.accumulate(np.where(smaller, places, np.int32(-1)))
+    needed = wanted.copy()
+    needed[1:] = np.maximum.accumulate(np.where(wanted, places, np.int32(-1)))[1:] > stop[:-1]
+    return needed
+
+
+def suffix_array(s: Strings, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """All places in the order of their suffixes, exact to ``depth`` letters.
+
+    ``wanted``: whether each place is wanted; of the others, only those stay that wanted ones are put in order from.
+    """
+    t = s.letters[: s.n].astype(np.int16)
+    smaller = _smaller(t)
+    needed = np.ones(s.n, bool) if wanted is None else _needed(wanted, smaller)
+    direct = _sorted_directly(s, np.flatnonzero(smaller & needed), depth)
     letters = t[direct]
     buckets: dict[int, list[np.ndarray]] = {}
-    found = []
+    found = [np.empty(0, np.int64)]
     for c in np.flatnonzero(np.bincount(t, minlength=257)):
         front = buckets.pop(int(c), [])
         wave = np.concatenate(front) if front else np.empty(0, np.int64)
         while c and len(wave):
             before = wave[wave > 0] - 1
-            wave = before[t[before] == c]
+            wave = before[(t[before] == c) & needed[before]]
             front.append(wave)
         low, high = np.searchsorted(letters, [c, c + 1])
         bucket = np.concatenate([*front, direct[low:high]])
         found.append(bucket)
         before = bucket[bucket > 0] - 1
-        before = before[t[before] > c]
+        before = before[(t[before] > c) & needed[before]]
         head = t[before]
         order = np.argsort(head, kind="stable")
         before, head = before[order], head[order]

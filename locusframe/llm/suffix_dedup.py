@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,10 +92,13 @@ def segments(
     k = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     at = np.repeat(starts, pieces) + k * span
     count = np.minimum(np.repeat(stops, pieces) - at, span)
-    padded = np.concatenate([hashes, np.zeros(2 * span, np.uint64)])
-    seen = np.lib.stride_tricks.sliding_window_view(padded, 2 * span - 1)[at] == low[at][:, None]
-    seen &= np.arange(2 * span - 1) < (count + span - 1)[:, None]
-    return at, count + length - 1, low[at].view(np.int64), seen.sum(axis=1) > 1
+    periodic = np.arange(len(at))
+    for kind in (np.uint16, np.uint64):  # two bytes of the hashes rule out nearly all
+        padded = np.concatenate([hashes.astype(kind), np.zeros(2 * span, kind)])
+        seen = np.lib.stride_tricks.sliding_window_view(padded, 2 * span - 1)[at[periodic]] == low[at[periodic]].astype(kind)[:, None]
+        seen &= np.arange(2 * span - 1) < (count[periodic] + span - 1)[:, None]
+        periodic = periodic[np.count_nonzero(seen, axis=1) > 1]
+    return at, count + length - 1, low[at].view(np.int64), np.isin(np.arange(len(at)), periodic)
 
 
 def _parts(batch: pa.RecordBatch, length: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
@@ -211,33 +215,39 @@ def _texts(length: int, chunks=None):
     each of them.
     """
 
+    def windows(data: bytes, key: int, at: int, size: int, dealt: dict) -> Iterator[tuple[int, int, int, bytes]]:
+        for k in range(at, at + size - length + 1):
+            window = data[k : k + length]
+            group = xxhash.xxh3_64_intdigest(window) - 2**63
+            in_groups = [group]
+            if group in dealt:
+                n, *first = dealt[group]
+                which = range(n) if [key, k] == first else [hash((key, k)) % n]
+                in_groups = [xxhash.xxh3_64_intdigest(window, 1 + j) - 2**63 for j in which]
+            for group in in_groups:
+                yield group, key, k, window
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealt = chunks.value if chunks is not None else {}
         for batch in batches:
             groups, keys, places, parts = [], [], [], []
-            for key, text, mine in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("mine").to_pylist()):
+            mine = batch.column("mine")
+            of, ends = mine.flatten(), np.cumsum(mine.value_lengths().to_numpy()).tolist()
+            anchors, place, often = (of.field(k).to_numpy(zero_copy_only=False) for k in ("anchor", "place", "often"))
+            ats, sizes = place >> _PLACE, place & (_PERIODIC - 1)
+            anchors, ats, sizes, often = anchors.tolist(), ats.tolist(), sizes.tolist(), often.tolist()
+            for key, text, low, high in zip(batch.column("key").to_pylist(), batch.column("text"), [0, *ends], ends):
                 data = text.as_buffer().to_pybytes()
-                for c in mine:
-                    at, size = c["place"] >> _PLACE, c["place"] & (_PERIODIC - 1)
-                    if c["often"]:
-                        for k in range(at, at + size - length + 1):
-                            window = data[k : k + length]
-                            group = xxhash.xxh3_64_intdigest(window) - 2**63
-                            in_groups = [group]
-                            if group in dealt:
-                                n, *first = dealt[group]
-                                which = range(n) if [key, k] == first else [hash((key, k)) % n]
-                                in_groups = [xxhash.xxh3_64_intdigest(window, 1 + j) - 2**63 for j in which]
-                            for group in in_groups:
-                                groups.append(group)
-                                keys.append(key)
-                                places.append(k)
-                                parts.append(window)
+                for k in range(low, high):
+                    if often[k]:
+                        rows = windows(data, key, ats[k], sizes[k], dealt)
                     else:
-                        groups.append(c["anchor"])
+                        rows = ((anchors[k], key, ats[k], data[ats[k] : ats[k] + sizes[k]]),)
+                    for group, _, at, part in rows:
+                        groups.append(group)
                         keys.append(key)
                         places.append(at)
-                        parts.append(data[at : at + size])
+                        parts.append(part)
                     if len(parts) >= 20_000:
                         yield _part_rows(groups, keys, places, parts)
                         groups, keys, places, parts = [], [], [], []
@@ -289,9 +299,10 @@ def _part_rows(groups: list, keys: list, places: list, parts: list) -> pa.Record
 def repeats(parts: list[bytes], keys: np.ndarray, places: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(key, place, bytes)`` of the runs of bytes in ``parts`` that repeat a window which starts earlier."""
     s = Strings(parts)
-    order = suffix_array(s, length)
-    whole = order + length <= s.ends[s.owner[order]]  # windows that end within their string
-    reach = (common_prefixes(s, order, length) >= length) & whole
+    whole = np.arange(s.n) + length <= s.ends[s.owner]  # windows that end within their string
+    order = suffix_array(s, length, whole)
+    order = order[whole[order]]
+    reach = common_prefixes(s, order, length) >= length
     group = np.cumsum(~reach)
     several = np.append(reach[1:], False) | reach
     at, group = order[several], group[several]
@@ -345,37 +356,50 @@ def _sort_blocks(length: int):
     return run
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with their runs of repeated bytes: what is left of them."""
-    for batch in batches:
-        out: list[tuple] = []
-        for text, runs in zip(batch.column("text"), batch.column("runs")):
-            data = text.as_buffer().to_pybytes()
-            removed, spans, kept, done, end = 0, [], [], 0, -1
-            for at, size in sorted((r["at"], r["size"]) for r in runs.as_py() or ()):
-                if at > end:
-                    spans.append([at, at + size])
-                else:
-                    spans[-1][1] = max(spans[-1][1], at + size)
-                end = spans[-1][1]
-            for a, b in spans:
-                kept.append(data[done:a])
-                removed += b - a
-                done = b
-            kept.append(data[done:])
-            rest = b"".join(kept)
-            out.append((len(data), removed, len(spans), hashlib.sha256(rest).hexdigest(), rest, [x for ab in spans for x in ab]))
-        names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.int64())]
-        columns = list(zip(*out)) or [[]] * len(names)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["doc_id", *names]
-        )
-
-
-def _digests_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in _remove(batches):
-        yield batch.select(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _spans(runs: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, from, to)`` of the runs of each row, merged where they overlap or touch."""
+    of = runs.flatten()
+    row = np.repeat(np.arange(len(runs)), pc.fill_null(runs.value_lengths(), 0).to_numpy())
+    at, size = of.field("at").to_numpy(), of.field("size").to_numpy()
+    order = np.lexsort((at, row))
+    row, at = row[order], at[order]
+    # A row's places stand behind all those of the rows before, so one running maximum does for all rows.
+    base = row << 32
+    reach = np.maximum.accumulate(base + at + size[order])
+    new = np.append(True, base[1:] + at[1:] > reach[:-1])[: len(row)]
+    last = np.append(new[1:], True)[: len(row)]
+    return row[new], at[new], (reach - base)[last]
+
+
+def _remove(with_text: bool):
+    """Mapper over documents with their runs of repeated bytes: what is left of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, start, stop = _spans(batch.column("runs"))
+            n_spans = np.bincount(row, minlength=batch.num_rows)
+            ends = np.cumsum(n_spans).tolist()
+            starts, stops = start.tolist(), stop.tolist()
+            sizes, digests, texts = [], [], []
+            for text, low, high in zip(batch.column("text"), [0, *ends], ends):
+                data = text.as_buffer().to_pybytes()
+                rest = b"".join([data[a:b] for a, b in zip([0, *stops[low:high]], [*starts[low:high], len(data)])])
+                sizes.append((len(data), len(data) - len(rest)))
+                digests.append(hashlib.sha256(rest).hexdigest())
+                if with_text:
+                    texts.append(rest)
+            n_bytes, n_removed = np.array(sizes, np.int64).reshape(-1, 2).T
+            columns = {
+                "doc_id": batch.column("doc_id"), "n_bytes": pa.array(n_bytes), "n_removed": pa.array(n_removed),
+                "n_spans": pa.array(n_spans.astype(np.int64)), "kept_sha256": pa.array(digests, pa.string()),
+            }
+            if with_text:
+                borders = pa.array(np.column_stack([start, stop]).astype(np.int64).ravel())
+                columns["kept"] = pa.array(texts, pa.binary())
+                columns["spans"] = pa.ListArray.from_arrays(pa.array(np.array([0, *ends]) * 2, pa.int32()), borders)
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return run
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -418,7 +442,8 @@ def repeated_runs(
     )
     met = (
         cut.repartitionById(n, "part")
-        .sortWithinPartitions("part", "anchor", "content", "content2", "key", "place")
+        # A partition is one part.  By the anchor, which differs early, Spark compares most rows by their prefix alone.
+        .sortWithinPartitions("anchor", "content", "content2", "key", "place")
         .mapInArrow(_meet, "anchor long, key long, place long")
     )
     met = stored(met, "segments")
@@ -463,6 +488,4 @@ def remove_repeats(
     runs = runs.groupBy("key").agg(F.collect_list(F.struct("at", "size")).alias("runs"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     rows = dealt.join(runs, "key", "left").select("doc_id", "text", "runs")
-    if not with_text:
-        return rows.mapInArrow(_digests_only, schema)
-    return rows.mapInArrow(_remove, schema + ", kept binary, spans array<long>")
+    return rows.mapInArrow(_remove(with_text), schema + (", kept binary, spans array<long>" if with_text else ""))

@@ -354,3 +354,47 @@ def _batch(d, t):
     import pyarrow as pa
 
     return pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([t])], ["key", "text"])
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_suffix_array_of_wanted_places(seed):
+    rnd = random.Random(seed)
+    letters = rnd.choice(["ab", "a", "abcdefgh"])
+    strings = ["".join(rnd.choice(letters) for _ in range(rnd.randint(0, 60))).encode() for _ in range(rnd.randint(1, 12))]
+    s, depth = Strings(strings), 16
+    text = bytes(s.letters[: s.n]) + b"\0" * 64
+    for wanted in (np.arange(s.n) + depth <= s.ends[s.owner], np.array([rnd.random() < 0.1 for _ in range(s.n)]), np.zeros(s.n, bool)):
+        order = suffix_array(s, depth, wanted)
+        assert len(set(order.tolist())) == len(order) and set(np.flatnonzero(wanted).tolist()) <= set(order.tolist())
+        keys = [text[i : i + depth] for i in order if wanted[i]]
+        assert keys == sorted(keys)
+
+
+def test_few_more_places_are_sorted_than_windows_begin_at():
+    rnd = random.Random(1)
+    s = Strings(["".join(rnd.choice("abcdefgh") for _ in range(130)).encode() for _ in range(50)])
+    whole = np.arange(s.n) + 100 <= s.ends[s.owner]
+    assert 50 * 31 <= len(suffix_array(s, 100, whole)) < 50 * 36 < s.n / 3
+
+
+def test_runs_are_merged_where_they_touch():
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    texts = ["x" * 5, "", "abcdefghij" * 20, "é" * 30, "y"] + ["".join(rnd.choice("abc") for _ in range(80)) for _ in range(40)]
+    runs = [None, [], [(150, 20), (0, 10), (10, 5), (100, 60), (110, 3)], [(0, 60)], [(0, 1)]]
+    runs += [[(a, rnd.randint(1, 80 - a)) for a in rnd.sample(range(79), rnd.randint(0, 4))] for _ in range(40)]
+    kind = pa.list_(pa.struct([("at", pa.int64()), ("size", pa.int64())]))
+    rows = pa.array([r and [{"at": a, "size": n} for a, n in r] for r in runs], kind)
+    whole = pa.RecordBatch.from_arrays([pa.array([None, *range(1, len(texts))], pa.int64()), pa.array(texts), rows], ["doc_id", "text", "runs"])
+    for batch in (whole, whole.slice(2, 20), whole.slice(0, 2), whole.slice(0, 0)):
+        [got] = suffix_dedup._remove(True)(iter([batch]))
+        [digests] = suffix_dedup._remove(False)(iter([batch]))
+        assert digests.to_pylist() == got.select(["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]).to_pylist()
+        for row, was in zip(got.to_pylist(), batch.to_pylist()):
+            data = was["text"].encode()
+            gone = {k for r in was["runs"] or () for k in range(r["at"], r["at"] + r["size"])}
+            borders = [k for k in range(len(data) + 1) if (k in gone) != (k - 1 in gone)]
+            rest = bytes(x for k, x in enumerate(data) if k not in gone)
+            want = (len(data), len(gone), len(borders) // 2, hashlib.sha256(rest).hexdigest(), rest, borders)
+            assert tuple(row.values()) == (was["doc_id"], *want)
