@@ -188,3 +188,28 @@ def test_generated_dna_makes_each_md5_once(spark):
     plan = spark.range(1).select(dna.generated(F.col("id"), 40).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
     # Letters are read from a variable that has one MD5, not from an expression that makes all of them again.
     assert plan.count("md5(") == 1 and "conv(substring(lambda " in plan
+
+
+@pytest.mark.parametrize("bits", [64, 16])
+def test_packed_chunks_are_three_bits_a_base(spark, bits):
+    each, most = packed.BASES_IN[bits], packed.capacity(bits)
+
+    def slow(seq):
+        if seq is None or len(seq) > most or set(seq) - set("ATCGN"):
+            return None
+        return [sum("ATCGN".index(b) + 1 << 3 * i for i, b in enumerate(seq[c * each : (c + 1) * each])) for c in range(packed.CHUNKS)]
+
+    texts = ["GATTACAN" * 30, None, "AT-", "a", "é" * 3, "A" * 5 + "x"]
+    texts = [texts[0][k : k + n] for n in (0, 1, each - 1, each, each + 1, 3 * each, most - 1, most, most + 1) for k in (0, 3)] + texts[1:] + ["", "", "N" * most]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").coalesce(1)
+    assert [r["p"] for r in df.select(packed.try_pack(F.col("s"), bits).alias("p")).collect()] == [slow(t) for t in texts]
+    good = df.where(F.col("s").isNull() | packed.pack_error(F.col("s"), bits).isNull())
+    got = good.select("s", packed.pack(F.col("s"), bits).alias("p")).select("s", "p", packed.bases(F.col("p"), bits=bits).alias("t")).collect()
+    assert len(got) > 15 and all(r["p"] == slow(r["s"]) and r["t"] == r["s"] for r in got)
+
+
+def test_packing_changes_each_letter_once(spark):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("s")).select(packed.try_pack(F.col("s")).alias("p"))
+    plan = plan._jdf.queryExecution().optimizedPlan().toString()
+    # A chunk changes its own letters, once, and not the whole text.
+    assert plan.count("translate(") == plan.count("translate(substring(") == 1
